@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant.llm import words as W
 from foliant.llm.common import bounded, components, written
 
+ROUNDS = 3  # of anchors; what they leave is compared exactly
 REGION = 1 / 3  # the first order counts classes in this part of the token space
 
 
@@ -82,12 +83,14 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
        class has it, and drop the classes whose prefix is unshared.
     2. For those left, count document frequencies of all tokens; three global orders sort a
        set by (frequency, hash_k). A pair must share a prefix token under each of them.
-    3. Each class is paired with the anchor (least class) that its prefix tokens name most
-       often; pairs that pass the three filters and the size filter are verified exactly.
-    4. Connected components; then every pair of classes that shares a prefix token under
-       order 1 but lies in different components is filtered by all orders and verified.
-       Pairs inside a component cannot change it, so a large group of near copies never
-       has its pairs listed.
+    3. Each class is paired with the anchor (the class with the fewest unshared tokens) that
+       its prefix tokens name most often; pairs that pass the size filters and all three
+       orders are verified exactly. A few such rounds, each with anchors from other
+       components, join most of what belongs together.
+    4. Then every pair of classes that shares a prefix token under order 1 but lies in
+       different components passes the same filters and is verified. Pairs inside a
+       component cannot change it, so a large group of near copies never has its pairs
+       listed.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     members = rows.mapInArrow(_tokens(size, 0), SCHEMA).select("doc_id", "n", "class")
@@ -101,15 +104,19 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class"), 2_000_000), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
     full = written(full, "sets")
     core = written(_prefixes(full, percent), "prefixes")
-    tried = _anchored(core, percent)
-    links = written(_verified(tried, full, percent), "links")
-    labels = components(links.select("a", "b"))
-    rest = _across(core, labels, percent)
+    links = full.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    for _ in range(ROUNDS):
+        labels = components(links)
+        new = written(_verified(_anchored(core, labels, percent), full, percent), "links")
+        links = links.unionByName(new)
+        if new.isEmpty():
+            break
+    rest = _across(core, components(links), percent)
     return members, links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
 def _prefixes(full: DataFrame, percent: int) -> DataFrame:
-    """(class, n, p1, p2, p3): the shared part of each set's prefix under three orders."""
+    """(class, n, s, p1, p2, p3): size, tokens that others have too, and the shared part of the prefix under three orders."""
     toks = full.select("class", "n", F.explode("toks").alias("tok"))
     df = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = toks.join(df, "tok").groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "tok")).alias("ts"))
@@ -120,37 +127,46 @@ def _prefixes(full: DataFrame, percent: int) -> DataFrame:
         "p3": lambda t: F.struct((t["df"] > 8).cast("int").alias("o"), F.xxhash64(F.lit(3), t["tok"]).alias("h"), t["tok"].alias("t")),
     }
     first = lambda f: F.transform(F.slice(F.array_sort(F.transform("ts", f)), F.lit(1), F.col("left")), lambda x: x["t"])
-    return own.withColumn("left", left).where("left > 0").select("class", "n", *[first(f).alias(p) for p, f in order.items()])
+    return own.withColumn("left", left).where("left > 0").select("class", "n", F.size("ts").alias("s"), *[first(f).alias(p) for p, f in order.items()])
+
+
+def _fits(na: str, sa: str, nb: str, sb: str, percent: int) -> Column:
+    """Whether min(sa, sb) common tokens would do for sets of na and nb."""
+    return enough(F.least(sa, sb), F.col(na), F.col(nb), percent)
 
 
 def _filtered(pairs: DataFrame, core: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those of fitting sizes that share a prefix token under orders 2 and 3 too."""
-    a = core.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    b = core.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")
-    return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b")
+    """Of candidate pairs (a, b), those of fitting sizes that share a prefix token under every order."""
+    side = lambda x: core.select(F.col("class").alias(x), *[F.col(c).alias(c + x) for c in ("n", "s", "p1", "p2", "p3")])
+    met = F.arrays_overlap("p1a", "p1b") & F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("na", "sa", "nb", "sb", percent) & met).select("a", "b")
+
+
+def _posts(core: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tok, class, n, s, comp) of the prefixes under order 1, where a token meets more than one component."""
+    named = core.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
+    posts = named.select("class", "n", "s", F.coalesce("component", "class").alias("comp"), F.explode("p1").alias("tok"))
+    split = posts.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
+    return written(posts.join(split, "tok"), "posts")
 
 
-def _anchored(core: DataFrame, percent: int) -> DataFrame:
-    posts = core.select("class", "n", F.explode("p1").alias("tok"))
-    anchors = posts.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("tok", "a")
-    votes = posts.join(anchors, "tok").where("class <> a").groupBy(F.col("class").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-    return _filtered(best.select("a", "b"), core, percent)
+def _anchored(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    posts = _posts(core, labels)
+    centre = F.struct((F.col("s") / F.col("n")).alias("r"), F.col("class").alias("a"), "comp", "n", "s")
+    anchors = posts.groupBy("tok").agg(F.max(centre).alias("z")).select("tok", "z.a", F.col("z.comp").alias("ca"), F.col("z.n").alias("na"), F.col("z.s").alias("sa"))
+    votes = posts.join(anchors, "tok").where((F.col("comp") != F.col("ca")) & _fits("n", "s", "na", "sa", percent))
+    votes = votes.groupBy(F.col("class").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
+    return _filtered(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), core, percent)
 
 
 def _across(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes in different components, without listing pairs inside one."""
-    named = core.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-    posts = written(named.select("class", "n", F.coalesce("component", "class").alias("comp"), F.explode("p1").alias("tok")), "posts")
-    split = posts.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
-    posts = posts.join(split, "tok")
-    groups = posts.groupBy("tok", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    fit = lambda a, b: (F.col(f"{a}") * 100 >= F.col(f"{b}") * percent)
-    one = posts.select("tok", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    met = one.join(groups.select("tok", F.col("comp").alias("cb"), "lo", "hi"), "tok").where(F.col("ca") < F.col("cb")).where(fit("na", "lo") & fit("hi", "na"))
-    two = posts.select("tok", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = met.join(two, ["tok", "cb"]).where(fit("na", "nb") & fit("nb", "na")).select("a", "b").distinct()
+    posts = _posts(core, labels)
+    groups = posts.groupBy("tok", F.col("comp").alias("cb")).agg(F.min("n").alias("lo"), F.max("s").alias("most"))
+    one = posts.select("tok", F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"))
+    met = one.join(groups, "tok").where((F.col("ca") < F.col("cb")) & _fits("na", "sa", "lo", "most", percent)).drop("lo", "most")
+    two = posts.select("tok", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"))
+    pairs = met.join(two, ["tok", "cb"]).where(_fits("na", "sa", "nb", "sb", percent)).select("a", "b").distinct()
     return _filtered(pairs, core, percent)
 
 
