@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import bounded, written
 
 WORD = r"[\p{L}\p{N}]+"
-BLOCKS, WIDTH = 4, 16
+BLOCKS, WIDTH = 8, 8
 
 
 def doc_words(text: Column) -> Column:
@@ -30,19 +30,13 @@ def simhash_halves(shingles: Column) -> Column:
     hashes = F.transform(shingles, lambda s: F.md5(s))
     n = F.size(shingles)
 
-    def bits(at: int) -> Column:
-        return F.transform(hashes, lambda h: F.conv(F.substring(h, at, 8), 16, 10).cast("long"))
+    def half(at: int) -> Column:
+        values = F.transform(hashes, lambda h: F.conv(F.substring(h, at, 8), 16, 10).cast("long"))
+        votes = lambda b: F.aggregate(values, F.lit(0).cast("long"), lambda t, v: t + F.call_function("shiftright", v, b) % 2)
+        bit = lambda b: F.when(votes(b) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda t, b: t + bit(b))
 
-    def votes(values: Column, b: int) -> Column:
-        return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + F.shiftright(v, b) % 2)
-
-    def half(values: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for b in range(32):
-            out = out + F.when(votes(values, b) * 2 > n, F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
-        return out
-
-    return F.array(half(bits(1)), half(bits(9)))
+    return F.array(half(1), half(9))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -50,12 +44,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def blocks(sim: Column) -> list[Column]:
-    """The fingerprint as four 16-bit blocks."""
-    return [F.shiftright(sim[i], s) % (1 << WIDTH) for i in (0, 1) for s in (16, 0)]
+    """The fingerprint as eight 8-bit blocks."""
+    return [F.shiftright(sim[i], s) % (1 << WIDTH) for i in (0, 1) for s in (24, 16, 8, 0)]
 
 
 def neighbour_masks(radius: int) -> list[int]:
-    """All masks of 16 bits with at most radius // 4 set bits."""
+    """All masks of a block with at most radius // 8 set bits."""
     return [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(WIDTH), k)]
 
 
@@ -72,8 +66,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, similarity: f
     """(doc_id, item_id, start, n_words, hamming, similarity): windows of documents that hold a benchmark item.
 
     A window has as many words as the item and is fingerprinted by SimHash over its
-    shingles. Windows and items meet over a multi-index: four 16-bit blocks, the item's
-    side listing every neighbour of each block within radius // 4 bits, so by pigeonhole
+    shingles. Windows and items meet over a multi-index: eight 8-bit blocks, the item's
+    side listing every neighbour of each block within radius // 8 bits, so by pigeonhole
     every pair within `radius` shares a key. Pairs within the radius are verified by
     weighted shingle Jaccard, at least `similarity`; per (document, item) the best window
     is returned (ties: the first).
@@ -108,8 +102,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, similarity: f
     texts = written(texts, "simhashes")
     probe = texts.select("win", "sh", "sim", F.posexplode(F.array(*blocks(F.col("sim")))).alias("block", "key"))
     masks = F.array(*[F.lit(m) for m in neighbour_masks(radius)])
-    near = F.transform(masks, lambda m: m)
-    index = bench.select("item_id", F.posexplode(F.array(*blocks(F.col("sim")))).alias("block", "own")).select("item_id", "block", "own", F.explode(near).alias("m"))
+    index = bench.select("item_id", F.posexplode(F.array(*blocks(F.col("sim")))).alias("block", "own")).select("item_id", "block", "own", F.explode(masks).alias("m"))
     index = index.select("item_id", "block", F.col("own").bitwiseXOR(F.col("m").cast("long")).alias("key"))
     met = probe.select("win", "block", "key").join(bounded(index, 2_000_000), ["block", "key"]).select("win", "item_id").distinct()
     sides = bench.select("item_id", F.col("sh").alias("item_sh"), F.col("sim").alias("item_sim"))
