@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: fl
         if not free or n == full:
             break
         level, full = max(level, (total - (fixed or 0.0)) / free), n
-    return t.select(key, size, "weight", F.least(F.col("__cap"), F.lit(level) * F.col("weight")).alias("target"))
+    return t.select(key, size, "weight", F.round(F.least(F.col("__cap"), F.lit(level) * F.col("weight")), 6).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float = 3.0, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

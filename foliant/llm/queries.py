@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import decontaminate, fingerprints, jaccard_join, langid, mixing, sharding, url_filter, warc
+from foliant.llm import decontaminate, fingerprints, jaccard_join, langid, line_dedup, mixing, sharding, substring_dedup, url_filter, warc
 from foliant.llm.common import new_path, written
+from foliant.llm.oracle import ORACLE  # noqa: F401
 from foliant.session import table
 
 
@@ -20,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -46,6 +51,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +63,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mixing, op4_sharding, op5_language_id, op6_jaccard_join, op7_warc, op9_decontamination, op10_url_filter)}
-QUERIES["pipeline"] = corpus_pipeline.run
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_mixing, op3_line_dedup, op4_sharding, op5_language_id, op6_jaccard_join, op7_warc, op8_substring_dedup, op9_decontamination, op10_url_filter)
+}
+QUERIES["pipeline"] = corpus_pipeline.run
\ No newline at end of file

@@ -35,7 +35,8 @@ def shard(rows: DataFrame, shards: int = 24, ranges_per_shard: int = 8, overfull
     limit = max(1.0, overfull * total / shards)
     # at most shards / overfull keys can hold that much: a bounded table
     large = rows.groupBy(F.col(key).alias("__k")).agg(F.sum(size).alias("__g")).where(F.col("__g") > limit).select("__k")
-    sub = F.when(F.col("__k").isNotNull(), F.coalesce(F.xxhash64(row_id), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    own = F.col(row_id) if dict(rows.dtypes)[row_id] in ("bigint", "int") else F.when(F.col(row_id).isNotNull(), F.xxhash64(row_id))
+    sub = F.when(F.col("__k").isNotNull(), F.coalesce(own, F.lit(0))).otherwise(F.lit(0)).cast("long")
     keyed = rows.join(F.broadcast(large), F.col(key) == F.col("__k"), "left").withColumn("__sub", sub).drop("__k")
     cuts = sampled_splitters(keyed, [key, "__sub"], size, shards * ranges_per_shard)
     dealt = keyed.withColumn("__range", range_of([F.col(key), F.col("__sub")], cuts))
