@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliant.llm import words as W
 from foliant.llm.common import bounded, components, written
 
-ROUNDS = 3  # of anchors; what they leave is compared exactly
+ROUNDS = 2  # of anchors; what they leave is compared exactly
 REGION = 1 / 3  # the first order counts classes in this part of the token space
 
 
@@ -104,14 +104,14 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class"), 2_000_000), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
     full = written(full, "sets")
     core = written(_prefixes(full, percent), "prefixes")
-    links = full.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    for _ in range(ROUNDS):
-        labels = components(links)
-        new = written(_verified(_anchored(core, labels, percent), full, percent), "links")
-        links = links.unionByName(new)
-        if new.isEmpty():
+    links = tried = full.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    for turn in range(ROUNDS):
+        pairs = written(_anchored(core, components(links), tried, turn, percent), "anchored")
+        links = links.unionByName(written(_verified(_filtered(pairs, core, percent), full, percent), "links"))
+        tried = tried.unionByName(pairs)
+        if pairs.isEmpty():
             break
-    rest = _across(core, components(links), percent)
+    rest = _across(core, components(links), percent).join(bounded(tried), ["a", "b"], "left_anti").join(bounded(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     return members, links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
@@ -130,43 +130,66 @@ def _prefixes(full: DataFrame, percent: int) -> DataFrame:
     return own.withColumn("left", left).where("left > 0").select("class", "n", F.size("ts").alias("s"), *[first(f).alias(p) for p, f in order.items()])
 
 
+def needed(na: Column, nb: Column, percent: int) -> Column:
+    """Common tokens that sets of na and nb need."""
+    return F.floor((percent * (na + nb) + (99 + percent)) / F.lit(100 + percent))
+
+
 def _fits(na: str, sa: str, nb: str, sb: str, percent: int) -> Column:
     """Whether min(sa, sb) common tokens would do for sets of na and nb."""
     return enough(F.least(sa, sb), F.col(na), F.col(nb), percent)
 
 
 def _filtered(pairs: DataFrame, core: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those of fitting sizes that share a prefix token under every order."""
+    """Of candidate pairs (a, b), those of fitting sizes that share a token under every order in the
+    first n - needed + 1 tokens of either set."""
     side = lambda x: core.select(F.col("class").alias(x), *[F.col(c).alias(c + x) for c in ("n", "s", "p1", "p2", "p3")])
-    met = F.arrays_overlap("p1a", "p1b") & F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("na", "sa", "nb", "sb", percent) & met).select("a", "b")
+    room = lambda x: F.greatest(F.lit(0), F.col("s" + x) - F.col("need") + 1).cast("int")
+    met = F.lit(True)
+    for p in ("p1", "p2", "p3"):
+        met = met & F.arrays_overlap(F.slice(p + "a", F.lit(1), room("a")), F.slice(p + "b", F.lit(1), room("b")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("na", "sa", "nb", "sb", percent))
+    return both.withColumn("need", needed(F.col("na"), F.col("nb"), percent)).where(met).select("a", "b")
 
 
 def _posts(core: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tok, class, n, s, comp) of the prefixes under order 1, where a token meets more than one component."""
+    """(tok, class, n, s, comp, r) of the prefixes under order 1 where a token meets more than one
+    component; r is the token's place in its set, after those that no other class has."""
     named = core.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-    posts = named.select("class", "n", "s", F.coalesce("component", "class").alias("comp"), F.explode("p1").alias("tok"))
+    posts = named.select("class", "n", "s", F.coalesce("component", "class").alias("comp"), F.posexplode("p1").alias("r", "tok"))
+    posts = posts.withColumn("r", F.col("r") + F.col("n") - F.col("s") + 1)
     split = posts.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
     return written(posts.join(split, "tok"), "posts")
 
 
-def _anchored(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _anchored(core: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Per class one pair with an anchor of another component that was not tried: in even turns the
+    most central of those its tokens name, in odd turns the one named most often."""
     posts = _posts(core, labels)
-    centre = F.struct((F.col("s") / F.col("n")).alias("r"), F.col("class").alias("a"), "comp", "n", "s")
-    anchors = posts.groupBy("tok").agg(F.max(centre).alias("z")).select("tok", "z.a", F.col("z.comp").alias("ca"), F.col("z.n").alias("na"), F.col("z.s").alias("sa"))
+    centre = F.struct((F.col("s") / F.col("n")).alias("central"), F.col("class").alias("a"), "comp", "n", "s")
+    anchors = posts.groupBy("tok").agg(F.max(centre).alias("z")).select("tok", "z.a", "z.central", F.col("z.comp").alias("ca"), F.col("z.n").alias("na"), F.col("z.s").alias("sa"))
     votes = posts.join(anchors, "tok").where((F.col("comp") != F.col("ca")) & _fits("n", "s", "na", "sa", percent))
-    votes = votes.groupBy(F.col("class").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
-    return _filtered(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), core, percent)
+    votes = votes.groupBy(F.col("class").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"), F.max("central").alias("central"))
+    votes = votes.join(bounded(tried), ["a", "b"], "left_anti")
+    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "central", "a") if turn % 2 else F.struct("central", "votes", "a")).alias("a")).select("a", "b")
 
 
 def _across(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of classes in different components, without listing pairs inside one."""
+    """Candidate pairs of classes in different components, without listing pairs inside one.
+
+    A class meets the components of a token, with the least size, most shared tokens and least
+    place that any of their classes has; only where these would do, it meets the classes.
+    """
     posts = _posts(core, labels)
-    groups = posts.groupBy("tok", F.col("comp").alias("cb")).agg(F.min("n").alias("lo"), F.max("s").alias("most"))
-    one = posts.select("tok", F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"))
-    met = one.join(groups, "tok").where((F.col("ca") < F.col("cb")) & _fits("na", "sa", "lo", "most", percent)).drop("lo", "most")
-    two = posts.select("tok", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"))
-    pairs = met.join(two, ["tok", "cb"]).where(_fits("na", "sa", "nb", "sb", percent)).select("a", "b").distinct()
+    groups = posts.groupBy("tok", F.col("comp").alias("cb")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("s").alias("most"), F.min("r").alias("least"))
+    one = posts.select("tok", F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("r").alias("ra"), F.col("comp").alias("ca"))
+    near = lambda n, r, need: F.col(r) <= F.col(n) - need + 1
+    least = needed(F.col("na"), F.col("lo"), percent)
+    may = (F.col("ca") < F.col("cb")) & _fits("na", "sa", "lo", "most", percent) & near("na", "ra", least) & near("hi", "least", least)
+    met = one.join(groups, "tok").where(may).drop("lo", "hi", "most", "least")
+    two = posts.select("tok", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("r").alias("rb"), F.col("comp").alias("cb"))
+    need = needed(F.col("na"), F.col("nb"), percent)
+    pairs = met.join(two, ["tok", "cb"]).where(_fits("na", "sa", "nb", "sb", percent) & near("na", "ra", need) & near("nb", "rb", need)).select("a", "b").distinct()
     return _filtered(pairs, core, percent)
 
 
