@@ -50,6 +50,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once per row, however often use's lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded, written
+from foliant.llm.common import bound, bounded, written
 
 WORD = r"[\p{L}\p{N}]+"
 BLOCKS, WIDTH = 8, 8
@@ -22,7 +22,8 @@ def word_shingles(words: Column, size: int) -> Column:
     """All runs of `size` words, repeats kept; with fewer words the whole sequence; none without words."""
     n = F.size(words)
     k = F.least(F.lit(size), n)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    runs = bound(words, lambda w: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
 def simhash_halves(shingles: Column) -> Column:
@@ -32,9 +33,9 @@ def simhash_halves(shingles: Column) -> Column:
 
     def half(at: int) -> Column:
         values = F.transform(hashes, lambda h: F.conv(F.substring(h, at, 8), 16, 10).cast("long"))
-        votes = lambda b: F.aggregate(values, F.lit(0).cast("long"), lambda t, v: t + F.call_function("shiftright", v, b) % 2)
-        bit = lambda b: F.when(votes(b) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda t, b: t + bit(b))
+        votes = lambda vs, b: F.aggregate(vs, F.lit(0).cast("long"), lambda t, v: t + F.call_function("shiftright", v, b) % 2)
+        bit = lambda vs, b: F.when(votes(vs, b) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+        return bound(values, lambda vs: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda t, b: t + bit(vs, b)))
 
     return F.array(half(1), half(9))
 
