@@ -1,0 +1 @@
+"""Inputs of the document and scene flows."""
