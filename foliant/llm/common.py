@@ -149,33 +149,3 @@ def offsets(counts: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
     """Exclusive prefix sums of a table whose row count a parameter bounds (ranges or shards)."""
     before = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(by, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values])
-
-
-# ------------------------------------------------------------------ pairs from shared keys
-
-
-def shared(posts: DataFrame) -> DataFrame:
-    """Of posts (key, node), those whose key more than one node has, with the key's least node as `anchor`."""
-    keys = posts.groupBy("key").agg(F.min("node").alias("anchor"), F.max("node").alias("__z")).where("anchor <> __z").select("key", "anchor")
-    return posts.join(bounded(written(keys, "keys"), 2_000_000), "key")
-
-
-def anchored(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b): every node b of shared posts with the anchor a that most of its keys name."""
-    votes = posts.where("node <> anchor").groupBy(F.col("node").alias("b"), F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
-
-
-def across(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a key but lie in different components.
-
-    Nodes meet the components of a key, not its nodes, so pairs inside a component are
-    never listed.
-    """
-    named = posts.join(labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    named = written(named, "posts")
-    split = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    named = named.join(bounded(split), "key")
-    groups = named.select("key", F.col("comp").alias("cb")).distinct()
-    met = named.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(groups, "key").where("ca < cb")
-    return met.join(named.select("key", F.col("comp").alias("cb"), F.col("node").alias("b")), ["key", "cb"]).select("a", "b").distinct()

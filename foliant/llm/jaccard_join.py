@@ -103,7 +103,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     full = rows.join(reps, "doc_id", "left_semi").mapInArrow(_tokens(size, 1), SCHEMA)
     full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class"), 2_000_000), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
     full = written(full, "sets")
-    core = written(_prefixes(full, percent), "prefixes")
+    core = written(prefixes(full, percent), "prefixes")
     links = tried = full.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
     for turn in range(ROUNDS):
         pairs = written(_anchored(core, components(links), tried, turn, percent), "anchored")
@@ -111,11 +111,11 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
         tried = tried.unionByName(pairs)
         if pairs.isEmpty():
             break
-    rest = _across(core, components(links), percent).join(bounded(tried), ["a", "b"], "left_anti").join(bounded(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    rest = across(core, components(links), percent).join(bounded(tried), ["a", "b"], "left_anti").join(bounded(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     return members, links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
-def _prefixes(full: DataFrame, percent: int) -> DataFrame:
+def prefixes(full: DataFrame, percent: int) -> DataFrame:
     """(class, n, s, p1, p2, p3): size, tokens that others have too, and the shared part of the prefix under three orders."""
     toks = full.select("class", "n", F.explode("toks").alias("tok"))
     df = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -174,7 +174,7 @@ def _anchored(core: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, p
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "central", "a") if turn % 2 else F.struct("central", "votes", "a")).alias("a")).select("a", "b")
 
 
-def _across(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def across(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes in different components, without listing pairs inside one.
 
     A class meets the components of a token, with the least size, most shared tokens and least
