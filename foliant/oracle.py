@@ -171,6 +171,37 @@ def q(ctes: str, select: str) -> str:
 
 JOINED = rf"""CASE WHEN {rstrip("a")} = '' THEN {strip("b")} WHEN ends_with({rstrip("a")}, '-') THEN left({rstrip("a")}, length({rstrip("a")}) - 1) || {strip("b")} ELSE {rstrip("a")} || ' ' || {strip("b")} END"""
 
+def merged_paragraphs(source: str) -> str:
+    return rf"""
+pm AS (SELECT *, elem_type = 'paragraph' AS p, elem_type IN ('link', 'annotation', 'page_number') AS b, sum(CASE WHEN elem_type IN ('paragraph', 'link', 'annotation', 'page_number') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, section_number ORDER BY pos) AS seg FROM {source}),
+pf AS (SELECT *, min(CASE WHEN p THEN pos END) OVER (PARTITION BY doc_id, section_number, seg) AS first FROM pm),
+pj AS (SELECT doc_id, section_number, first AS pos, list(text ORDER BY pos) AS parts FROM pf WHERE p AND pos > first AND NOT {artifact_late("text")} AND NOT {tiny("text")} GROUP BY doc_id, section_number, first),
+pz AS (SELECT * EXCLUDE (text, parts, p, b, seg, first), CASE WHEN parts IS NULL THEN text ELSE list_reduce(list_concat([{rstrip("text")}], parts), lambda a, b: {JOINED}) END AS text FROM pf LEFT JOIN pj USING (doc_id, section_number, pos) WHERE NOT (p OR b) OR first IS NULL OR pos <= first),
+"""
+
+
+def reflowed(source: str) -> str:
+    return f"""
+rx AS (SELECT *, CASE WHEN elem_type IN ('heading', 'paragraph', 'list_item', 'caption', 'code_block') THEN nx0 END AS x FROM {source}),
+rm AS (SELECT *, coalesce(count(x) OVER w >= 6 AND max(x) OVER w - min(x) OVER w >= 0.25 AND count(CASE WHEN x <= 0.45 THEN 1 END) OVER w >= 2 AND count(CASE WHEN x >= 0.55 THEN 1 END) OVER w >= 2, false) AS m FROM rx WINDOW w AS (PARTITION BY doc_id, section_number, page_number)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number, page_number ORDER BY CASE WHEN m THEN round_even(ny0 / 0.03, 0) ELSE 0 END, CASE WHEN m THEN nx0 ELSE 0 END, gidx, pos) AS rk, min(gidx) OVER (PARTITION BY doc_id, section_number, page_number) AS lo FROM rm),
+rz AS (SELECT * EXCLUDE (pos, x, m, rk, lo), row_number() OVER (PARTITION BY doc_id, section_number ORDER BY page_number, rk) AS pos, CASE WHEN m THEN lo + rk - 1 ELSE gidx END AS reading_order_index FROM rr),
+"""
+
+
+def lined(source: str) -> str:
+    return f"""
+rs AS (SELECT *, CASE elem_type WHEN 'code_block' THEN 'code_blocks' WHEN 'image' THEN 'images' WHEN 'drawing' THEN 'drawings' END AS kind, lag(page_number) OVER (PARTITION BY doc_id, section_number ORDER BY pos) AS before FROM {source}),
+rn AS (SELECT *, 'resources/' || kind || '/' || section_number || '_' || page_number || '_' || kind || '_' || row_number() OVER (PARTITION BY doc_id, section_number, page_number, kind ORDER BY pos) || '.txt' AS path FROM rs),
+ln AS (SELECT doc_id, section_number, pos, CASE WHEN before IS NULL THEN 'page_number: ' || page_number || {NL} || {NL} WHEN before <> page_number THEN {NL} || 'page_number: ' || page_number || {NL} || {NL} ELSE '' END AS head,
+    CASE elem_type WHEN 'heading' THEN 'HEADING ' || text WHEN 'list_item' THEN 'LIST_ITEM ' || text WHEN 'caption' THEN 'CAPTION ' || text WHEN 'paragraph' THEN CASE WHEN NOT {artifact_late("text")} THEN 'PARAGRAPH ' || text END
+        WHEN 'code_block' THEN 'CODE_BLOCK ' || path WHEN 'image' THEN 'IMAGE ' || path WHEN 'drawing' THEN 'DRAWING ' || path END || {NL} AS line FROM rn),
+"""
+
+
+WHOLE = f"('section_number: ' || section_number || {NL} || {NL} || string_agg(head || coalesce(line, ''), '' ORDER BY pos))"
+CONTENT = f"SELECT doc_id, section_number, {strip(WHOLE)} || {NL} AS content FROM ln GROUP BY doc_id, section_number"
+
 ORACLE: dict[str, str] = {
     "section_outline": q(CLEAN, "SELECT doc_id, section_number, arg_min(page_number, pos) AS first_page, arg_min(text, pos) FILTER (elem_type = 'heading') AS heading, count(*) AS n_elements, count(*) FILTER (elem_type = 'paragraph') AS n_paragraphs, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM cl GROUP BY doc_id, section_number"),
     "section_listing": q(SECTIONS, f"SELECT doc_id, section_number, arg_min(page_number, pos) AS page_number, {single('arg_min(text, pos)')} AS heading FROM se WHERE elem_type = 'heading' GROUP BY doc_id, section_number"),
@@ -188,40 +219,14 @@ SELECT page_id, position, CASE lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) W
     "section_range_select": q(SECTIONS + "ss AS (SELECT *, section_number BETWEEN 2 AND 3 OR section_number BETWEEN 5 AND 6 AS hit FROM se), sk AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM ss),", "SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY old)::INT AS section_number, old, n FROM (SELECT doc_id, section_number AS old, count(*) AS n FROM sk WHERE hit OR NOT any_hit GROUP BY doc_id, section_number)"),
     "code_signals": q(BLOCKS, f"SELECT doc_id, page_number, block_no, round({density('text', WIDE)}, 6) AS wide, round({density('text', NARROW)}, 6) AS narrow, round({indent('text')}, 6) AS indent, round({short('text')}, 6) AS short, {sql_hits('text')} AS sql_hits, len({full('text')}) AS n_lines, mono, round({hits('text', '[0-9]')}::DOUBLE / greatest(1, {hits('text', '[A-Za-z0-9]')}), 6) AS numeric, round({density('text', '[.;:!?]')}, 6) AS punctuation FROM bt WHERE block_type = 0"),
     "code_demote": q(DEMOTED, "SELECT d.doc_id, d.section_number, d.pos, d.elem_type, d.text FROM dm d JOIN cl c ON c.doc_id = d.doc_id AND c.pos = d.pos WHERE c.elem_type = 'code_block'"),
-    "paragraph_merge": q(
-        DEMOTED
-        + rf"""
-pm AS (SELECT *, elem_type = 'paragraph' AS p, elem_type IN ('link', 'annotation', 'page_number') AS b, sum(CASE WHEN elem_type IN ('paragraph', 'link', 'annotation', 'page_number') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, section_number ORDER BY pos) AS seg FROM dm),
-pf AS (SELECT *, min(CASE WHEN p THEN pos END) OVER (PARTITION BY doc_id, section_number, seg) AS first FROM pm),
-pj AS (SELECT doc_id, section_number, first AS pos, list(text ORDER BY pos) AS parts FROM pf WHERE p AND pos > first AND NOT {artifact_late("text")} AND NOT {tiny("text")} GROUP BY doc_id, section_number, first),
-""",
-        f"SELECT doc_id, section_number, pos, page_number, elem_type, CASE WHEN parts IS NULL THEN text ELSE list_reduce(list_concat([{rstrip('text')}], parts), lambda a, b: {JOINED}) END AS text FROM pf LEFT JOIN pj USING (doc_id, section_number, pos) WHERE NOT (p OR b) OR first IS NULL OR pos <= first",
-    ),
-    "column_reflow": q(
-        SECTIONS
-        + """
-rx AS (SELECT *, CASE WHEN elem_type IN ('heading', 'paragraph', 'list_item', 'caption', 'code_block') THEN nx0 END AS x FROM se),
-rm AS (SELECT *, coalesce(count(x) OVER w >= 6 AND max(x) OVER w - min(x) OVER w >= 0.25 AND count(CASE WHEN x <= 0.45 THEN 1 END) OVER w >= 2 AND count(CASE WHEN x >= 0.55 THEN 1 END) OVER w >= 2, false) AS m FROM rx WINDOW w AS (PARTITION BY doc_id, section_number, page_number)),
-rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number, page_number ORDER BY CASE WHEN m THEN round_even(ny0 / 0.03, 0) ELSE 0 END, CASE WHEN m THEN nx0 ELSE 0 END, gidx, pos) AS rk, min(gidx) OVER (PARTITION BY doc_id, section_number, page_number) AS lo FROM rm),
-""",
-        "SELECT doc_id, section_number, page_number, row_number() OVER (PARTITION BY doc_id, section_number ORDER BY page_number, rk) AS pos, CASE WHEN m THEN lo + rk - 1 ELSE gidx END AS reading_order_index, elem_type FROM rr",
-    ),
+    "paragraph_merge": q(DEMOTED + merged_paragraphs("dm"), "SELECT doc_id, section_number, pos, page_number, elem_type, text FROM pz"),
+    "column_reflow": q(SECTIONS + reflowed("se"), "SELECT doc_id, section_number, page_number, pos, reading_order_index, elem_type FROM rz"),
     "line_cluster_count": q(LINES, "SELECT doc_id, list_reduce(list_concat([{'s': 0.0::DOUBLE, 'n': 0::BIGINT, 'k': 0::BIGINT}], list_transform(list(length(line)::DOUBLE ORDER BY length(line)), lambda v: {'s': v, 'n': 1::BIGINT, 'k': 0::BIGINT})), lambda a, v: CASE WHEN a.n > 0 AND abs(v.s - a.s / greatest(a.n, 1)) <= 8.0 THEN {'s': a.s + v.s, 'n': a.n + 1, 'k': a.k} ELSE {'s': v.s, 'n': 1::BIGINT, 'k': a.k + 1} END).k AS clusters FROM ml GROUP BY doc_id"),
     "resource_names": q(
         DEMOTED + "rs AS (SELECT doc_id, section_number, page_number, pos, CASE elem_type WHEN 'code_block' THEN 'code_blocks' WHEN 'image' THEN 'images' WHEN 'drawing' THEN 'drawings' END AS resource_kind FROM dm),",
         "SELECT doc_id, section_number, pos, resource_kind, resource_no, 'resources/' || resource_kind || '/' || section_number || '_' || page_number || '_' || resource_kind || '_' || resource_no || '.txt' AS resource_path FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, section_number, page_number, resource_kind ORDER BY pos))::INT AS resource_no FROM rs WHERE resource_kind IS NOT NULL)",
     ),
-    "section_lines": q(
-        DEMOTED
-        + f"""
-rs AS (SELECT *, CASE elem_type WHEN 'code_block' THEN 'code_blocks' WHEN 'image' THEN 'images' WHEN 'drawing' THEN 'drawings' END AS kind, lag(page_number) OVER (PARTITION BY doc_id, section_number ORDER BY pos) AS before FROM dm),
-rn AS (SELECT *, 'resources/' || kind || '/' || section_number || '_' || page_number || '_' || kind || '_' || row_number() OVER (PARTITION BY doc_id, section_number, page_number, kind ORDER BY pos) || '.txt' AS path FROM rs),
-ln AS (SELECT doc_id, section_number, pos, CASE WHEN before IS NULL THEN 'page_number: ' || page_number || {NL} || {NL} WHEN before <> page_number THEN {NL} || 'page_number: ' || page_number || {NL} || {NL} ELSE '' END AS head,
-    CASE elem_type WHEN 'heading' THEN 'HEADING ' || text WHEN 'list_item' THEN 'LIST_ITEM ' || text WHEN 'caption' THEN 'CAPTION ' || text WHEN 'paragraph' THEN CASE WHEN NOT {artifact_late("text")} THEN 'PARAGRAPH ' || text END
-        WHEN 'code_block' THEN 'CODE_BLOCK ' || path WHEN 'image' THEN 'IMAGE ' || path WHEN 'drawing' THEN 'DRAWING ' || path END || {NL} AS line FROM rn),
-""",
-        f"SELECT doc_id, section_number, {strip(f'''('section_number: ' || section_number || {NL} || {NL} || string_agg(head || coalesce(line, ''), '' ORDER BY pos))''')} || {NL} AS content FROM ln GROUP BY doc_id, section_number",
-    ),
+    "section_lines": q(DEMOTED + lined("dm"), CONTENT),
     "indent_code": q(
         CLEAN + f"ic AS (SELECT doc_id, pos, {trimmed_lines('text')} AS ls FROM cl WHERE elem_type = 'code_block'),",
         "SELECT doc_id, pos, "
@@ -357,3 +362,46 @@ WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k, '"' || event_type |
 SELECT event_id, coalesce(try_cast(k AS DOUBLE), 0.45::DOUBLE) AS number, greatest(1, coalesce(try_cast(CASE WHEN event_id % 3 > 0 THEN k ELSE 'x' END AS INT), 1))::BIGINT AS whole,
     CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 2 THEN k IN ('1') ELSE false END AS flag, regexp_replace(quoted, '^"(.*)"$', '\\1') AS plain FROM e""",
 }
+
+
+# ------------------------------------------------------------------ split code
+
+
+def artifact_in_code(t: str) -> str:
+    s = single(t)
+    return rf"({s} = '' OR (length({s}) <= 90 AND (regexp_matches({s}, '\|\s*\d{{1,4}}\s*$') OR regexp_matches({s}, '(?i)^\d{{1,4}}\s*\|\s*chapter\b') OR regexp_matches({s}, '^\d{{1,4}}\s*\|\s*[A-Za-z][\p{{L}}\p{{M}}\p{{N}}_\s\-:,]+$') OR regexp_matches({s}, '(?i)^chapter\s+\d+\b'))))"
+
+
+def goes_on(a: str, b: str) -> str:
+    loose = lambda t: share(t, r"regexp_matches(z_, '^[ \t]')")
+    ends = r"[{(\[:\\,.]$"
+    begins = r"^(?:else|elif|except|catch|finally|\.|\)|\]|\}|&&|\|\||\+|-|\*|/|%|=>|->|::)"
+    alike = f"(abs({loose(a)} - {loose(b)}) <= 0.25 AND abs({density(a, WIDE)} - {density(b, WIDE)}) <= 0.06)"
+    return rf"({strip(a)} <> '' AND {strip(b)} <> '' AND (regexp_matches({rstrip(a)}, '{ends}') OR regexp_matches(lower(regexp_replace({b}, '^\s+', '')), '{begins}') OR {alike}))"
+
+
+STATE = "{'page': v_.page, 'role': v_.role, 'ok': v_.ok, 'follows': v_.follows, 'pos': v_.pos, 'b': CASE WHEN %s THEN a_.b WHEN v_.role = 'code' THEN v_.pos END, 'bp': CASE WHEN %s THEN a_.bp WHEN v_.role = 'code' THEN v_.page END, 'o': list_append(a_.o, CASE WHEN %s THEN a_.b WHEN v_.role = 'code' THEN v_.pos END)}"
+STAYS = "(a_.b IS NOT NULL AND (v_.role = 'skip' OR (v_.role = 'code' AND (v_.page = a_.bp OR v_.ok)) OR (v_.role = 'tiny' AND v_.follows IS NOT NULL AND (v_.follows = a_.bp OR v_.follows = -1))))"
+
+MERGED = rf"""
+cr AS (SELECT *, CASE WHEN elem_type IN ('heading', 'caption', 'image', 'table', 'drawing') THEN 'hard' WHEN elem_type IN ('link', 'annotation') OR (elem_type = 'paragraph' AND {artifact_in_code("text")}) THEN 'skip'
+    WHEN elem_type = 'code_block' THEN 'code' WHEN elem_type = 'paragraph' AND {tiny("text")} THEN 'tiny' ELSE 'other' END AS role,
+    last_value(CASE WHEN elem_type = 'code_block' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id, section_number ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM dm),
+co AS (SELECT *, coalesce(role = 'code' AND {goes_on("prev", "text")}, false) AS ok FROM cr),
+cn AS (SELECT *, lead(CASE WHEN role = 'code' THEN CASE WHEN ok THEN -1 ELSE page_number END END) OVER (PARTITION BY doc_id, section_number ORDER BY pos) AS follows FROM co),
+cf AS (SELECT doc_id, section_number, list(pos ORDER BY pos) AS ps, list_reduce(list_concat([{{'page': 0::INT, 'role': '', 'ok': false, 'follows': NULL::INT, 'pos': NULL::BIGINT, 'b': NULL::BIGINT, 'bp': NULL::INT, 'o': []::BIGINT[]}}],
+    list({{'page': page_number, 'role': role, 'ok': ok, 'follows': follows::INT, 'pos': pos, 'b': NULL::BIGINT, 'bp': NULL::INT, 'o': []::BIGINT[]}} ORDER BY pos)), lambda a_, v_: {STATE % (STAYS, STAYS, STAYS)}).o AS bases FROM cn GROUP BY ALL),
+cb AS (SELECT doc_id, section_number, unnest(ps) AS pos, unnest(bases) AS base FROM cf),
+cj AS (SELECT cn.*, base, count(CASE WHEN role = 'code' THEN 1 END) OVER (PARTITION BY doc_id, section_number, base) AS n_code FROM cn JOIN cb USING (doc_id, section_number, pos)),
+ct AS (SELECT doc_id, section_number, base AS pos, string_agg(rtrim(text, {NL}), {NL} ORDER BY pos) FILTER (rtrim(text, {NL}) <> '') AS whole FROM cj WHERE base IS NOT NULL AND n_code > 1 AND role = 'code' GROUP BY doc_id, section_number, base),
+mc AS (SELECT * EXCLUDE (text, whole, role, prev, ok, follows, base, n_code), coalesce(whole, text) AS text FROM cj LEFT JOIN ct USING (doc_id, section_number, pos) WHERE base IS NULL OR n_code = 1 OR pos = base),
+"""
+ORACLE["code_merge"] = q(DEMOTED + MERGED, "SELECT doc_id, section_number, pos, page_number, elem_type, text FROM mc")
+
+CHOSEN = """
+sq AS (SELECT * EXCLUDE (hit, any_hit) FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM (SELECT *, section_number BETWEEN 15 AND 238 AS hit FROM se)) WHERE hit OR NOT any_hit),
+"""
+RENUMBERED = """
+nm AS (SELECT * EXCLUDE (section_number), (dense_rank() OVER (PARTITION BY doc_id ORDER BY section_number))::INT AS section_number FROM rz),
+"""
+ORACLE["document_flow"] = q(SECTIONS + CHOSEN + DEMOTED.removeprefix(SECTIONS).replace("FROM se WHERE", "FROM sq WHERE") + MERGED + merged_paragraphs("mc") + reflowed("pz") + RENUMBERED + lined("nm"), CONTENT)
