@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ def code_role(kind: Column, text: Column) -> Column:
     )
 
 
-def code_runs(roles: list[int], pages: list[int], goes_on: list[bool]) -> list[list[int]]:
+def code_runs(roles: Sequence[int], pages: Sequence[int], goes_on: Sequence[bool]) -> list[list[int]]:
     """Runs of code blocks to be merged, as positions: [code..., stop], where stop is the first position not consumed.
 
     goes_on[i] says whether the code block at i continues the code block before it. A run
@@ -98,33 +98,51 @@ def code_runs(roles: list[int], pages: list[int], goes_on: list[bool]) -> list[l
     return runs
 
 
+def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (doc_id, section_number, pos); gives (doc_id, section_number, pos, base, code) of every consumed row."""
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["doc_id", "section_number", "pos", "base", "code"]
+
+    def consumed(key: tuple, rows: list[tuple]) -> list[tuple]:
+        pos, pages, roles, on = zip(*rows)
+        return [(*key, pos[k], pos[run[0]], k in run) for *run, stop in code_runs(roles, pages, on) for k in range(run[0], stop)]
+
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for doc, section, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (doc, section):
+                out += consumed(key, held) if held else []
+                key, held = (doc, section), []
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    if held and (out := consumed(key, held)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+
 def merge_code(sections: DataFrame) -> DataFrame:
     """Split code blocks are joined, and what stood between them goes.
 
     Roles and the page-crossing test are columns. Only sections with two code blocks or
     more reach the fold, which sees positions, pages and roles but no other field; what it
-    returns (which rows go, which rows' texts to join) is applied with joins.
+    returns (which rows go, which rows' texts to join) is applied with one join.
     """
     part = Window.partitionBy(*SECTION)
     before = F.last(F.when(F.col("elem_type") == "code_block", F.col("text")), ignorenulls=True).over(part.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = sections.withColumn("__role", code_role(F.col("elem_type"), F.col("text")))
-    rows = rows.withColumn("__on", F.coalesce((F.col("__role") == CODE) & T.continues(before, F.col("text")), F.lit(False)))
+    rows = sections.withColumn("__role", code_role(F.col("elem_type"), F.col("text"))).withColumn("__b", F.when(F.col("__role") == CODE, before))
+    rows = rows.withColumn("__on", F.coalesce(T.continues(F.col("__b"), F.col("text")), F.lit(False))).drop("__b")
     slim = rows.withColumn("__n", F.sum((F.col("__role") == CODE).cast("int")).over(part)).where("__n > 1").select(*SECTION, "pos", F.col("page_number").alias("page"), F.col("__role").alias("role"), F.col("__on").alias("goes_on"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos = pdf["pos"].tolist()
-        out = [(pos[k], pos[run[0]], k in run[:-1]) for run in code_runs(pdf["role"].tolist(), pdf["page"].tolist(), pdf["goes_on"].tolist()) for k in range(run[0], run[-1])]
-        doc, section = pdf["doc_id"].iloc[0], pdf["section_number"].iloc[0]
-        return pd.DataFrame({"doc_id": doc, "section_number": section, "pos": [o[0] for o in out], "base": [o[1] for o in out], "code": [o[2] for o in out]}).astype({"doc_id": "int64", "section_number": "int32", "pos": "int64", "base": "int64", "code": "bool"})
-
-    plan = slim.groupBy(*SECTION).applyInPandas(fold, "doc_id long, section_number int, pos long, base long, code boolean")
+    # the count's window has dealt the rows by section, so a partition holds whole sections
+    plan = slim.sortWithinPartitions(*SECTION, "pos").mapInArrow(_fold_runs, "doc_id long, section_number int, pos long, base long, code boolean")
     marked = rows.drop("__role", "__on").join(plan, [*SECTION, "pos"], "left")
-    part_text = F.regexp_replace("text", r"\n+$", "")
-    parts = marked.where("code").groupBy(*SECTION, F.col("base").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", part_text.alias("t")))).alias("__p"))
-    kept = marked.where("base is null or base = pos").join(parts, [*SECTION, "pos"], "left")
+    # a run's texts meet at its base: runs are short, and rows outside of runs gather nothing
+    text = F.when(F.col("code"), F.struct("pos", F.regexp_replace("text", r"\n+$", "").alias("t")))
+    parts = F.array_sort(F.collect_list(text).over(Window.partitionBy(*SECTION, "base")))
     whole = F.array_join(F.filter(F.transform("__p", lambda x: x["t"]), lambda t: t != ""), "\n")
-    return kept.withColumn("text", F.when(F.col("__p").isNotNull(), whole).otherwise(F.col("text"))).select(*sections.columns)
+    kept = marked.withColumn("__p", parts).where("base is null or base = pos")
+    return kept.withColumn("text", F.when(F.col("base").isNotNull(), whole).otherwise(F.col("text"))).select(*sections.columns)
 
 
 # ------------------------------------------------------------------ W7

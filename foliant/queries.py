@@ -15,7 +15,7 @@ from foliant.operators import sections as S
 from foliant.operators import sinks as K
 from foliant.operators import tables as R
 from foliant.plans import documents as D
-from foliant.session import table
+from foliant.session import importable, table
 from foliant.sources import blocks as B
 from foliant.sources import scenes as X
 
@@ -66,7 +66,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("flow", SCENE)], "scene_id string, text string")
+    return importable(spark).createDataFrame([("flow", SCENE)], "scene_id string, text string")
 
 
 def r6(c: Column | str) -> Column:
