@@ -50,6 +50,7 @@ def test_files_round_trip(spark, tmp_path):
     done = C.compiled(scenes)
     text = K.scene_json(done).first()
     data = json.loads(text["json"])
+    assert text["json"] == json.dumps(data, indent=2) + "\n"
     assert text["file"] == "flow.render.json" and [e["name"] for e in data["elements"]] == ["SERVER", "CACHE", "CACHE_TO_SERVER", "FLOW_DOT"]
     arrow = data["elements"][2]
     assert arrow["from"] == [-1.5, 0.0] and arrow["to"] == [1.5, 0.0] and "movement" not in arrow and "path" not in arrow
