@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows and valid bound what comes to the driver: the labelled documents the model is fitted and calibrated on."""
+    """buckets may be at most 65536. rows and valid bound what comes to the driver: the labelled documents the model is fitted and calibrated on."""
 
-    rows: int = 2400
-    valid: int = 600
+    rows: int = 1500
+    valid: int = 400
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 6
@@ -119,21 +120,26 @@ def fit(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model:
     held = max(1, len(rows) * s.valid // (s.rows + s.valid)) if len(rows) > 4 else 0
     train, valid = rows[: len(rows) - held], rows[len(rows) - held :]
     at = {lang: i for i, lang in enumerate(langs)}
-    data = []
+    ids_of, share_of, ends, ys = array("H"), array("f"), [0], []  # bucket numbers and weights of all pieces, end to end
     for text, lang in train:
         lines = [x for x in text.split("\n") if len(x) >= s.line_chars]
         for piece in [text, *(lines[i] for i in rng.permutation(len(lines))[:2])]:
             ids, counts = np.unique(subwords(points(piece), s.buckets), return_counts=True)
             if ids.size:
-                data.append((ids, (counts / counts.sum()).astype(np.float32), at[lang]))
+                ids_of.frombytes(ids.astype(np.uint16).tobytes())
+                share_of.frombytes((counts / counts.sum()).astype(np.float32).tobytes())
+                ends.append(len(ids_of))
+                ys.append(at[lang])
+    all_ids, all_shares = np.frombuffer(ids_of, np.uint16) if ys else np.zeros(0, np.uint16), np.frombuffer(share_of, np.float32) if ys else np.zeros(0, np.float32)
+    piece = lambda i: (all_ids[ends[i] : ends[i + 1]], all_shares[ends[i] : ends[i + 1]], ys[i])
     emb = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out, bias = np.zeros((s.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    epochs = max(s.epochs, -(-s.steps * s.batch // max(1, len(data))))  # small tables are gone over more often
+    epochs = max(s.epochs, -(-s.steps * s.batch // max(1, len(ys))))  # small tables are gone over more often
     for epoch in range(epochs):
         rate = s.rate * (1 - epoch / epochs)
-        order = rng.permutation(len(data))
+        order = rng.permutation(len(ys))
         for b in range(0, len(order), s.batch):
-            part = [data[i] for i in order[b : b + s.batch]]
+            part = [piece(i) for i in order[b : b + s.batch]]
             mean = np.stack([w @ emb[ids] for ids, w, _ in part])
             g = softmax(mean @ out + bias)
             g[np.arange(len(part)), [y for *_, y in part]] -= 1
