@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded, offsets, partitions, range_of, sampled_splitters
+from foliant.llm.common import bounded, offsets, partitions, range_of, sampled_splitters, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float
     gives an empty table. Columns of docs named like the four new ones are replaced.
     """
     named = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text)))
-    totals = named.groupBy(F.col(source).alias("__s")).agg(F.sum("size").alias("source_size"))
+    totals = written(named.groupBy(F.col(source).alias("__s")).agg(F.sum("size").alias("source_size")), "sources")
     goals = source_targets(totals, weights, cap, key="__s").select("__s", "source_size", "target")
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
