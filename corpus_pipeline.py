@@ -6,6 +6,8 @@ last adds shard and slot); run() writes each stage as Parquet and reads it again
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ from foliant.llm.common import bounded, written
 from foliant.session import table
 
 
+def aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with the columns of docs alone; own columns named as those that work adds are kept aside meanwhile."""
+    own = {c: f"__own_{c}" for c in names if c in docs.columns}
+    renamed = docs.withColumnsRenamed(own)
+    return work(renamed).select(*renamed.columns).withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is not among ids; documents with a null doc_id stay."""
     return docs.join(bounded(ids), "doc_id", "left_anti")
@@ -22,7 +31,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: null, without letters, or below the calibrated threshold."""
     model = langid.train(docs)
-    return langid.identify(docs, model).where("accepted").select(*docs.columns)
+    return aside(docs, ("lang_pred", "score", "accepted"), lambda d: langid.identify(d, model).where("accepted"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +57,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks: the rows repeat."""
-    return mixing.emit(mixing.mix_sources(docs)).select(*docs.columns)
+    return aside(docs, ("size", "source_size", "target", "copies"), lambda d: mixing.emit(mixing.mix_sources(d)))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with shard and slot, 24 shards of near equal bytes."""
+    """The rows with shard and slot, 24 shards of near equal bytes; own columns of these names are replaced."""
+    docs = docs.drop("shard", "slot")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     keyed = docs.withColumn("__key", sharding.shard_key(F.col("text"))).withColumn("__size", size)
     return sharding.shard(keyed, key="__key", size="__size").select(*docs.columns, "shard", "slot")

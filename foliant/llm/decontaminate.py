@@ -63,7 +63,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return F.when(high > 0, low.cast("double") / high).otherwise(F.lit(0.0))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 15, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): windows of documents that hold a benchmark item.
 
     A window has as many words as the item and is fingerprinted by SimHash over its

@@ -60,7 +60,7 @@ every AS (SELECT DISTINCT sh FROM (SELECT sh FROM tx UNION ALL SELECT sh FROM bs
 hash AS (SELECT sh, list_transform(sh, lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT) AS h1, list_transform(sh, lambda s: ('0x' || substr(md5(s), 9, 8))::BIGINT) AS h2 FROM every),
 sim AS (SELECT sh, list_sum(list_transform(range(32), lambda k: CASE WHEN 2 * list_sum(list_transform(h1, lambda v: (v >> k) & 1)) > len(h1) THEN 1::BIGINT << k ELSE 0 END))::BIGINT AS a,
         list_sum(list_transform(range(32), lambda k: CASE WHEN 2 * list_sum(list_transform(h2, lambda v: (v >> k) & 1)) > len(h2) THEN 1::BIGINT << k ELSE 0 END))::BIGINT AS b FROM hash),
-near AS (SELECT tx.x, bs.item_id, tx.sh AS p, bs.sh AS q, bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) AS hamming FROM tx JOIN sim u ON u.sh = tx.sh, bs JOIN sim v ON v.sh = bs.sh WHERE bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) <= 15),
+near AS (SELECT tx.x, bs.item_id, tx.sh AS p, bs.sh AS q, bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) AS hamming FROM tx JOIN sim u ON u.sh = tx.sh, bs JOIN sim v ON v.sh = bs.sh WHERE bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) <= 23),
 ex AS (SELECT x, item_id, hamming, list_sum(list_transform(list_distinct(list_concat(p, q)), lambda s: least(len(list_filter(p, lambda y: y = s)), len(list_filter(q, lambda y: y = s)))))::DOUBLE
        / list_sum(list_transform(list_distinct(list_concat(p, q)), lambda s: greatest(len(list_filter(p, lambda y: y = s)), len(list_filter(q, lambda y: y = s))))) AS similarity FROM near),
 o AS (SELECT doc_id, item_id, st, n, hamming, similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st, n) AS k FROM win JOIN ex USING (x) WHERE similarity >= 0.8)

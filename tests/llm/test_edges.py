@@ -226,7 +226,9 @@ def test_stages(spark, docs, none, sf_dir, name):
     assert stage(spark, none, sf_dir).count() == 0
     out = stage(spark, docs, sf_dir)
     assert out.columns == docs.columns + (["shard", "slot"] if name == P.STAGES[-1][0] else [])
-    ids = [r["doc_id"] for r in out.collect()]
+    rows = out.collect()
+    ids = [r["doc_id"] for r in rows]
+    assert {(r["size"], r["rank"], r["h"], r["comp"], r["w"]) for r in rows} == {(1, 2, 3, "c", "w")}
     if name == "n-gram jaccard join":
         assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 6, 7, 8, 9] and ids.count(None) == 2
     if name == "benchmark decontamination":
