@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from foliant.llm import words as W
 from foliant.llm.common import bounded, components, written
 
-ROUNDS = 2  # of anchors; what they leave is compared exactly
 REGION = 1 / 3  # the first order counts classes in this part of the token space
 
 
@@ -41,7 +40,7 @@ def _tokens(size: int, region: float):
                     classes.append(int((key[0] * np.uint64(3) + key[1]).view(np.int64)))
                 toks.append(s if limit is None else s[: np.searchsorted(s, limit)])
                 held += len(toks[-1])
-                if held > 1 << 21:
+                if held > 1 << 19:
                     yield flush(i + 1)
                     ns, classes, toks, held, done = [], [], [], 0, i + 1
             if done < batch.num_rows:
@@ -83,10 +82,9 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
        class has it, and drop the classes whose prefix is unshared.
     2. For those left, count document frequencies of all tokens; three global orders sort a
        set by (frequency, hash_k). A pair must share a prefix token under each of them.
-    3. Each class is paired with the anchor (the class with the fewest unshared tokens) that
-       its prefix tokens name most often; pairs that pass the size filters and all three
-       orders are verified exactly. A few such rounds, each with anchors from other
-       components, join most of what belongs together.
+    3. Each class is paired with the anchor of its prefix tokens that has the least part of
+       unshared tokens (what copies have in common has none); pairs that pass the size filters and all three
+       orders are verified exactly, which joins most of what belongs together.
     4. Then every pair of classes that shares a prefix token under order 1 but lies in
        different components passes the same filters and is verified. Pairs inside a
        component cannot change it, so a large group of near copies never has its pairs
@@ -104,14 +102,10 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class"), 2_000_000), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
     full = written(full, "sets")
     core = written(prefixes(full, percent), "prefixes")
-    links = tried = full.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    for turn in range(ROUNDS):
-        pairs = written(_anchored(core, components(links), tried, turn, percent), "anchored")
-        links = links.unionByName(written(_verified(_filtered(pairs, core, percent), full, percent), "links"))
-        tried = tried.unionByName(pairs)
-        if pairs.isEmpty():
-            break
-    rest = across(core, components(links), percent).join(bounded(tried), ["a", "b"], "left_anti").join(bounded(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    pairs = written(_anchored(core, percent), "anchored")
+    links = written(_verified(_filtered(pairs, core, percent), full, percent), "links")
+    tried = bounded(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    rest = across(core, components(links), percent).join(tried, ["a", "b"], "left_anti")
     return members, links.unionByName(written(_verified(rest, full, percent), "links"))
 
 
@@ -162,16 +156,13 @@ def _posts(core: DataFrame, labels: DataFrame) -> DataFrame:
     return written(posts.join(split, "tok"), "posts")
 
 
-def _anchored(core: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Per class one pair with an anchor of another component that was not tried: in even turns the
-    most central of those its tokens name, in odd turns the one named most often."""
-    posts = _posts(core, labels)
-    centre = F.struct((F.col("s") / F.col("n")).alias("central"), F.col("class").alias("a"), "comp", "n", "s")
-    anchors = posts.groupBy("tok").agg(F.max(centre).alias("z")).select("tok", "z.a", "z.central", F.col("z.comp").alias("ca"), F.col("z.n").alias("na"), F.col("z.s").alias("sa"))
-    votes = posts.join(anchors, "tok").where((F.col("comp") != F.col("ca")) & _fits("n", "s", "na", "sa", percent))
-    votes = votes.groupBy(F.col("class").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"), F.max("central").alias("central"))
-    votes = votes.join(bounded(tried), ["a", "b"], "left_anti")
-    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "central", "a") if turn % 2 else F.struct("central", "votes", "a")).alias("a")).select("a", "b")
+def _anchored(core: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): every class b with the most central class that its prefix tokens under order 1 name."""
+    posts = core.select("class", "n", "s", F.explode("p1").alias("tok"))
+    centre = F.struct((F.col("s") / F.col("n")).alias("central"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    anchors = posts.groupBy("tok").agg(F.max(centre).alias("z"))
+    named = posts.join(anchors, "tok").select(F.col("class").alias("b"), "n", "s", "z.*").where((F.col("a") != F.col("b")) & _fits("n", "s", "na", "sa", percent))
+    return named.groupBy("b").agg(F.max_by("a", F.struct("central", "a")).alias("a")).select("a", "b")
 
 
 def across(core: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -69,7 +69,7 @@ def words(texts: pa.Array, spans: bool = False):
     """For each text its words' hashes, or (starts, ends, hashes) in bytes if spans.
 
     Words are runs of bytes other than space and \\t to \\r, A-Z lower-cased. A null text
-    has none. Texts are worked off in pieces of about 1 MB, so memory does not grow with
+    has none. Texts are worked off in pieces of about 256 kB, so memory does not grow with
     the batch, and a longer text is cut at white space.
     """
     texts = texts.cast(pa.large_string())
