@@ -3,6 +3,8 @@ splitters, checked broadcasts and distributed connected components."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Sequence
 
@@ -20,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+    """A path of its own under the shared folder; a local one is removed when Python ends."""
+    path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
+    if path.startswith(LOCAL_SHARED):
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
