@@ -6,7 +6,7 @@ import configparser
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOVEMENT = "struct<type:string,path:array<array<double>>,duration:double,repeat:int,reverse:boolean>"
@@ -94,8 +94,7 @@ def scene_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         move.alias("movement"),
     )
     action = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "spawn", "click", "move", "view", "idle", "purchase", "wait", "error", "close")]), F.col("event_type"))
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id", "user_id", "event_type", "value")))
-    steps = days.groupBy("scene_id").agg(order.alias("s")).select("scene_id", F.posexplode("s").alias("p", "e")).select("scene_id", (F.col("p") + 1).alias("step_no"), "e.*")
+    steps = days.withColumn("step_no", F.row_number().over(Window.partitionBy("scene_id").orderBy("ts", "event_id")))
     name = F.concat(F.lit("u"), u.cast("string"))
     steps = steps.withColumn("action", action).select(
         "scene_id",
