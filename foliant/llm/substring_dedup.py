@@ -14,6 +14,7 @@ from foliant.llm.common import partitions, written
 
 K, WINDOW, MARGIN, STEP = 8, 16, 64, 64
 GAP = 0.01  # cost of a word of gap, in seeds
+TABLE = 1 << 18  # most cells of an alignment table
 
 
 def minimizers(kmers: np.ndarray, window: int) -> np.ndarray:
@@ -134,7 +135,8 @@ def chains(x: np.ndarray, y: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
     return out
 
 
-CHAIN = ["doc", "partner", "x0", "x1", "y0", "y1", "seeds"]
+CHAIN = ["doc", "partner", "x0", "x1", "y0", "y1", "sx", "sy"]
+TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
 
 
 def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +149,7 @@ def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             for c in chains(x[a:b], y[a:b]) if b - a > 1 else ():
                 xs, ys = x[a:b][c], y[a:b][c]
                 if max(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
-                    found.append((len(c), doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K))
+                    found.append((len(c), doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
         found.sort(key=lambda c: (-c[0], c[2], c[3]))
         spans: list[tuple[int, int]] = []
         rows = []
@@ -155,12 +157,12 @@ def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             inside = max((min(c[4], e) - max(c[3], s) for s, e in spans), default=0)
             if inside < 0.9 * (c[4] - c[3]):
                 spans.append((c[3], c[4]))
-                rows.append((*c[1:], c[0]))
+                rows.append(c[1:])
         return rows
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 5)], CHAIN)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], CHAIN)
 
     rest = [np.zeros(0, np.int64)] * 4
     for batch in batches:
@@ -212,31 +214,154 @@ def _extend(same: np.ndarray, penalty: float = 2.0, drop: float = 24.0) -> tuple
     return n, int(same[:n].sum())
 
 
-def banded(a: np.ndarray, b: np.ndarray, slack: int = 16) -> int:
-    """Matches in the best alignment of a and b that strays at most |len(a) - len(b)| + slack from the diagonal."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and in b of a longest common subsequence."""
     n, m = len(a), len(b)
-    width = abs(n - m) + slack
-    row = np.zeros(m + 1, np.int32)
+    t = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n):
-        lo, hi = max(0, i - width), min(m, i + width + 1)
-        new = row.copy()
-        new[lo + 1 : hi + 1] = np.maximum(row[lo + 1 : hi + 1], row[lo:hi] + (b[lo:hi] == a[i]))
-        new[hi + 1 :] = 0
-        np.maximum.accumulate(new, out=new)
-        row = new
-    return int(row[-1])
-
-
-def align(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, matches) of a chain's passage, aligned inside and extended at both ends."""
-    n = min(x0, y0)
-    back, m0 = _extend((a[x0 - n : x0] == b[y0 - n : y0])[::-1])
-    n = min(len(a) - x1, len(b) - y1)
-    on, m1 = _extend(a[x1 : x1 + n] == b[y1 : y1 + n])
-    inner = int((a[x0:x1] == b[y0:y1]).sum()) if x1 - x0 == y1 - y0 else -1
-    if inner < 0.95 * (x1 - x0):
-        inner = banded(a[x0:x1], b[y0:y1])
-    return x0 - back, x1 + on, y0 - back, y1 + on, m0 + inner + m1
+        t[i + 1, 1:] = np.maximum(t[i, 1:], t[i, :-1] + (b == a[i]))
+        np.maximum.accumulate(t[i + 1], out=t[i + 1])
+    xs, ys, i, j = [], [], n, m
+    while t[i, j]:
+        if t[i, j] == t[i - 1, j]:
+            i -= 1
+        elif t[i, j] == t[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            xs.append(i)
+            ys.append(j)
+    return np.array(xs[::-1], np.int64), np.array(ys[::-1], np.int64)
+
+
+def between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words of two stretches between seeds: on the diagonal if few differ, else by the longest common
+    subsequence; of stretches too long for its table what follows from either end."""
+    n = min(len(a), len(b))
+    if len(a) == len(b) and (same := np.flatnonzero(a == b)).size >= n - 2:
+        return same, same
+    if len(a) * len(b) <= TABLE:
+        return common(a, b)
+    on, _ = _extend(a[:n] == b[:n])
+    back, _ = _extend((a[len(a) - n :] == b[len(b) - n :])[::-1])
+    back = min(back, n - on)
+    head = np.flatnonzero(a[:on] == b[:on])
+    tail = np.flatnonzero(a[len(a) - back :] == b[len(b) - back :])
+    return np.concatenate([head, tail + len(a) - back]), np.concatenate([head, tail + len(b) - back])
+
+
+def path(a: np.ndarray, b: np.ndarray, sx: np.ndarray, sy: np.ndarray, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions of equal words, aligned along a chain of seeds and beyond its ends: on the diagonal, or freely (ends)."""
+    turn = np.flatnonzero(np.concatenate([[True], np.diff(sx) != np.diff(sy), [True]]))
+    step = []  # where seeds leave the diagonal, or more than two words differ between two
+    for s, e in zip(turn[:-1], turn[1:]):
+        wrong = np.concatenate([[0], np.cumsum(a[sx[s] : sx[e - 1]] != b[sy[s] : sy[e - 1]])])[sx[s:e] - sx[s]]
+        step += [s, *(s + 1 + np.flatnonzero(np.diff(wrong) > 2))]
+    xs, ys, x, y = [], [], 0, 0
+    for i, (s, e) in enumerate(zip(step, [*step[1:], len(sx)])):
+        x0, y0 = int(sx[s]), int(sy[s])
+        cut = max(0, x - x0, y - y0)  # words that an earlier seed has already
+        x0, y0, x1 = x0 + cut, y0 + cut, int(sx[e - 1]) + K
+        if i:
+            u, v = between(a[x:x0], b[y:y0])
+            xs.append(u + x)
+            ys.append(v + y)
+        elif ends:
+            lo, to = max(0, x0 - MARGIN), max(0, y0 - MARGIN)
+            u, v = common(a[lo:x0], b[to:y0])
+            xs.append(u + lo)
+            ys.append(v + to)
+        else:
+            n = min(x0, y0)
+            back, _ = _extend((a[x0 - n : x0] == b[y0 - n : y0])[::-1])
+            u = np.flatnonzero(a[x0 - back : x0] == b[y0 - back : y0])
+            xs.append(u + x0 - back)
+            ys.append(u + y0 - back)
+        u = np.flatnonzero(a[x0:x1] == b[y0 : y0 + x1 - x0])
+        xs.append(u + x0)
+        ys.append(u + y0)
+        x, y = x1, y0 + x1 - x0
+    n = min(len(a) - x, len(b) - y)
+    if ends:
+        u, v = common(a[x : x + MARGIN], b[y : y + MARGIN])
+    else:
+        on, _ = _extend(a[x : x + n] == b[y : y + n])
+        u = v = np.flatnonzero(a[x : x + on] == b[y : y + on])
+    return np.concatenate([*xs, u + x]), np.concatenate([*ys, v + y])
+
+
+def maximal(score: np.ndarray) -> list[tuple[int, int]]:
+    """All maximal-scoring runs of a row of numbers as (first, last) (Ruzzo and Tompa)."""
+    out: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for i, s in enumerate(score.tolist()):
+        low, total = total, total + s
+        if s <= 0:
+            continue
+        first = i
+        while True:
+            j = len(out) - 1
+            while j >= 0 and out[j][2] >= low:
+                j -= 1
+            if j < 0 or out[j][3] >= total:
+                break
+            first, low = out[j][0], out[j][2]
+            del out[j:]
+        out.append((first, i, low, total))
+    return [(a, b) for a, b, _, _ in out]
+
+
+def passages(x: np.ndarray, y: np.ndarray, least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """(x0, x1, y0, y1, matches) of the stretches of an alignment that are long and alike enough.
+
+    x and y are the equal words. Stretches are maximal with a match worth 1 and a word
+    between costing half of what it would at the identity asked for; what is not alike
+    enough is cut again at a higher cost, and at last its longest alike stretch is taken.
+    """
+    skip = np.maximum(np.diff(x), np.diff(y)) - 1
+    cut = np.concatenate([[0], np.flatnonzero(skip) + 1, [len(x)]])
+    size, gap = np.diff(cut), skip[cut[1:-1] - 1]  # runs of equal words, and the words between them
+    full = identity / max(1 - identity, 1e-9)
+
+    def measured(i: int, j: int) -> tuple[int, int, int, int, int]:
+        s, e = cut[i], cut[j + 1] - 1
+        return int(x[s]), int(x[e]) + 1, int(y[s]), int(y[e]) + 1, int(e - s + 1)
+
+    def good(r: tuple) -> bool:
+        return min(r[1] - r[0], r[3] - r[2]) >= least and r[4] >= identity * max(r[1] - r[0], r[3] - r[2])
+
+    def search(i: int, j: int, costs: tuple) -> list[tuple]:
+        whole = measured(i, j)
+        if min(whole[1] - whole[0], whole[3] - whole[2]) < least:
+            return []
+        if costs:
+            score = np.empty(2 * (j - i) + 1)
+            score[::2], score[1::2] = size[i : j + 1], -costs[0] * gap[i:j]
+            out = []
+            for a, b in maximal(score):
+                r = measured(i + a // 2, i + b // 2)
+                out += [r] if good(r) else search(i + a // 2, i + b // 2, costs[1:])
+            if out:
+                return out
+        return longest(i, j)
+
+    def longest(i: int, j: int) -> list[tuple]:
+        """The longest run of runs of i to j that is alike enough."""
+        up = np.concatenate([[0], np.cumsum(size[i : j + 1] - full * np.concatenate([gap[i:j], [0]]))])
+        best = None
+        least_from = np.maximum.accumulate((up[1:] + full * np.concatenate([gap[i:j], [0]]))[::-1])[::-1]
+        for a in range(j - i + 1):
+            b = int(np.searchsorted(-least_from, -up[a] + 1e-6, side="right")) - 1
+            if b >= a and good(r := measured(i + a, i + b)) and (best is None or r[4] > best[4]):
+                best = r
+        return [best] if best else []
+
+    return search(0, len(size) - 1, (full / 2, full * 0.75, full)) if len(x) else []
+
+
+def align(a: np.ndarray, b: np.ndarray, sx: np.ndarray, sy: np.ndarray, least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """Passages along a chain of seeds; if there are none, with ends aligned beyond words left out."""
+    return passages(*path(a, b, sx, sy), least, identity) or passages(*path(a, b, sx, sy, True), least, identity)
 
 
 RESULT = "doc_id long, partner_id long, start int, end int, partner_start int, partner_end int, matched int, identity double"
@@ -246,15 +371,13 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: int, identity: float) ->
     names = ["doc_id", "partner_id", "start", "end", "partner_start", "partner_end", "matched", "identity"]
     types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
     for batch in batches:
-        c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(["doc", "partner", "x0", "x1", "y0", "y1", "xlo", "ylo"])}
+        doc, partner, xlo, ylo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         rows = []
         for i in range(batch.num_rows):
-            a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (8, 9))
-            xl, yl = int(c["xlo"][i]), int(c["ylo"][i])
-            s, e, ps, pe, got = align(a, b, *(int(c[n][i]) - o for n, o in (("x0", xl), ("x1", xl), ("y0", yl), ("y1", yl))))
-            longest = max(e - s, pe - ps)
-            if min(e - s, pe - ps) >= least and got >= identity * longest:
-                rows.append((int(c["doc"][i]), int(c["partner"][i]), s + xl, e + xl, ps + yl, pe + yl, got, got / longest))
+            sx, sy, a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6, 7))
+            xl, yl = int(xlo[i]), int(ylo[i])
+            for s, e, ps, pe, got in align(a, b, sx - xl, sy - yl, least, identity):
+                rows.append((int(doc[i]), int(partner[i]), s + xl, e + xl, ps + yl, pe + yl, got, got / max(e - s, pe - ps)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
@@ -264,7 +387,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
 
     Positions count words (runs of characters other than space and \\t to \\r; A-Z
     lower-cased), ends are exclusive. A passage has at least `least` words on both sides
-    and at least `identity` of the longer side matches. partner_id is a document with the
+    and at least `identity` of the longer side matches; passages with other words between are
+    told apart, by what half the cost of a differing word at that identity joins. partner_id is a document with the
     passage that comes earlier by doc_id, so m documents with one passage give m - 1 rows or a
     few more, not all pairs; of a document's passages those that lie nine tenths within a better
     one are left out. What repeats inside one document alone is not reported.
@@ -286,7 +410,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     matches = ranged.mapInArrow(_matches, "doc long, partner long, x int, y int")
     by_doc = matches.repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
     span = max(2 * K, least - 2 * (WINDOW - 1))  # what is left between the outer seeds of a passage of `least` words
-    found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, seeds int")
+    found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>")
     low = lambda c: (F.floor(F.greatest(F.col(c) - MARGIN, F.lit(0)) / STEP) * STEP).cast("int")
     high = lambda c: (F.ceil((F.col(c) + MARGIN) / STEP) * STEP).cast("int")
     found = written(found.withColumns({"xlo": low("x0"), "xhi": high("x1"), "ylo": low("y0"), "yhi": high("y1")}), "chains")
@@ -298,4 +422,4 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     left = slices.select("doc", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("ws").alias("xs"))
     right = slices.select(F.col("doc").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("ws").alias("ys"))
     both = found.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
-    return both.select("doc", "partner", "x0", "x1", "y0", "y1", "xlo", "ylo", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
+    return both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)

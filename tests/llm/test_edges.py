@@ -146,6 +146,32 @@ def test_passages(spark, docs, none):
     assert len(r) == 1 and (r[0]["doc_id"], r[0]["partner_id"], r[0]["start"], r[0]["end"], r[0]["partner_start"], r[0]["partner_end"]) == (2, 1, 30, 89, 50, 110)
 
 
+def random_words(rng, n):
+    return [f"r{rng.randrange(10**9)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("apart", [50, 100, 200])
+def test_two_passages_apart(spark, apart):
+    import random
+
+    rng = random.Random(apart)
+    p, q = random_words(rng, 60), random_words(rng, 60)
+    texts = [random_words(rng, 30) + p + random_words(rng, apart) + q + random_words(rng, 30) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    r = substring_dedup.repeated_passages(df).collect()
+    assert sorted((x["doc_id"], x["start"], x["end"]) for x in r) == [(1, 30, 90), (1, 90 + apart, 150 + apart)] and all(x["identity"] == 1 for x in r)
+
+
+def test_chance_seed_before_a_passage():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 10**8, 200), rng.integers(0, 10**8, 200)
+    b[20:28], b[65:125] = a[20:28], a[65:125]
+    seeds = np.array([20, 65, 80, 95, 110])
+    assert substring_dedup.align(a, b, seeds, seeds, 50, 0.8) == [(65, 125, 65, 125, 60)]
+
+
 def test_chains():
     import numpy as np
 
