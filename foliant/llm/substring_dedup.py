@@ -140,24 +140,16 @@ TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
 
 
 def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by (doc, partner, x, y). A document's chains, without those that better ones cover."""
+    """Rows come by (doc, partner, x, y). All of a document's chains that are long enough."""
 
     def settle(doc: int, partner: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
-        found = []
+        rows = []
         cut = np.flatnonzero(np.concatenate([[True], partner[1:] != partner[:-1], [True]]))
         for a, b in zip(cut[:-1], cut[1:]):
             for c in chains(x[a:b], y[a:b]) if b - a > 1 else ():
                 xs, ys = x[a:b][c], y[a:b][c]
                 if max(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
-                    found.append((len(c), doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
-        found.sort(key=lambda c: (-c[0], c[2], c[3]))
-        spans: list[tuple[int, int]] = []
-        rows = []
-        for c in found:
-            inside = max((min(c[4], e) - max(c[3], s) for s, e in spans), default=0)
-            if inside < 0.9 * (c[4] - c[3]):
-                spans.append((c[3], c[4]))
-                rows.append(c[1:])
+                    rows.append((doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
         return rows
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -390,8 +382,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     and at least `identity` of the longer side matches; passages with other words between are
     told apart, by what half the cost of a differing word at that identity joins. partner_id is a document with the
     passage that comes earlier by doc_id, so m documents with one passage give m - 1 rows or a
-    few more, not all pairs; of a document's passages those that lie nine tenths within a better
-    one are left out. What repeats inside one document alone is not reported.
+    few more, not all pairs; of a document's verified passages those that lie nine tenths within one
+    with more matches are left out. What repeats inside one document alone is not reported.
 
     Seeds are the minimizers of 8-word runs in windows of 16, so two equal runs of 23 words
     share a seed. Rows are range-partitioned by (seed, document, position), which also cuts
@@ -422,4 +414,25 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     left = slices.select("doc", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("ws").alias("xs"))
     right = slices.select(F.col("doc").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("ws").alias("ys"))
     both = found.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
-    return both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
+    every = both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
+    ordered = every.repartition(n, "doc_id").sortWithinPartitions("doc_id", F.desc("matched"), "partner_id", "start", "end", "partner_start")
+    return ordered.mapInArrow(_best, RESULT)
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (doc, matched from the most, partner, start): without passages nine tenths within ones before them."""
+    have, spans, n = None, np.zeros((8, 2), np.int64), 0
+    for batch in batches:
+        doc, start, end = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        keep = np.ones(len(doc), bool)
+        for i, d in enumerate(doc):
+            if d != have:
+                have, spans, n = d, np.zeros((8, 2), np.int64), 0
+            inside = (np.minimum(spans[:n, 1], end[i]) - np.maximum(spans[:n, 0], start[i])).max(initial=0)
+            keep[i] = inside < 0.9 * (end[i] - start[i])
+            if keep[i]:
+                if n == len(spans):
+                    spans = np.concatenate([spans, np.zeros_like(spans)])
+                spans[n], n = (start[i], end[i]), n + 1
+        if keep.any():
+            yield batch.filter(pa.array(keep))

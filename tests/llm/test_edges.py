@@ -162,6 +162,20 @@ def test_two_passages_apart(spark, apart):
     assert sorted((x["doc_id"], x["start"], x["end"]) for x in r) == [(1, 30, 90), (1, 90 + apart, 150 + apart)] and all(x["identity"] == 1 for x in r)
 
 
+def test_exact_passage_within_an_unlike_chain(spark):
+    """Document 2 shares more seeds with 0, none of whose passages is long enough, than with 1."""
+    import random
+
+    rng = random.Random(8)
+    p = [random_words(rng, 40) for _ in range(3)]
+    filled = lambda: random_words(rng, 20) + p[0] + random_words(rng, 45) + p[1] + random_words(rng, 45) + p[2] + random_words(rng, 20)
+    zero, two = filled(), filled()
+    one = random_words(rng, 20) + two[95:155] + random_words(rng, 20)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([zero, one, two])], "doc_id long, text string")
+    r = substring_dedup.repeated_passages(df).collect()
+    assert [(x["doc_id"], x["partner_id"], x["start"], x["end"]) for x in r] == [(2, 1, 95, 155)]
+
+
 def test_chance_seed_before_a_passage():
     import numpy as np
 
