@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from foliant.llm.common import partitions, written
 
 K, WINDOW, MARGIN, STEP = 8, 16, 64, 64
 GAP = 0.01  # cost of a word of gap, in seeds
+MANY, HELD = 16, 1 << 14  # rows of a seed up to which all its documents meet; and that are held until it is complete
 TABLE = 1 << 18  # most cells of an alignment table
 
 
@@ -49,30 +51,112 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], names)
 
 
+PAIR = "kind int, doc long, partner long, x int, y int"
+
+
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (h, doc, pos): each occurrence meets the first of its seed and the one before it."""
-    held = None  # h, first doc, first pos, last doc, last pos
-    for batch in batches:
-        h, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    """Rows come by (h, doc, pos), equal h in one task: each occurrence meets those in all earlier documents.
+
+    Of an h with more than MANY rows each meets the first document, a single seed also the
+    one before its own, and comes out again (kind 1: doc, h, pos, last) to be joined with what follows it.
+    """
+    names = ["kind", "doc", "partner", "x", "y"]
+
+    def pack(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+        types = [pa.int64()] * 2 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind), pa.int32()), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+
+    def both(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """Rows i meet rows j, with their first seeds and, of several, with their last ones."""
+        several = last[i] > pos[i]
+        i2, j2 = i[several], j[several]
+        return pack(0, doc[np.r_[i, i2]], doc[np.r_[j, j2]], np.r_[pos[i], last[i2]], np.r_[pos[j], last[j2]])
+
+    rest, seen, big = [np.zeros(0, np.int64)] * 4, 0, False  # the open group, rows of it that had their turn, whether it had to be taken as frequent
+    for batch in chain(batches, iter([None])):
+        new = [np.zeros(0, np.int64)] * 4 if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+        h, doc, pos, last = (np.concatenate(c) for c in zip(rest, new))
         if not len(h):
             continue
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        fd, fp = doc[start][run], pos[start][run]
-        ld, lp = np.concatenate([doc[:1], doc[:-1]]), np.concatenate([pos[:1], pos[:-1]])
-        ld, lp = np.where(new, doc, ld), np.where(new, pos, lp)
-        if held is not None and held[0] == h[0]:
-            same = run == 0
-            fd, fp = np.where(same, held[1], fd), np.where(same, held[2], fp).astype(np.int32)
-            ld[0], lp[0] = held[3], held[4]
-        held = (h[-1], fd[-1], fp[-1], doc[-1], pos[-1])
-        a = fd != doc
-        b = (ld != doc) & (ld != fd)
-        if a.any() or b.any():
-            cols = [np.concatenate([x[a], y[b]]) for x, y in ((doc, doc), (fd, ld), (pos, pos), (fp, lp))]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc", "partner", "x", "y"])
+        opens = np.concatenate([[True], h[1:] != h[:-1]])
+        start = np.flatnonzero(opens)
+        size = np.diff(np.r_[start, len(h)])
+        group = np.cumsum(opens) - 1
+        turns = opens | np.concatenate([[True], doc[1:] != doc[:-1]])
+        many = (size > MANY) & (np.add.reduceat(turns.astype(np.int64), start) > 1)  # what is in one document alone meets nothing
+        forced = batch is not None and (size[-1] > HELD or (big and len(start) == 1))
+        many[0] |= big
+        many[-1] |= forced
+        rows = np.arange(seen, len(h) if batch is None or forced else start[-1])
+        i, back = rows[~many[group[rows]] & (size[group[rows]] <= MANY)], 1
+        while len(i := i[i - back >= start[group[i]]]):
+            j = i - back
+            if len(k := np.flatnonzero(doc[i] != doc[j])):
+                yield both(i[k], j[k])
+            back += 1
+        if len(i := rows[many[group[rows]]]):
+            own = np.maximum.accumulate(np.where(turns, np.arange(len(h)), 0))  # first row of the same h and doc
+            first, before = start[group[i]], own[i] - 1
+            f = doc[first] != doc[i]
+            g = (before > first) & (doc[before] != doc[first]) & (last[i] == pos[i])
+            if f.any() or g.any():
+                yield both(np.r_[i[f], i[g]], np.r_[first[f], before[g]])
+            yield pack(1, doc[i], h[i], pos[i], last[i])
+        big = forced
+        if big:
+            at = start[-1]
+            other = np.flatnonzero(doc[at:] != doc[-1])
+            keep = np.unique([at, at + other[-1] if len(other) else at, len(h) - 1])
+        else:
+            keep = np.arange(start[-1], len(h))
+        rest, seen = [c[keep] for c in (h, doc, pos, last)], len(keep) if big else 0
+
+
+def _joined(batches: Iterator[pa.RecordBatch], least: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, h, pos, last) come by (doc, pos, last): single seeds with each of the next two, runs with the
+    furthest that starts within them or right after, so that they about double; all within `least` words."""
+    rest = [np.zeros(0, np.int64)] * 4
+    for batch in chain(batches, iter([None])):
+        new = [np.zeros(0, np.int64)] * 4 if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+        doc, h, pos, last = (np.concatenate(c) for c in zip(rest, new))
+        at = np.flatnonzero(doc != doc[-1])[-1] + 1 if len(doc) and (doc != doc[-1]).any() else 0
+        end = len(doc) if batch is None else at
+        rest = [c[end:] for c in (doc, h, pos, last)]
+        if not end:
+            continue
+        doc, h, pos, last = (c[:end] for c in (doc, h, pos, last))
+        i = np.arange(end)
+        if single:
+            i, j = np.r_[i, i], np.r_[i + 1, i + 2]
+        else:
+            place = (np.cumsum(np.r_[0, np.diff(doc) != 0]) << 32) + pos  # ascending
+            j = np.searchsorted(place, place + np.minimum(last - pos + 2 * K, least - K), side="right") - 1
+            for _ in range(8):  # back to one that ends within `least` words
+                far = (j > i) & (last[j] + K - pos > least)
+                j = np.where(far, j - 1, j)
+        i, j = i[j < end], j[j < end]
+        i, j = i[last[j] > last[i]], j[last[j] > last[i]]
+        near = (doc[i] == doc[j]) & (np.maximum(last[i], last[j]) + K - pos[i] <= least)
+        i, j = i[near], j[near]
+        if len(i):
+            with np.errstate(over="ignore"):
+                key = W.mix(W.mix(h[i].view(np.uint64), 1) * np.uint64(3) + h[j].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i]), pa.array(pos[i].astype(np.int32)), pa.array(np.maximum(last[i], last[j]).astype(np.int32))], ["h", "doc", "pos", "last"])
+
+
+def met(seeds: DataFrame, least: int, n: int) -> DataFrame:
+    """(doc, partner, x, y): equal seeds of two documents, frequent ones also through the runs of seeds they are part of."""
+    rows, out, single = seeds.withColumn("last", F.col("pos")), None, True
+    while True:
+        dealt = rows.repartition(n, "h").sortWithinPartitions("h", "doc", "pos", "last")
+        found = written(dealt.mapInArrow(_matches, PAIR), "matches")
+        pairs = found.where("kind = 0").select("doc", "partner", "x", "y")
+        out = pairs if out is None else out.unionByName(pairs)
+        many = found.where("kind = 1")
+        if many.isEmpty():
+            return out
+        many = many.select("doc", F.col("partner").alias("h"), F.col("x").alias("pos"), F.col("y").alias("last")).repartition(n, "doc").sortWithinPartitions("doc", "pos", "last")
+        rows, single = many.mapInArrow(lambda b, single=single: _joined(b, least, single), "h long, doc long, pos int, last int"), False
 
 
 class Fenwick:
@@ -144,6 +228,8 @@ def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
     def settle(doc: int, partner: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
         rows = []
+        fresh = np.concatenate([[True], (np.diff(partner) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)])
+        partner, x, y = partner[fresh], x[fresh], y[fresh]
         cut = np.flatnonzero(np.concatenate([[True], partner[1:] != partner[:-1], [True]]))
         for a, b in zip(cut[:-1], cut[1:]):
             for c in chains(x[a:b], y[a:b]) if b - a > 1 else ():
@@ -381,15 +467,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     lower-cased), ends are exclusive. A passage has at least `least` words on both sides
     and at least `identity` of the longer side matches; passages with other words between are
     told apart, by what half the cost of a differing word at that identity joins. partner_id is a document with the
-    passage that comes earlier by doc_id, so m documents with one passage give m - 1 rows or a
+    passage that comes earlier by doc_id, so m documents with one exact passage give m - 1 rows or a
     few more, not all pairs; of a document's verified passages those that lie nine tenths within one
     with more matches are left out. What repeats inside one document alone is not reported.
 
     Seeds are the minimizers of 8-word runs in windows of 16, so two equal runs of 23 words
-    share a seed. Rows are range-partitioned by (seed, document, position), which also cuts
-    a very common seed; within a range each occurrence meets the first and the preceding
-    one. Matches are chained per pair of documents, and the chains aligned on slices of
-    both texts, asked for in steps of 64 words so that equal requests are made once.
+    share a seed. Equal seeds come to one task and are streamed through it. Up to MANY rows
+    of a seed meet in all documents. Of a more frequent seed each row meets the first
+    and the preceding document, and is joined with either of the next two frequent seeds, and such
+    runs with each other, until a run has at most MANY rows or would pass `least` words; so a document with the same frequent seeds in the same order is
+    met wherever they also occur singly. Of runs that stay frequent up to `least` words only
+    the first document is met. Matches are chained per pair of documents, and the
+    chains aligned on slices of both texts, asked for in steps of 64 words so that equal
+    requests are made once.
 
     Rows with a null doc_id or a null or short text have no passages; of rows with equal
     ids the first text found is aligned. No rows give no rows; other columns are ignored.
@@ -398,9 +488,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     n = partitions(spark)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     seeds = written(rows.mapInArrow(_seeds, "h long, doc long, pos int"), "seeds")
-    ranged = seeds.repartitionByRange(n, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
-    matches = ranged.mapInArrow(_matches, "doc long, partner long, x int, y int")
-    by_doc = matches.repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
+    by_doc = met(seeds, least, n).repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
     span = max(2 * K, least - 2 * (WINDOW - 1))  # what is left between the outer seeds of a passage of `least` words
     found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>")
     low = lambda c: (F.floor(F.greatest(F.col(c) - MARGIN, F.lit(0)) / STEP) * STEP).cast("int")

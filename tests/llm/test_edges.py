@@ -176,6 +176,33 @@ def test_exact_passage_within_an_unlike_chain(spark):
     assert [(x["doc_id"], x["partner_id"], x["start"], x["end"]) for x in r] == [(2, 1, 95, 155)]
 
 
+def test_passage_of_frequent_fragments(spark):
+    """Every seed of the passage also occurs singly in many earlier and later documents; only 500 has it whole before 1000."""
+    import random
+
+    rng = random.Random(9)
+    p = random_words(rng, 60)
+    bits = [random_words(rng, 15) + p[i : i + 23] + random_words(rng, 15) for _ in range(14) for i in range(38)]
+    rng.shuffle(bits)
+    texts = {i if i < 400 else i + 101: w for i, w in enumerate(bits)}
+    texts |= {500: random_words(rng, 20) + p + random_words(rng, 20), 1000: random_words(rng, 25) + p + random_words(rng, 20)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    r = substring_dedup.repeated_passages(df).collect()
+    assert [(x["doc_id"], x["partner_id"], x["start"], x["end"]) for x in r] == [(1000, 500, 25, 85)]
+
+
+def test_matches_across_batches():
+    """A seed of two batches and more meets the same documents as in one."""
+    import pyarrow as pa
+
+    for n in (3, 16, 17, 40):
+        rows = [(7, d // 2, d, d) for d in range(n)]
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.int32()] * 2)]
+        whole = pa.RecordBatch.from_arrays(cols, ["h", "doc", "pos", "last"])
+        got = [sorted(tuple(r.values()) for b in substring_dedup._matches(iter([whole.slice(i, s) for i in range(0, n, s)])) for r in b.to_pylist()) for s in (1, 2, 5, n)]
+        assert all(g == got[0] for g in got) and {r[1] for r in got[0] if r[0] == 0} == {d // 2 for d in range(2, n)}
+
+
 def test_chance_seed_before_a_passage():
     import numpy as np
 
