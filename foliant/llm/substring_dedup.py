@@ -439,6 +439,8 @@ def passages(x: np.ndarray, y: np.ndarray, least: int, identity: float) -> list[
 
 def align(a: np.ndarray, b: np.ndarray, sx: np.ndarray, sy: np.ndarray, least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
     """Passages along a chain of seeds; if there are none, with ends aligned beyond words left out."""
+    if np.isin(a, b).sum() < identity * least or np.isin(b, a).sum() < identity * least:
+        return []  # no alignment has enough equal words
     return passages(*path(a, b, sx, sy), least, identity) or passages(*path(a, b, sx, sy, True), least, identity)
 
 
