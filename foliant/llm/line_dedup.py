@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import bound, bounded, components, written
 
-#: Lines of fewer than FULL shingles are hashed with all of them, of EVERY and more with the
-#: quarter whose hash ends in 00, those between in both ways; only equal ways are compared.
-FULL, EVERY, PART = 128, 160, 3
-
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, line_no, line) of every line of the whole texts, blank lines too; none for a null text."""
@@ -34,11 +30,6 @@ def shingle_set(line: Column, size: int) -> Column:
     return bound(wide, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * size))))))
 
 
-def ways(n: Column) -> Column:
-    """0: all shingles; 1: a quarter of them."""
-    return F.when(n < FULL, F.array(F.lit(0))).when(n < EVERY, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-
-
 def band_keys(lines: DataFrame, size: int, bands: int, rows: int, seed: int = 5) -> DataFrame:
     """(node, occ, keys) from (node, occ, line): MinHash over character shingles, one key per band.
 
@@ -49,11 +40,10 @@ def band_keys(lines: DataFrame, size: int, bands: int, rows: int, seed: int = 5)
     rng = random.Random(seed)
     masks = [rng.getrandbits(63) for _ in range(bands * rows)]
     wide = lines.select("node", "occ", F.encode(folded(F.col("line")), "UTF-32").alias("wide"), (F.length(folded(F.col("line"))) - size).alias("last")).where("last >= 0")
-    runs = wide.select("node", "occ", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    h = runs.select("node", "occ", "last", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * size))).alias("h")).where((F.col("last") < EVERY) | (F.col("h").bitwiseAND(PART) == 0))
-    h = h.select("node", "occ", "h", F.explode(ways(F.col("last"))).alias("way")).where((F.col("way") == 0) | (F.col("h").bitwiseAND(PART) == 0))
-    sig = h.groupBy("node", "way").agg(F.max("occ").alias("occ"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{k}") for k, m in enumerate(masks)])
-    return sig.select("node", "occ", F.array(*[F.xxhash64("way", F.lit(b), *[f"s{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
+    runs = wide.select("node", "occ", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    h = runs.select("node", "occ", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * size))).alias("h"))
+    sig = h.groupBy("node").agg(F.max("occ").alias("occ"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{k}") for k, m in enumerate(masks)])
+    return sig.select("node", "occ", F.array(*[F.xxhash64(F.lit(b), *[f"s{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
 def families(posts: DataFrame) -> DataFrame:

@@ -146,6 +146,14 @@ def test_passages(spark, docs, none):
     assert len(r) == 1 and (r[0]["doc_id"], r[0]["partner_id"], r[0]["start"], r[0]["end"], r[0]["partner_start"], r[0]["partner_end"]) == (2, 1, 30, 89, 50, 110)
 
 
+def test_repetitive_lines_of_any_length(spark):
+    """Equal shingle sets are alike however often the line repeats them."""
+    texts = ["To " * 30, "To " * 70, "-" * 40, "-" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep"], r["first_doc"]) for r in line_dedup.fuzzy_lines(df).collect()}
+    assert got == {0: (True, 0), 1: (False, 0), 2: (True, 2), 3: (False, 2)}
+
+
 def random_words(rng, n):
     return [f"r{rng.randrange(10**9)}" for _ in range(n)]
 
