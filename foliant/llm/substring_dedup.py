@@ -474,7 +474,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     with more matches are left out. What repeats inside one document alone is not reported.
 
     Seeds are the minimizers of 8-word runs in windows of 16, so two equal runs of 23 words
-    share a seed. Equal seeds come to one task and are streamed through it. Up to MANY rows
+    share a seed; passages with a change every ten words or closer are mostly missed (README). Equal seeds come to one task and are streamed through it. Up to MANY rows
     of a seed meet in all documents. Of a more frequent seed each row meets the first
     and the preceding document, and is joined with either of the next two frequent seeds, and such
     runs with each other, until a run has at most MANY rows or would pass `least` words; so a document with the same frequent seeds in the same order is
