@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows with which a side may be broadcast after they have been counted.
+#: Rows and bytes with which a side may be broadcast after it has been counted and measured.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 LOCAL_SHARED = "file:/tmp/checkpoints"
 
 
@@ -46,13 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than it has to."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes: strings, binaries and arrays by their length, all else 8."""
+    size = lambda c, t: F.octet_length(c) if t in ("string", "binary") else F.size(c) * 8 if t.startswith("array<") else F.lit(8)
+    return sum((F.coalesce(size(F.col(f"`{c}`"), t), F.lit(0)).cast("long") for c, t in df.dtypes), F.lit(16).cast("long"))
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; reads no more than it has to."""
+    n, most = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return n <= rows and (most or 0) <= size
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to be small, else unchanged (a shuffled join)."""
+    """df with a broadcast hint if it was counted and measured to be small, else unchanged (a shuffled join)."""
     return F.broadcast(df) if is_small(df, rows) else df
 
 

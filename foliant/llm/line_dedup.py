@@ -26,23 +26,27 @@ def folded(line: Column) -> Column:
 
 def shingle_set(line: Column, size: int) -> Column:
     """Distinct hashes of all runs of `size` characters, each read in constant time from UTF-32."""
-    wide, n = F.encode(folded(line), "UTF-32"), F.length(folded(line))
-    return bound(wide, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * size))))))
+    run = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 4 * size + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(4 * size))))
+    return bound(F.encode(folded(line), "UTF-32"), lambda w: F.array_distinct(run(w)))
 
 
-def band_keys(lines: DataFrame, size: int, bands: int, rows: int, seed: int = 5) -> DataFrame:
-    """(node, occ, keys) from (node, occ, line): MinHash over character shingles, one key per band.
+def band_keys(lines: DataFrame, size: int, bands: int, rows: int, seed: int = 5, step: int = 16) -> DataFrame:
+    """(node, occ, keys) from (node, line): MinHash over all character shingles, one key per band.
 
     The hash functions are one 64-bit hash under XOR with constants: each picks the
-    shingle nearest to its constant, which is a minimum under a permutation. lines must
-    be dealt by node (as a groupBy leaves them): then nothing is shuffled here.
+    shingle nearest to its constant, which is a minimum under a permutation. A line is cut into
+    blocks of `step` shingles whose least values are found in registers, so an aggregate is
+    updated once per block. Equal lines are combined on the map side, minima being
+    idempotent: no line is shuffled, only signatures are.
     """
     rng = random.Random(seed)
     masks = [rng.getrandbits(63) for _ in range(bands * rows)]
-    wide = lines.select("node", "occ", F.encode(folded(F.col("line")), "UTF-32").alias("wide"), (F.length(folded(F.col("line"))) - size).alias("last")).where("last >= 0")
-    runs = wide.select("node", "occ", "wide", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    h = runs.select("node", "occ", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * size))).alias("h"))
-    sig = h.groupBy("node").agg(F.max("occ").alias("occ"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{k}") for k, m in enumerate(masks)])
+    wide = lines.select("node", F.encode(folded(F.col("line")), "UTF-32").alias("wide")).withColumn("last", F.length("wide") - 4 * size + 1)
+    runs = wide.select("node", "wide", "last", F.explode(F.when(F.col("last") > 0, F.sequence(F.lit(1), F.col("last"), F.lit(4 * step)))).alias("at"))
+    block = [F.xxhash64(F.substring("wide", F.least(F.col("at") + 4 * k, F.col("last")), F.lit(4 * size))).alias(f"h{k}") for k in range(step)]
+    h = runs.select("node", (F.col("at") == 1).cast("int").alias("one"), *block)
+    least = lambda m: F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(step)]))
+    sig = h.groupBy("node").agg(F.sum("one").alias("occ"), *[least(m).alias(f"s{k}") for k, m in enumerate(masks)])
     return sig.select("node", "occ", F.array(*[F.xxhash64(F.lit(b), *[f"s{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
@@ -53,7 +57,7 @@ def families(posts: DataFrame) -> DataFrame:
     who shares a centre. A node without a more frequent mate is its own anchor and centre.
     """
     best = posts.groupBy("key").agg(F.max(F.struct("occ", "node")).alias("z"))
-    up = posts.join(bounded(best, 2_000_000), "key").groupBy("node").agg(F.max("z").alias("z")).select("node", F.col("z.node").alias("anchor"))
+    up = posts.join(bounded(best), "key").groupBy("node").agg(F.max("z").alias("z")).select("node", F.col("z.node").alias("anchor"))
     up = written(up, "anchors")
     centre = up
     for _ in range(2):
@@ -108,6 +112,11 @@ def between_centres(posts: DataFrame, facts: DataFrame) -> DataFrame:
     return met.join(named.select("key", F.col("centre").alias("cb"), F.col("comp").alias("pb"), F.col("node").alias("b")), ["key", "cb", "pb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def has_text(line: Column) -> Column:
+    """Whether anything but white space is in the line; most lines show it with their first character."""
+    return ~F.substring(line, 1, 1).isin("", " ", "\t", "\n", "\x0b", "\f", "\r") | line.rlike(r"\S")
+
+
 def fuzzy_lines(docs: DataFrame, size: int = 8, percent: int = 80, bands: int = 10, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, keep, first_doc, first_line) for every line of docs.
 
@@ -128,15 +137,14 @@ def fuzzy_lines(docs: DataFrame, size: int = 8, percent: int = 80, bands: int =
     Repeated rows repeat their lines, and of fully equal (doc_id, line_no, line) all or
     none are kept. No rows give no rows; other columns are ignored.
     """
-    every = lines_of(docs, doc_id, text).withColumn("node", F.when(F.col("line").rlike(r"\S"), line_key(F.col("line"))))
+    every = lines_of(docs, doc_id, text).withColumn("node", F.when(has_text(F.col("line")), line_key(F.col("line"))))
     places = written(every.select("doc_id", "line_no", "node"), "places")
-    real = every.where("node is not null")
-    distinct = real.groupBy("node").agg(F.count(F.lit(1)).alias("occ"), F.first("line").alias("line"))
-    keys = written(band_keys(distinct, size, bands, rows), "bands").select("node", "occ", F.explode("keys").alias("key"))
+    real = every.where("node is not null").select("node", "line")
+    keys = written(band_keys(real, size, bands, rows), "bands").select("node", "occ", F.explode("keys").alias("key"))
     common = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    posts = written(keys.join(bounded(written(common, "keys"), 2_000_000), "key"), "shared")
-    wanted = bounded(posts.select("node").distinct(), 2_000_000)
-    texts = written(real.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), "candidates")
+    posts = written(keys.join(bounded(written(common, "keys")), "key"), "shared")
+    wanted = bounded(posts.select("node").distinct())
+    texts = written(real.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidates")
 
     def compared(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
@@ -153,16 +161,18 @@ def fuzzy_lines(docs: DataFrame, size: int = 8, percent: int = 80, bands: int =
     facts = written(facts, "facts")
     rest = by_centre(facts, percent).unionByName(between_centres(posts, facts))
     links = links.unionByName(written(compared(rest.distinct()).where(alike).select("a", "b"), "links"))
-    place = F.struct(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
     known = places.where("node is not null")
-    firsts = known.groupBy("node").agg(F.min(place).alias("first"))
-    moved = firsts.join(bounded(components(links), 2_000_000), "node")
-    best = moved.groupBy("component").agg(F.min("first").alias("best"))
-    moved = moved.join(bounded(best, 2_000_000), "component").select("node", "best")
-    out = known.join(firsts, "node").join(bounded(moved, 2_000_000), "node", "left")
-    first = F.coalesce("best", "first")
-    same = F.col("doc_id").eqNullSafe(first["first_doc"]) & (F.col("line_no") == first["first_line"])
-    out = out.select("doc_id", "line_no", same.alias("keep"), first["first_doc"].alias("first_doc"), first["first_line"].alias("first_line"))
+    linked = components(links)
+    often = known.groupBy("node").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("node")
+    told = often.join(linked, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+    told = written(told, "told")  # all other lines stand alone
+    place = F.struct(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
+    best = known.join(bounded(told), "node").groupBy("component").agg(F.min(place).alias("best"))
+    best = written(told.join(best, "component").select("node", "best"), "best")
+    out = known.join(bounded(best), "node", "left")
+    same = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.first_doc")) & (F.col("line_no") == F.col("best.first_line")))
+    first = lambda own, name: F.when(F.col("best").isNull(), F.col(own)).otherwise(F.col(f"best.{name}")).alias(name)
+    out = out.select("doc_id", "line_no", same.alias("keep"), first("doc_id", "first_doc"), first("line_no", "first_line"))
     blank = places.where("node is null").select("doc_id", "line_no", F.lit(True).alias("keep"), F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
     return out.unionByName(blank)
 
