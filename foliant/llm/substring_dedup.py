@@ -234,7 +234,7 @@ def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         for a, b in zip(cut[:-1], cut[1:]):
             for c in chains(x[a:b], y[a:b]) if b - a > 1 else ():
                 xs, ys = x[a:b][c], y[a:b][c]
-                if max(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
+                if min(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
                     rows.append((doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
         return rows
 
