@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import words as W
-from foliant.llm.common import partitions, written
+from foliant.llm.common import bounded, partitions, written
 
 K, WINDOW, MARGIN, STEP = 8, 16, 64, 64
 GAP = 0.01  # cost of a word of gap, in seeds
@@ -219,42 +219,92 @@ def chains(x: np.ndarray, y: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
     return out
 
 
-CHAIN = ["doc", "partner", "x0", "x1", "y0", "y1", "sx", "sy"]
-TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
+CHAIN = ["doc", "partner", "x0", "x1", "y0", "y1", "sx", "sy", "leads"]
+TYPES = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.bool_()]
+
+
+class Spans:
+    """Stretches of one document, and how much of another stretch the best of them covers."""
+
+    def __init__(self):
+        self.rows, self.n = np.zeros((8, 2), np.int64), 0
+
+    def add(self, start: int, end: int) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n], self.n = (start, end), self.n + 1
+
+    def cover(self, start: int, end: int) -> bool:
+        """Whether nine tenths lie within one of them."""
+        low, high = self.rows[: self.n].T
+        return bool((np.minimum(high, end) - np.maximum(low, start)).max(initial=0) >= 0.9 * (end - start))
 
 
 def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by (doc, partner, x, y). All of a document's chains that are long enough."""
+    """Rows come by (doc, partner, x, y). All of a document's chains that are long enough on both sides; those lead
+    that do not lie nine tenths within one of more seeds."""
 
     def settle(doc: int, partner: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
-        rows = []
+        found = []
         fresh = np.concatenate([[True], (np.diff(partner) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)])
         partner, x, y = partner[fresh], x[fresh], y[fresh]
-        cut = np.flatnonzero(np.concatenate([[True], partner[1:] != partner[:-1], [True]]))
-        for a, b in zip(cut[:-1], cut[1:]):
-            for c in chains(x[a:b], y[a:b]) if b - a > 1 else ():
+        cut = np.flatnonzero(np.concatenate([[True], partner[1:] != partner[:-1]]))
+        ends = np.concatenate([cut[1:], [len(x)]])
+        wide = np.minimum(x[ends - 1] - x[cut], np.maximum.reduceat(y, cut) - np.minimum.reduceat(y, cut)) + K >= least
+        for a, b in zip(cut[wide], ends[wide]):
+            for c in chains(x[a:b], y[a:b]):
                 xs, ys = x[a:b][c], y[a:b][c]
                 if min(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
-                    rows.append((doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
+                    found.append((doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
+        spans, rows = Spans(), []
+        for r in sorted(found, key=lambda r: (-len(r[6]), r[1:6])):
+            leads = not spans.cover(r[2], r[3])
+            if leads:
+                spans.add(r[2], r[3])
+            rows.append((*r, leads))
         return rows
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], CHAIN)
 
-    rest = [np.zeros(0, np.int64)] * 4
-    for batch in batches:
-        cols = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest)]
-        cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-        rows = []
-        for a, b in zip(np.concatenate([[0], cut[:-1]]) if len(cut) else (), cut):
-            rows += settle(int(cols[0][a]), *(c[a:b] for c in cols[1:]))
-        last = int(cut[-1]) if len(cut) else 0
-        rest = [c[last:] for c in cols]
+    parts: list[list[np.ndarray]] = []  # of the open document
+    for batch in chain(batches, iter([None])):
+        new = None if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+        if new is not None and not len(new[0]):
+            continue
+        rows: list[tuple] = []
+        if parts and (new is None or new[0][0] != parts[0][0][0]):
+            whole = [np.concatenate(c) for c in zip(*parts)]
+            rows += settle(int(whole[0][0]), *whole[1:])
+            parts = []
+        if new is not None:
+            cut = np.concatenate([[0], np.flatnonzero(new[0][1:] != new[0][:-1]) + 1, [len(new[0])]])
+            for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                parts.append([c[a:b] for c in new])
+                if k < len(cut) - 2:
+                    whole = [np.concatenate(c) for c in zip(*parts)]
+                    rows += settle(int(whole[0][0]), *whole[1:])
+                    parts = []
         if rows:
             yield pack(rows)
-    if len(rest[0]) and (rows := settle(int(rest[0][0]), *rest[1:])):
-        yield pack(rows)
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (doc, kind): verified passages (kind 0), then chains (kind 1). Those chains of which no passage covers nine tenths."""
+    have, spans = None, Spans()
+    for batch in batches:
+        doc, kind, x0, x1 = (batch.column(i).to_pylist() for i in range(4))
+        keep = np.zeros(len(doc), bool)
+        for i, d in enumerate(doc):
+            if d != have:
+                have, spans = d, Spans()
+            if kind[i] == 0:
+                spans.add(x0[i], x1[i])
+            else:
+                keep[i] = not spans.cover(x0[i], x1[i])
+        if keep.any():
+            yield batch.filter(pa.array(keep))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +531,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     met wherever they also occur singly. Of runs that stay frequent up to `least` words only
     the first document is met. Matches are chained per pair of documents, and the
     chains aligned on slices of both texts, asked for in steps of 64 words so that equal
-    requests are made once.
+    requests are made once. Of the chains that cover the same stretch the one with the most
+    seeds is aligned first; the others are, too, unless a verified passage covers nine tenths of
+    theirs.
 
     Rows with a null doc_id or a null or short text have no passages; of rows with equal
     ids the first text found is aligned. No rows give no rows; other columns are ignored.
@@ -492,37 +544,45 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     seeds = written(rows.mapInArrow(_seeds, "h long, doc long, pos int"), "seeds")
     by_doc = met(seeds, least, n).repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
     span = max(2 * K, least - 2 * (WINDOW - 1))  # what is left between the outer seeds of a passage of `least` words
-    found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>")
+    found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>, leads boolean")
     low = lambda c: (F.floor(F.greatest(F.col(c) - MARGIN, F.lit(0)) / STEP) * STEP).cast("int")
     high = lambda c: (F.ceil((F.col(c) + MARGIN) / STEP) * STEP).cast("int")
     found = written(found.withColumns({"xlo": low("x0"), "xhi": high("x1"), "ylo": low("y0"), "yhi": high("y1")}), "chains")
     asked = found.select("doc", F.col("xlo").alias("lo"), F.col("xhi").alias("hi")).unionByName(found.select(F.col("partner").alias("doc"), F.col("ylo").alias("lo"), F.col("yhi").alias("hi"))).distinct()
-    asked = asked.select("doc", F.lit(1).alias("kind"), "lo", "hi", F.lit(None).cast("string").alias("text"))
-    texts = rows.select("doc", F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text")
+    asked = written(asked.select("doc", F.lit(1).alias("kind"), "lo", "hi", F.lit(None).cast("string").alias("text")), "asked")
+    texts = rows.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text")
     dealt = texts.unionByName(asked).repartition(n, "doc").sortWithinPartitions("doc", "kind", "lo", "hi")
     slices = written(dealt.mapInArrow(_slices, "doc long, lo int, hi int, ws array<int>"), "slices")
     left = slices.select("doc", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("ws").alias("xs"))
     right = slices.select(F.col("doc").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("ws").alias("ys"))
-    both = found.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
-    every = both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
+
+    def aligned(some: DataFrame) -> DataFrame:
+        both = some.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
+        return both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
+
+    # the chains that lead first; of the others those whose stretch has no passage yet
+    first = written(aligned(found.where("leads")), "passages")
+    others = found.where("not leads").drop("leads")
+    names = [c for c in others.columns if c not in ("doc", "x0", "x1")]
+    have = first.select(F.col("doc_id").alias("doc"), F.lit(0).alias("kind"), F.col("start").alias("x0"), F.col("end").alias("x1"), *[F.lit(None).cast(others.schema[c].dataType).alias(c) for c in names])
+    dealt = have.unionByName(others.withColumn("kind", F.lit(1))).repartition(n, "doc").sortWithinPartitions("doc", "kind")
+    rest = written(dealt.mapInArrow(_uncovered, dealt.schema).drop("kind"), "rest")
+    every = first.unionByName(aligned(rest))
     ordered = every.repartition(n, "doc_id").sortWithinPartitions("doc_id", F.desc("matched"), "partner_id", "start", "end", "partner_start")
     return ordered.mapInArrow(_best, RESULT)
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (doc, matched from the most, partner, start): without passages nine tenths within ones before them."""
-    have, spans, n = None, np.zeros((8, 2), np.int64), 0
+    have, spans = None, Spans()
     for batch in batches:
         doc, start, end = (batch.column(i).to_pylist() for i in (0, 2, 3))
         keep = np.ones(len(doc), bool)
         for i, d in enumerate(doc):
             if d != have:
-                have, spans, n = d, np.zeros((8, 2), np.int64), 0
-            inside = (np.minimum(spans[:n, 1], end[i]) - np.maximum(spans[:n, 0], start[i])).max(initial=0)
-            keep[i] = inside < 0.9 * (end[i] - start[i])
+                have, spans = d, Spans()
+            keep[i] = not spans.cover(start[i], end[i])
             if keep[i]:
-                if n == len(spans):
-                    spans = np.concatenate([spans, np.zeros_like(spans)])
-                spans[n], n = (start[i], end[i]), n + 1
+                spans.add(start[i], end[i])
         if keep.any():
             yield batch.filter(pa.array(keep))
