@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliant.llm import decontaminate, fingerprints, jaccard_join, langid, line_dedup, mixing, sharding, substring_dedup, url_filter, warc
-from foliant.llm.common import new_path, written
+from foliant.llm.common import at_end, new_path, written
 from foliant.llm.oracle import ORACLE  # noqa: F401
 from foliant.session import table
 
@@ -48,6 +48,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    at_end(spark, folder)
     return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
