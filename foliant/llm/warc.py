@@ -122,11 +122,12 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string()), pa.array([len((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.int64())], ["page_id", "digest", "n"])
 
 
-def write_warc(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, level: int = 6, dedup_bytes: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, range_bytes: int = 128 << 20, level: int = 6, dedup_bytes: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes one record per row and returns the manifest (name, bytes, records, sha256), one row per file.
 
-    Rows are range-partitioned by splitters of a sample of page_id and sorted, so a file
-    holds a run of ids; files roll once their compressed size reaches `file_bytes`. Of
+    Rows are range-partitioned by splitters of a sample of page_id, about `range_bytes` of payload
+    to a range and one range to a task, and sorted, so a file
+    holds a run of ids and the layout depends on the rows alone; files roll once their compressed size reaches `file_bytes`. Of
     equal payloads of at least `dedup_bytes` bytes the one with the least page_id is the
     response, the others are revisits that name it. Each file is written under a temporary
     name and renamed; a task that runs again writes the same bytes to the same name. The
@@ -145,12 +146,14 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, level:
     revisits = revisits.where("page_id <> first or rows > 1")
     key = F.coalesce("page_id", F.lit(-(1 << 63)))
     sized = rows.select(key.alias("key"), (F.coalesce(F.octet_length("payload"), F.lit(0)) + 300).alias("size"))
-    bucket = range_of([key], sampled_splitters(sized, ["key"], "size", partitions(spark)))
+    total = int(sized.agg(F.sum("size")).first()[0] or 0)
+    ranges = max(1, -(-total // range_bytes), min(64, -(-total * 32 // range_bytes)))  # a small table still takes several tasks
+    bucket = range_of([key], sampled_splitters(sized, ["key"], "size", ranges))
     none = F.lit(None)
     told = revisits.select(bucket.alias("bucket"), "page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("payload"), "digest", "first")
     full = rows.select(bucket.alias("bucket"), "page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("digest"), none.cast("long").alias("first"))
     order = ["bucket", F.col("page_id").asc_nulls_first(), "kind", "url", "payload"]
-    dealt = told.unionByName(full).repartition(partitions(spark), "bucket").sortWithinPartitions(*order)
+    dealt = told.unionByName(full).repartitionById(ranges, F.col("bucket")).sortWithinPartitions(*order)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
 
@@ -240,4 +243,4 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], schema=schema)
 
-    return files.repartition(partitions(spark), "name").mapInArrow(run, READ)
+    return files.repartition(max(partitions(spark), files.count())).mapInArrow(run, READ)  # dealt in turn: a file or two to a task
