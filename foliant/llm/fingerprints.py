@@ -92,45 +92,60 @@ def _sums(c: np.ndarray, step: int) -> list[list[int]]:
     return out
 
 
+def grid_step(n: int) -> int:
+    """The smallest power of two that cuts n code points into at most GRID blocks."""
+    return 1 << max(0, (max(n, 1) - 1) // GRID).bit_length()
+
+
 def fingerprint(text: str) -> str:
     """`n:whole:prefixes:suffixes` of a text, at most about 1.1 kB, equal for equal texts.
 
-    whole is the 62-bit hash of all code points. prefixes are the prefix array read at the
-    multiples of the smallest power of two that cuts the text into at most 64 blocks (32
-    bits each, both bases folded); suffixes are the same of the reversed text, so that what
-    follows an insertion can be matched from the end.
+    whole is the 62-bit hash of all code points. prefixes are the prefix array of the first base
+    read at the multiples of grid_step(n); suffixes are the same of the reversed text, so that
+    what follows an insertion can be matched from the end.
     """
     c = code_points(text)
-    step = 1 << max(0, (max(len(c), 1) - 1) // GRID).bit_length()
+    step = grid_step(len(c))
     parts = []
     whole = ""
     for way in (c, c[::-1]):
         a, b = _sums(way, step)
         whole = whole or (f"{a[-1]:08x}{b[-1]:08x}" if a else "0" * 16)
-        parts.append("".join(f"{(x * 2 + 1 ^ y * 0x9E3779B1) & 0xFFFFFFFF:08x}" for x, y in zip(a[: len(c) // step], b)))
+        parts.append("".join(f"{x:08x}" for x in a[: len(c) // step]))
     return f"{len(c)}:{whole}:{parts[0]}:{parts[1]}"
 
 
-def _common(a: str, b: str, na: int, nb: int, step_a: int, step_b: int) -> int:
-    """Code points that two prefix grids share from the start, by binary search."""
-    step = max(step_a, step_b)
-    lo, hi = 0, min(na // step, nb // step)
-    at = lambda s, own, k: s[8 * (k * step // own - 1) : 8 * (k * step // own)]
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if at(a, step_a, mid) == at(b, step_b, mid) else (lo, mid - 1)
-    return lo * step
+def _equal_spans(a: str, b: str, step_a: int, step_b: int, step: int) -> list[int]:
+    """The numbers of the blocks of `step` that two prefix grids have equal: the differences of their ends are."""
+    ends = lambda s, own: np.array([0, *(int(s[8 * k - 8 : 8 * k], 16) for k in range(step // own, len(s) // 8 + 1, step // own))], np.int64)
+    x, y = ends(a, step_a), ends(b, step_b)
+    n = min(len(x), len(y))
+    return np.flatnonzero(np.diff(x[:n]) % P == np.diff(y[:n]) % P).tolist()
 
 
 def likeness(a: str, b: str) -> float:
-    """How much of the longer text two fingerprints show as common start and common end, 0 to 1."""
+    """The share of the longer text that two fingerprints show to be common, 0 to 1.
+
+    Spans between grid points are equal if the differences of their prefix hashes are: those
+    at the same distance from the start, and those at the same distance from the end, each
+    place counting once.
+    """
     (na, wa, pa_, sa), (nb, wb, pb, sb) = a.split(":"), b.split(":")
     if (na, wa) == (nb, wb):
         return 1.0
     n, m = int(na), int(nb)
-    steps = [1 << max(0, (max(x, 1) - 1) // GRID).bit_length() for x in (n, m)]
-    shared = _common(pa_, pb, n, m, *steps) + _common(sa, sb, n, m, *steps)
-    return min(shared, n, m) / max(n, m)
+    own = grid_step(n), grid_step(m)
+    step = max(own)
+    head, tail = (_equal_spans(x, y, *own, step) for x, y in ((pa_, pb), (sa, sb)))
+    held = set(tail)
+    both = sum(max(0, min((i + 1) * step, n - j * step) - max(i * step, n - (j + 1) * step)) for i in head for j in _meets(i, n, step, held))
+    return min((len(head) + len(tail)) * step - both, n, m) / max(n, m)
+
+
+def _meets(i: int, n: int, step: int, tail: set[int]) -> list[int]:
+    """Those of tail whose block, counted from the end, may overlap block i from the start."""
+    at = (n - (i + 1) * step) // step
+    return [j for j in (at - 1, at, at + 1) if j in tail]
 
 
 def edited(text: str, following: str) -> str:
