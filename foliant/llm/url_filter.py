@@ -49,7 +49,8 @@ def rule_index(rules: Sequence[tuple[str, str, str]], counts: dict[str, int]) ->
     for verdict, host, path in rules:
         tokens = rule_tokens(host, path)
         token = min(tokens, key=lambda t: (counts.get(t, 0), t)) if tokens else ""
-        pattern = rf"(?s)(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}" if host else rf"(?s)[^\n]*\n{re.escape(path)}"
+        # a ? is in no host and in no path, so it parts them
+        pattern = rf"(?:[^?]*\.)?{re.escape(host)}\?{re.escape(path)}" if host else rf"[^?]*\?{re.escape(path)}"
         index.setdefault(token, []).append((host + path, verdict, pattern))
     return index
 
@@ -78,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         for hosts, paths, toks in batches:
             rule, verdict = [], []
             for h, p, ts in zip(hosts, paths, toks):
-                fits = [(len(r), v == "block", r, v) for c in [always, *(ready[t] for t in ts if t and t in ready)] for r, v, rx in c if rx.match(f"{h}\n{p}")]
+                fits = [(len(r), v == "block", r, v) for c in [always, *(ready[t] for t in ts if t and t in ready)] for r, v, rx in c if rx.match(f"{h}?{p}")]
                 best = max(fits, default=(0, False, None, default))
                 rule.append(best[2])
                 verdict.append(best[3])
