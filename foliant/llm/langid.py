@@ -17,10 +17,11 @@ PIECE = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets may be at most 65536. rows and valid bound what comes to the driver: the labelled documents the model is fitted and calibrated on."""
+    """buckets may be at most 65536. rows, valid and text_bytes bound what comes to the driver: the labelled documents the model is fitted and calibrated on, and the UTF-8 bytes that a text of them has at most."""
 
     rows: int = 1500
     valid: int = 400
+    text_bytes: int = 1 << 16
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 6
@@ -168,11 +169,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most rows + valid labelled documents that are not held out, those of least hash.
+    """Fits on at most rows + valid labelled documents of at most text_bytes that are not held out, those of least hash.
 
     Only text and lang are learned from; a null doc_id is not held out.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
+    usable = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= settings.text_bytes) & ~held_out(F.col(doc_id)))
     draw = F.xxhash64(F.lit(settings.seed), doc_id).alias("__h")
     ids = usable.select(F.col(doc_id).alias("__id"), draw).orderBy("__h", "__id").limit(settings.rows + settings.valid)
     last = ids.agg(F.max("__h")).first()[0]

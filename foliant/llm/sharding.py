@@ -13,11 +13,11 @@ def shard_key(text):
     return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def shard(rows: DataFrame, shards: int = 24, ranges_per_shard: int = 8, overfull: float = 0.02, key: str = "key", size: str = "size", row_id: str = "doc_id") -> DataFrame:
+def shard(rows: DataFrame, shards: int = 24, ranges_per_shard: int = 8, range_bytes: int = 256 << 20, overfull: float = 0.02, key: str = "key", size: str = "size", row_id: str = "doc_id") -> DataFrame:
     """rows plus shard (0 to shards - 1) and slot (gapless from 0); shards get near equal bytes.
 
-    A size-weighted sample of (key, sub) gives quantile splitters; records are dealt into
-    those ranges, and an overfull range cannot come from one key, because a key with more
+    A size-weighted sample of (key, sub) gives quantile splitters, of about `range_bytes` each and at
+    least `ranges_per_shard` to a shard; records are dealt into those ranges, and an overfull range cannot come from one key, because a key with more
     than `overfull` of a shard is subdivided by row id (sub), the others keep one sub and so
     stay together. Ranges then get their place by a prefix sum over their totals, and a
     record's group goes to the shard in which the group's middle byte falls. Thus shards
@@ -38,7 +38,7 @@ def shard(rows: DataFrame, shards: int = 24, ranges_per_shard: int = 8, overfull
     own = F.col(row_id) if dict(rows.dtypes)[row_id] in ("bigint", "int") else F.when(F.col(row_id).isNotNull(), F.xxhash64(row_id))
     sub = F.when(F.col("__k").isNotNull(), F.coalesce(own, F.lit(0))).otherwise(F.lit(0)).cast("long")
     keyed = rows.join(F.broadcast(large), F.col(key) == F.col("__k"), "left").withColumn("__sub", sub).drop("__k")
-    cuts = sampled_splitters(keyed, [key, "__sub"], size, shards * ranges_per_shard)
+    cuts = sampled_splitters(keyed, [key, "__sub"], size, max(shards * ranges_per_shard, int(total // range_bytes)))
     dealt = keyed.withColumn("__range", range_of([F.col(key), F.col("__sub")], cuts))
     start = offsets(dealt.groupBy("__range").agg(F.sum(size).alias("__bytes"), F.count(F.lit(1)).alias("__rows")), "__range", ["__bytes", "__rows"])
     start = spark.createDataFrame([tuple(r) for r in start.collect()], start.schema)  # as many rows as there are ranges
