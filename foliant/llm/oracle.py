@@ -12,9 +12,12 @@ o AS (SELECT *, (SELECT sum(source_size) FROM s)::DOUBLE AS total, coalesce(sum(
 v AS (SELECT arg_min((total - fixed) / free, k) FILTER ((total - fixed) / free <= cap / w) AS level FROM o),
 t AS (SELECT source, source_size, round(least(cap, coalesce(level, 0) * w), 6) AS target FROM o, v),
 m AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-      ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, ''))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS draw
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+      ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, ''))), 1, 12))::BIGINT AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT source, draw, sum(size)::BIGINT AS n, any_value((rate - floor(rate)) * source_size) AS extra FROM m GROUP BY source, draw),
+c AS (SELECT source, draw, extra, (sum(n) OVER (PARTITION BY source ORDER BY draw))::DOUBLE - n / 2.0::DOUBLE AS mid FROM g),
+x AS (SELECT source, max(draw) AS last FROM c WHERE mid < extra GROUP BY source)
+SELECT m.doc_id, m.source, m.size, m.source_size, m.target, (m.size * (floor(m.rate) + CASE WHEN m.draw <= coalesce(x.last, -1) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m LEFT JOIN x ON m.source IS NOT DISTINCT FROM x.source
 """
 
 OP4 = """
@@ -53,14 +56,16 @@ bs AS (SELECT item_id, len(w) AS n, CASE WHEN len(w) >= 5 THEN list_transform(ra
 seed AS (SELECT DISTINCT n, unnest(range(len(sh))) AS off, unnest(sh) AS s FROM bs),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 ds AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0),
-hit AS (SELECT DISTINCT doc_id, w, greatest(1, i - off) AS st, least(i - off + n, len(w) + 1) - greatest(1, i - off) AS n FROM ds JOIN seed USING (s)),
+few AS (SELECT DISTINCT n AS k FROM bs WHERE n < 5),
+pr AS (SELECT doc_id, w, i, s FROM ds UNION ALL SELECT doc_id, w, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, few WHERE len(w) > k),
+hit AS (SELECT DISTINCT doc_id, w, greatest(1, i - off) AS st, least(i - off + n, len(w) + 1) - greatest(1, i - off) AS n FROM pr JOIN seed USING (s)),
 win AS (SELECT doc_id, st, n, w[st:st + n - 1] AS x FROM hit),
 tx AS (SELECT DISTINCT x, CASE WHEN len(x) >= 5 THEN list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) ELSE [array_to_string(x, ' ')] END AS sh FROM win),
 every AS (SELECT DISTINCT sh FROM (SELECT sh FROM tx UNION ALL SELECT sh FROM bs)),
 hash AS (SELECT sh, list_transform(sh, lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT) AS h1, list_transform(sh, lambda s: ('0x' || substr(md5(s), 9, 8))::BIGINT) AS h2 FROM every),
 sim AS (SELECT sh, list_sum(list_transform(range(32), lambda k: CASE WHEN 2 * list_sum(list_transform(h1, lambda v: (v >> k) & 1)) > len(h1) THEN 1::BIGINT << k ELSE 0 END))::BIGINT AS a,
         list_sum(list_transform(range(32), lambda k: CASE WHEN 2 * list_sum(list_transform(h2, lambda v: (v >> k) & 1)) > len(h2) THEN 1::BIGINT << k ELSE 0 END))::BIGINT AS b FROM hash),
-near AS (SELECT tx.x, bs.item_id, tx.sh AS p, bs.sh AS q, bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) AS hamming FROM tx JOIN sim u ON u.sh = tx.sh, bs JOIN sim v ON v.sh = bs.sh WHERE bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) <= 23),
+near AS (SELECT tx.x, bs.item_id, tx.sh AS p, bs.sh AS q, bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) AS hamming FROM tx JOIN sim u ON u.sh = tx.sh, bs JOIN sim v ON v.sh = bs.sh WHERE bit_count(xor(u.a, v.a)) + bit_count(xor(u.b, v.b)) <= 15),
 ex AS (SELECT x, item_id, hamming, list_sum(list_transform(list_distinct(list_concat(p, q)), lambda s: least(len(list_filter(p, lambda y: y = s)), len(list_filter(q, lambda y: y = s)))))::DOUBLE
        / list_sum(list_transform(list_distinct(list_concat(p, q)), lambda s: greatest(len(list_filter(p, lambda y: y = s)), len(list_filter(q, lambda y: y = s))))) AS similarity FROM near),
 o AS (SELECT doc_id, item_id, st, n, hamming, similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st, n) AS k FROM win JOIN ex USING (x) WHERE similarity >= 0.8)
