@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: fl
     return t.select(key, size, "weight", F.round(F.least(F.col("__cap"), F.lit(level) * F.col("weight")), 6).alias("target"))
 
 
-BITS = 16  # of a draw that one histogram looks at
+BITS = 12  # of a draw that one histogram looks at
 DRAWS = 48  # bits of a draw
 
 
@@ -70,7 +70,7 @@ def last_draws(slim: DataFrame, wanted: DataFrame) -> DataFrame:
 
     In the order of their draws documents are taken until their words reach `extra`; the
     one that crosses it is taken if its middle word lies before (equal draws count as one). The
-    crossing is looked for in histograms of 2^16 cells per source, each over the cell
+    crossing is looked for in histograms of 2^12 cells per source, each over the cell
     in which the one before found it, so no source is ever sorted as a whole.
     """
     open_ = wanted.where("extra > 0").select("__s", "extra", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
