@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 # Fixed values.
 SYMBOLS_WIDE = r"[{}\[\]();=<>+\-*/%:,.]"
 SYMBOLS_NARROW = r"[{}\[\]();=<>+\-*/%]"
-SQL_WORDS = (
-    "select from where group by order having join left right inner outer on insert update delete create table with recursive union begin transaction commit rollback"
-).split()
-CONNECTORS = "which because therefore works calculate efficiently load find".split()
+SQL_WORDS = [
+    "select", "from", "where", "group", "by", "order", "having", "join", "left", "right", "inner", "outer", "on", "insert", "update", "delete", "create", "table", "with",
+    "recursive", "union", "begin", "transaction", "commit", "rollback",
+]
+CONNECTORS = ["which", "because", "therefore", "works", "calculate", "efficiently", "load", "find"]
 MONOSPACE = "courier|mono|consolas|menlo"
-PUBLICATION_MARKERS = (
-    "volume number pages acm communications publisher press verlag isbn doi "
-    "february january march april may june july august september october november december"
-).split()
+PUBLICATION_MARKERS = [
+    "volume", "number", "pages", "acm", "communications", "publisher", "press", "verlag", "isbn", "doi",
+    "february", "january", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
 CONTINUATIONS = ("else", "elif", "except", "catch", "finally", ".", ")", "]", "}", "&&", "||", "+", "-", "*", "/", "%", "=>", "->", "::")
 OPEN_ENDS = ("{", "(", "[", ":", "\\", ",", ".")
 STOPWORDS = "the|and|or|to|of|in|is|that|for|with|on|as|by|from"
@@ -162,8 +163,8 @@ def indent_braces(c: Column) -> Column:
 
 
 def numeric_ratio(c: Column) -> Column:
-    """Digits per letter or digit."""
-    return F.regexp_count(c, F.lit("[0-9]")) / F.greatest(F.lit(1), F.regexp_count(c, F.lit("[A-Za-z0-9]")))
+    """Decimal digits of any script per ASCII letter or digit."""
+    return F.regexp_count(c, F.lit(r"\p{Nd}")) / F.greatest(F.lit(1), F.regexp_count(c, F.lit("[A-Za-z0-9]")))
 
 
 def stopword_ratio(c: Column) -> Column:

@@ -101,13 +101,14 @@ def elements(blocks: DataFrame, drawings: DataFrame | None = None, tables: DataF
         every = every.unionByName(p, allowMissingColumns=True)
     every = every.withColumn("reading_order_index", local_index(every))
     image = F.col("elem_type") == "image"
-    images = Window.partitionBy("doc_id", "elem_type").orderBy("page_number", "reading_order_index")
+    # dealt by document, as the reading order needs it next
+    images = Window.partitionBy("doc_id").orderBy("page_number", "reading_order_index").rowsBetween(Window.unboundedPreceding, 0)
     if {"xref", "ext"} <= set(every.columns):
         digits = F.regexp_extract(F.coalesce("xref", F.lit("")), r"^(\d+)$", 1)
         ext = F.lower(T.strip(F.coalesce("ext", F.lit(""))))
         every = every.select(
             "*",
-            F.when(image, F.row_number().over(images)).alias("image_index"),
+            F.when(image, F.count(F.when(image, 1)).over(images)).cast("int").alias("image_index"),
             F.when(image & (digits != ""), digits.try_cast("int")).alias("image_xref"),
             F.when(image & (ext != ""), ext).alias("image_ext"),
             F.when(image, F.col("image")).alias("image_bytes"),

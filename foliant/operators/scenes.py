@@ -343,7 +343,8 @@ def timeline(elements: DataFrame, steps: DataFrame) -> DataFrame:
     """(scene_id, step_no, action, run_s, wall_s, start_s, played, active_idle).
 
     elements are resolved. run_s is the time of video a step makes, wall_s the time it takes
-    (a wait without an active idle animation makes no video), start_s the video time before
+    (a wait plays its time where an idle animation is active, and sleeps it in either case; its
+    duration may be given as `seconds`), start_s the video time before
     it; played counts the targets it acts on, active_idle the idle animations that run along.
     State is not mutated but read off the events: an element is there if its last spawn or
     close before the step is a spawn, and its idle animation runs if its last idle or close is
@@ -367,12 +368,13 @@ def timeline(elements: DataFrame, steps: DataFrame) -> DataFrame:
     shown = shown.withColumn("change", F.col("on") - F.coalesce(F.lag("on").over(own), F.lit(0)))
     changes = shown.groupBy("scene_id", "step_no").agg(F.sum("change").alias("change"))
     clock = Window.partitionBy("scene_id").orderBy("step_no")
-    rows = steps.select("scene_id", "step_no", "action", "duration").join(per_step, ["scene_id", "step_no"], "left").join(changes, ["scene_id", "step_no"], "left")
+    given = F.coalesce("duration", "seconds") if "seconds" in steps.columns else F.col("duration")
+    rows = steps.select("scene_id", "step_no", "action", given.alias("duration")).join(per_step, ["scene_id", "step_no"], "left").join(changes, ["scene_id", "step_no"], "left")
     rows = rows.withColumn("active_idle", F.sum(F.coalesce("change", F.lit(0))).over(clock.rowsBetween(Window.unboundedPreceding, 0)))
     wait = F.greatest(F.lit(0.0), T.number(F.col("duration"), 0.0))
     waits = F.col("action") == "wait"
     run = F.when(waits, F.when(F.col("active_idle") > 0, wait).otherwise(F.lit(0.0))).otherwise(F.coalesce("act_s", F.lit(0.0)))
-    rows = rows.withColumn("run_s", run).withColumn("wall_s", F.when(waits, wait).otherwise(F.col("run_s")))
+    rows = rows.withColumn("run_s", run).withColumn("wall_s", F.when(waits, wait + F.col("run_s")).otherwise(F.col("run_s")))
     start = F.coalesce(F.sum("run_s").over(clock.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return rows.select("scene_id", "step_no", "action", "run_s", "wall_s", start.alias("start_s"), F.coalesce("played", F.lit(0)).cast("long").alias("played"), F.col("active_idle").cast("long").alias("active_idle"))
 

@@ -98,51 +98,63 @@ def code_runs(roles: Sequence[int], pages: Sequence[int], goes_on: Sequence[bool
     return runs
 
 
-def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (doc_id, section_number, pos); gives (doc_id, section_number, pos, base, code) of every consumed row."""
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-    names = ["doc_id", "section_number", "pos", "base", "code"]
-
-    def consumed(key: tuple, rows: list[tuple]) -> list[tuple]:
-        pos, pages, roles, on = zip(*rows)
-        return [(*key, pos[k], pos[run[0]], k in run) for *run, stop in code_runs(roles, pages, on) for k in range(run[0], stop)]
-
-    key, held = None, []
+def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (doc_id, section_number, pos), with __page, __role and __on last; gives them without these, runs joined."""
+
+    def joined(rows: pa.Table) -> pa.Table:
+        """Whole sections: a run's texts meet in its first row, its other rows go."""
+        keys = list(zip(*(rows.column(c).to_pylist() for c in SECTION)))
+        pages, roles, on = (rows.column(c).to_pylist() for c in ("__page", "__role", "__on"))
+        gone, texts, at = set(), {}, 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if roles[at:end].count(CODE) > 1:
+                for *run, stop in code_runs(roles[at:end], pages[at:end], on[at:end]):
+                    parts = [rows.column("text")[at + k].as_py().rstrip("\n") for k in run]
+                    texts[at + run[0]] = "\n".join(t for t in parts if t)
+                    gone.update(range(at + run[0] + 1, at + stop))
+            at = end
+        out = rows.drop_columns(["__page", "__role", "__on"])
+        if texts:
+            own = out.column("text").to_pylist()
+            for k, t in texts.items():
+                own[k] = t
+            out = out.set_column(out.schema.get_field_index("text"), out.schema.field("text"), pa.array(own, out.schema.field("text").type))
+            out = out.take(pa.array([k for k in range(len(keys)) if k not in gone], pa.int64()))
+        return out
+
+    held: list[pa.RecordBatch] = []  # rows of the section that is still open
     for batch in batches:
-        out = []
-        for doc, section, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != (doc, section):
-                out += consumed(key, held) if held else []
-                key, held = (doc, section), []
-            held.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-    if held and (out := consumed(key, held)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        if not batch.num_rows:
+            continue
+        doc, section = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in SECTION)
+        cut = batch.num_rows
+        while cut and (doc[cut - 1], section[cut - 1]) == (doc[-1], section[-1]):
+            cut -= 1
+        first = held and tuple(held[0].column(held[0].schema.get_field_index(c))[0].as_py() for c in SECTION)
+        if cut or (held and first != (doc[0], section[0])):
+            yield from joined(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from joined(pa.Table.from_batches(held)).to_batches()
 
 
 def merge_code(sections: DataFrame) -> DataFrame:
     """Split code blocks are joined, and what stood between them goes.
 
-    Roles and the page-crossing test are columns. Only sections with two code blocks or
-    more reach the fold, which sees positions, pages and roles but no other field; what it
-    returns (which rows go, which rows' texts to join) is applied with one join.
+    Roles and the page-crossing test are columns. Whole rows stream through the fold once,
+    in the order the window has put them in, so nothing is planned twice; only sections with
+    two code blocks or more are looked at there.
     """
     part = Window.partitionBy(*SECTION)
     before = F.last(F.when(F.col("elem_type") == "code_block", F.col("text")), ignorenulls=True).over(part.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = sections.withColumn("__role", code_role(F.col("elem_type"), F.col("text"))).withColumn("__b", F.when(F.col("__role") == CODE, before))
+    rows = sections.withColumn("__page", F.col("page_number")).withColumn("__role", code_role(F.col("elem_type"), F.col("text"))).withColumn("__b", F.when(F.col("__role") == CODE, before))
     rows = rows.withColumn("__on", F.coalesce(T.continues(F.col("__b"), F.col("text")), F.lit(False))).drop("__b")
-    slim = rows.withColumn("__n", F.sum((F.col("__role") == CODE).cast("int")).over(part)).where("__n > 1").select(*SECTION, "pos", F.col("page_number").alias("page"), F.col("__role").alias("role"), F.col("__on").alias("goes_on"))
-
-    # the count's window has dealt the rows by section, so a partition holds whole sections
-    plan = slim.sortWithinPartitions(*SECTION, "pos").mapInArrow(_fold_runs, "doc_id long, section_number int, pos long, base long, code boolean")
-    marked = rows.drop("__role", "__on").join(plan, [*SECTION, "pos"], "left")
-    # a run's texts meet at its base: runs are short, and rows outside of runs gather nothing
-    text = F.when(F.col("code"), F.struct("pos", F.regexp_replace("text", r"\n+$", "").alias("t")))
-    parts = F.array_sort(F.collect_list(text).over(Window.partitionBy(*SECTION, "base")))
-    whole = F.array_join(F.filter(F.transform("__p", lambda x: x["t"]), lambda t: t != ""), "\n")
-    kept = marked.withColumn("__p", parts).where("base is null or base = pos")
-    return kept.withColumn("text", F.when(F.col("base").isNotNull(), whole).otherwise(F.col("text"))).select(*sections.columns)
+    # the window has dealt the rows by section, so a partition holds whole sections
+    return rows.sortWithinPartitions(*SECTION, "pos").mapInArrow(_merged_runs, sections.schema)
 
 
 # ------------------------------------------------------------------ W7
@@ -163,11 +175,17 @@ def merge_paragraphs(sections: DataFrame) -> DataFrame:
     rows = sections.withColumn("__seg", seg)
     first = F.min(F.when(paragraph, F.col("pos"))).over(Window.partitionBy(*SECTION, "__seg"))
     rows = rows.withColumn("__first", first)
-    kept = rows.where(~(paragraph | between) | F.col("__first").isNull() | (F.col("pos") <= F.col("__first")))
-    later = rows.where(paragraph & (F.col("pos") > F.col("__first")) & ~T.is_artifact_late(F.col("text")) & ~T.is_tiny(F.col("text")))
-    parts = later.groupBy(*SECTION, F.col("__first").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("__p"))
-    whole = F.aggregate("__p", T.rstrip(F.col("text")), lambda a, x: T.joined(a, x["text"]))
-    return kept.join(parts, [*SECTION, "pos"], "left").withColumn("text", F.when(F.col("__p").isNotNull(), whole).otherwise(F.col("text"))).select(*sections.columns)
+    later = paragraph & (F.col("pos") > F.col("__first"))
+    kept = ~(paragraph | between) | F.col("__first").isNull() | (F.col("pos") <= F.col("__first"))
+    taken = later & ~T.is_artifact_late(F.col("text")) & ~T.is_tiny(F.col("text"))
+    rows = rows.withColumn("__t", F.coalesce(taken, F.lit(False))).where(kept | F.col("__t")).withColumn("__g", F.when(F.col("__t"), F.col("__first")).otherwise(F.col("pos")))
+    # a kept row and the paragraphs it takes in are one group, dealt by section as the windows are
+    own = F.first(F.when(~F.col("__t"), F.struct(*sections.columns)), ignorenulls=True)
+    parts = F.array_sort(F.collect_list(F.when(F.col("__t"), F.struct("pos", "text"))))
+    whole = F.aggregate("__p", T.rstrip(F.col("__o.text")), lambda a, x: T.joined(a, x["text"]))
+    out = rows.groupBy(*SECTION, "__g").agg(own.alias("__o"), parts.alias("__p"))
+    text = F.when(F.size("__p") > 0, whole).otherwise(F.col("__o.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"__o.{c}").alias(c) for c in sections.columns])
 
 
 # ------------------------------------------------------------------ W8, W9

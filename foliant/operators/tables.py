@@ -197,7 +197,14 @@ def trimmed(crops: DataFrame, lined: DataFrame, tolerance: float = 8.0) -> DataF
     return joined.withColumn("y1", F.when(F.col("last").isNull(), F.col("bbox.y1")).otherwise(y1)).select(*PAGE, "base_no", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), "y1")
 
 
+def table_crop(words: DataFrame, candidates: DataFrame, scored: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per base the rectangle to be cropped: the best candidate, cut below its table rows, within its page."""
+    best = best_crop(candidates, scored)
+    lined = grouped_lines(words_in(words, best.select(*PAGE, F.col("base_no").alias("region_no"), "bbox")))
+    return clipped(trimmed(best, lined), sizes)
+
+
 def clipped(crops: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The crop within its page."""
+    """The crop within its page."""
     page = crops.join(sizes, PAGE, "left")
     return page.select(*PAGE, "base_no", F.greatest(F.lit(0.0), F.col("x0")).alias("x0"), F.greatest(F.lit(0.0), F.col("y0")).alias("y0"), F.least("page_width", "x1").alias("x1"), F.least("page_height", "y1").alias("y1"))

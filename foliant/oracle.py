@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from foliant.functions import text as T
-
 NL = "chr(10)"
 
+# Fixed values, written out here so that a slip in the engine's own shows.
+WIDE, NARROW = r"[{}\[\]();=<>+\-*/%:,.]", r"[{}\[\]();=<>+\-*/%]"
+SQL_WORDS = [
+    "select", "from", "where", "group", "by", "order", "having", "join", "left", "right", "inner", "outer", "on", "insert", "update", "delete", "create", "table", "with",
+    "recursive", "union", "begin", "transaction", "commit", "rollback",
+]
+MARKERS = [
+    "volume", "number", "pages", "acm", "communications", "publisher", "press", "verlag", "isbn", "doi",
+    "february", "january", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
+STOPWORDS = ["the", "and", "or", "to", "of", "in", "is", "that", "for", "with", "on", "as", "by", "from"]
+DIGITS = r"\p{Nd}"
+
 
 def strip(t: str) -> str:
     return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
@@ -31,9 +42,6 @@ def density(t: str, pattern: str) -> str:
     return f"({hits(t, pattern)}::DOUBLE / greatest(length({t}), 1))"
 
 
-WIDE, NARROW = T.SYMBOLS_WIDE, T.SYMBOLS_NARROW
-
-
 def share(t: str, test: str) -> str:
     return f"(CASE WHEN len({full(t)}) > 0 THEN len(list_filter({full(t)}, lambda z_: {test}))::DOUBLE / len({full(t)}) ELSE 0.0::DOUBLE END)"
 
@@ -55,7 +63,7 @@ def normalized(t: str) -> str:
 
 
 def sql_hits(t: str) -> str:
-    words = ", ".join(f"'{w}'" for w in T.SQL_WORDS)
+    words = ", ".join(f"'{w}'" for w in SQL_WORDS)
     return f"len(list_filter(regexp_extract_all(lower({t}), '[A-Za-z_]+'), lambda w_: list_contains([{words}], w_)))"
 
 
@@ -84,7 +92,7 @@ def demoted(t: str) -> str:
     rows = trimmed_lines("n_text")
     flat = r"regexp_replace(n_text, '\s+', ' ', 'g')"
     header = rf"(regexp_matches({flat}, '\|\s*\d{{1,4}}\s*$') OR (len({rows}) = 3 AND {rows}[2] = '|' AND regexp_matches({rows}[3], '^\d{{1,4}}$')) OR regexp_matches({flat}, '^\d{{1,4}}\s*\|\s*[A-Za-z]'))"
-    markers = " + ".join(f"(CASE WHEN contains(lower(n_text), '{m}') THEN 1 ELSE 0 END)" for m in T.PUBLICATION_MARKERS)
+    markers = " + ".join(f"(CASE WHEN contains(lower(n_text), '{m}') THEN 1 ELSE 0 END)" for m in MARKERS)
     named = r"(contains(lower(n_text), 'doi:') OR regexp_matches(lower(n_text), '\b10\.\d{4,9}/\S+') OR contains(lower(n_text), 'isbn') OR regexp_matches(lower(n_text), '\b97[89][-\s\d]{8,20}\b'))"
     citation = rf"(regexp_matches(lower({strip(f'string_split(n_text, {NL})[1]')}), '^\[\d+\]') AND ({named} OR ({markers} >= 2 AND regexp_matches(lower(n_text), '\b(?:19|20)\d{{2}}\b'))))"
     confident = rf"((contains(lower(n_text), 'begin transaction') AND (contains(lower(n_text), 'commit') OR contains(lower(n_text), 'rollback'))) OR ({sql_hits('n_text')} >= 4 AND {density('n_text', NARROW)} >= 0.015) OR (len({rows}) >= 3 AND {density('n_text', NARROW)} >= 0.03 AND regexp_matches({rows}[-1], '[;}}\])]$')))"
@@ -217,7 +225,7 @@ SELECT page_id, position, CASE lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) W
     "page_export": q(ORDERED, "SELECT doc_id, page_number AS page, " + ", ".join(f"(count(*) FILTER (elem_type = '{t}'))::INT AS n_{t}" for t in "heading paragraph list_item caption code_block image table drawing link annotation header_footer page_number".split()) + ", coalesce(string_agg(text, '|' ORDER BY gidx) FILTER (elem_type = 'heading'), '') AS headings FROM od GROUP BY doc_id, page_number"),
     "preclean": q(CLEAN, "SELECT doc_id, section_number, pos, elem_type, text FROM cl"),
     "section_range_select": q(SECTIONS + "ss AS (SELECT *, section_number BETWEEN 2 AND 3 OR section_number BETWEEN 5 AND 6 AS hit FROM se), sk AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM ss),", "SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY old)::INT AS section_number, old, n FROM (SELECT doc_id, section_number AS old, count(*) AS n FROM sk WHERE hit OR NOT any_hit GROUP BY doc_id, section_number)"),
-    "code_signals": q(BLOCKS, f"SELECT doc_id, page_number, block_no, round({density('text', WIDE)}, 6) AS wide, round({density('text', NARROW)}, 6) AS narrow, round({indent('text')}, 6) AS indent, round({short('text')}, 6) AS short, {sql_hits('text')} AS sql_hits, len({full('text')}) AS n_lines, mono, round({hits('text', '[0-9]')}::DOUBLE / greatest(1, {hits('text', '[A-Za-z0-9]')}), 6) AS numeric, round({density('text', '[.;:!?]')}, 6) AS punctuation FROM bt WHERE block_type = 0"),
+    "code_signals": q(BLOCKS, f"SELECT doc_id, page_number, block_no, round({density('text', WIDE)}, 6) AS wide, round({density('text', NARROW)}, 6) AS narrow, round({indent('text')}, 6) AS indent, round({short('text')}, 6) AS short, {sql_hits('text')} AS sql_hits, len({full('text')}) AS n_lines, mono, round({hits('text', DIGITS)}::DOUBLE / greatest(1, {hits('text', '[A-Za-z0-9]')}), 6) AS numeric, round({density('text', '[.;:!?]')}, 6) AS punctuation FROM bt WHERE block_type = 0"),
     "code_demote": q(DEMOTED, "SELECT d.doc_id, d.section_number, d.pos, d.elem_type, d.text FROM dm d JOIN cl c ON c.doc_id = d.doc_id AND c.pos = d.pos WHERE c.elem_type = 'code_block'"),
     "paragraph_merge": q(DEMOTED + merged_paragraphs("dm"), "SELECT doc_id, section_number, pos, page_number, elem_type, text FROM pz"),
     "column_reflow": q(SECTIONS + reflowed("se"), "SELECT doc_id, section_number, page_number, pos, reading_order_index, elem_type FROM rz"),
@@ -271,10 +279,10 @@ SCORES = (
     + rf"""
 mt AS (SELECT rg.*, coalesce(line_count, 0)::BIGINT AS line_count, {clusters("inner_xs")} AS aligned_columns, coalesce(width, 0) / 612.0 AS width_ratio, {hits("coalesce(blob, '')", "[.;:!?]")}::DOUBLE / greatest(1, length(coalesce(blob, ''))) AS punctuation_ratio,
     coalesce(wcv, 0)::DOUBLE AS word_count_variance, {clusters("starts")} <= 1 AS same_left, {clusters("ends")} AS right_clusters, coalesce(rsv, 0)::DOUBLE AS row_spacing_variance,
-    {hits("coalesce(blob, '')", "[0-9]")}::DOUBLE / greatest(1, {hits("coalesce(blob, '')", "[A-Za-z0-9]")}) AS numeric_ratio, coalesce(word_count, 0)::BIGINT AS word_count, coalesce(word_count, 0)::DOUBLE / (greatest(1, x1 - x0) * greatest(1, y1 - y0)) AS bbox_density, gd.doc_id IS NOT NULL AS grid_lines,
+    {hits("coalesce(blob, '')", DIGITS)}::DOUBLE / greatest(1, {hits("coalesce(blob, '')", "[A-Za-z0-9]")}) AS numeric_ratio, coalesce(word_count, 0)::BIGINT AS word_count, coalesce(word_count, 0)::DOUBLE / (greatest(1, x1 - x0) * greatest(1, y1 - y0)) AS bbox_density, gd.doc_id IS NOT NULL AS grid_lines,
     coalesce(blob, '') AS blob
     FROM rg LEFT JOIN la USING (doc_id, page_number, ordinal) LEFT JOIN lb USING (doc_id, page_number, ordinal) LEFT JOIN gd USING (doc_id, page_number, ordinal)),
-mw AS (SELECT *, len(list_filter(regexp_extract_all(lower(blob), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: list_contains(string_split('{T.STOPWORDS}', '|'), w)))::DOUBLE / greatest(1, len(regexp_extract_all(blob, '[\p{{L}}\p{{M}}\p{{N}}_]+'))) AS stopword_ratio FROM mt),
+mw AS (SELECT *, len(list_filter(regexp_extract_all(lower(blob), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: list_contains([{", ".join(f"'{x}'" for x in STOPWORDS)}], w)))::DOUBLE / greatest(1, len(regexp_extract_all(blob, '[\p{{L}}\p{{M}}\p{{N}}_]+'))) AS stopword_ratio FROM mt),
 sr AS (SELECT *, array_to_string(list_filter([CASE WHEN aligned_columns <= 1 THEN 'insufficient_columns' END, CASE WHEN line_count < 3 THEN 'insufficient_rows' END, CASE WHEN width_ratio > 0.75 AND aligned_columns <= 1 THEN 'flowing_paragraph' END], lambda r: r IS NOT NULL), ',') AS reasons FROM mw),
 sc AS (SELECT *, (CASE WHEN reasons <> '' THEN -1 ELSE (CASE WHEN aligned_columns >= 2 THEN 3 ELSE 0 END) + (CASE WHEN line_count >= 3 AND row_spacing_variance <= 2.5 THEN 2 ELSE 0 END) + (CASE WHEN right_clusters >= 2 THEN 1 ELSE 0 END) + (CASE WHEN numeric_ratio >= 0.08 THEN 1 ELSE 0 END) + (CASE WHEN grid_lines THEN 4 ELSE 0 END)
     - (CASE WHEN same_left THEN 3 ELSE 0 END) - (CASE WHEN width_ratio > 0.75 THEN 2 ELSE 0 END) - (CASE WHEN punctuation_ratio > 0.03 THEN 2 ELSE 0 END) - (CASE WHEN stopword_ratio > 0.35 THEN 2 ELSE 0 END) - (CASE WHEN word_count_variance > 6 THEN 1 ELSE 0 END) END)::DOUBLE AS score FROM sr),
@@ -296,7 +304,7 @@ cb AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.page_number ORDER
         REGIONS
         + rf"""
 tl AS (SELECT *, len(list_filter(list_transform(range(1, len(xs)), lambda k: xs[k + 1] - es[k] >= 12.0), lambda g: g)) AS gaps, {clusters("xs[2:]")} AS cols, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS wc FROM li WHERE ordinal = 1),
-tt AS (SELECT *, ((cols >= 1 AND gaps >= 1 AND wc >= 2) OR (wc <= 6 AND gaps >= 1) OR ({hits("text", "[0-9]")}::DOUBLE / greatest(1, {hits("text", "[A-Za-z0-9]")}) >= 0.08 AND wc >= 2)) AND NOT (wc >= 10 AND regexp_matches(text, '[.;:]$')) AS t FROM tl),
+tt AS (SELECT *, ((cols >= 1 AND gaps >= 1 AND wc >= 2) OR (wc <= 6 AND gaps >= 1) OR ({hits("text", DIGITS)}::DOUBLE / greatest(1, {hits("text", "[A-Za-z0-9]")}) >= 0.08 AND wc >= 2)) AND NOT (wc >= 10 AND regexp_matches(text, '[.;:]$')) AS t FROM tl),
 ts AS (SELECT *, max(t::INT) OVER w = 1 AND NOT t AS bad FROM tt WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY row)),
 tu AS (SELECT *, bad AND coalesce(lag(bad) OVER (PARTITION BY doc_id, page_number ORDER BY row), false) AS stop FROM ts),
 tv AS (SELECT *, max(stop::INT) OVER (PARTITION BY doc_id, page_number ORDER BY row) = 1 AS past FROM tu),
@@ -338,25 +346,47 @@ ad AS (SELECT *, on_ - coalesce(lag(on_) OVER (PARTITION BY scene_id, u ORDER BY
 tm AS (SELECT s.scene_id, s.step_no, s.action, greatest(0.0, coalesce(s.value, 0) / 100)::DOUBLE AS wait, a.act_s, coalesce(a.runs, false)::INT AS played, sum(coalesce(a.change, 0)) OVER (PARTITION BY s.scene_id ORDER BY s.step_no) AS active_idle FROM st s LEFT JOIN ad a USING (scene_id, step_no)),
 tr AS (SELECT *, CASE WHEN action = 'wait' THEN CASE WHEN active_idle > 0 THEN wait ELSE 0 END ELSE coalesce(act_s, 0) END AS run_s FROM tm),
 """,
-        "SELECT scene_id, step_no::INT AS step_no, action, round(run_s, 6) AS run_s, round(CASE WHEN action = 'wait' THEN wait ELSE run_s END, 6) AS wall_s, round(coalesce(sum(run_s) OVER (PARTITION BY scene_id ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS start_s, played::BIGINT AS played, active_idle::BIGINT AS active_idle FROM tr",
+        "SELECT scene_id, step_no::INT AS step_no, action, round(run_s, 6) AS run_s, round(CASE WHEN action = 'wait' THEN wait + run_s ELSE run_s END, 6) AS wall_s, round(coalesce(sum(run_s) OVER (PARTITION BY scene_id ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS start_s, played::BIGINT AS played, active_idle::BIGINT AS active_idle FROM tr",
     ),
     "scene_elements": """
 SELECT * FROM (VALUES
-('SERVER', 'image', NULL, 'images/server.svg', 'SERVER', '[2.5,0.0]', NULL, NULL, 1.6::DOUBLE, NULL, 'image_popup', NULL, NULL, NULL::INT),
-('CACHE', 'shape', 'square', NULL, 'CACHE', '[-2.5,0.0]', NULL, NULL, 1.6, NULL, 'shape_popup', NULL, NULL, NULL),
-('CACHE_TO_SERVER', 'arrow', 'unidirectional_dotted', NULL, NULL, '[-1.5,0.0]', '[-1.5,0.0]', '[1.5,0.0]', NULL, NULL, 'unidirectional_dotted_spawn', 'dotted_unidirectional_idle', NULL, NULL),
-('FLOW_DOT', 'shape', 'circle', NULL, NULL, '[-1.5,0.0]', NULL, NULL, 0.12, 'WHITE', 'shape_popup', NULL, '[[-1.5,0.0],[-0.5,0.0],[0.5,0.5],[1.5,0.0]]', 3)
+('GATE', 'shape', 'rectangle', NULL, 'Gate', '[0.0,1.0]', NULL, NULL, 1.25::DOUBLE, '#ff8800', 'shape_popup', NULL, NULL, NULL::INT),
+('LOGO', 'image', NULL, 'pics/logo.png', NULL, '[3.0,-1.0]', NULL, NULL, NULL, NULL, 'image_popup', NULL, NULL, NULL),
+('WIRE', 'arrow', 'bidirectional_dotted', NULL, NULL, NULL, '[0.0,0.0]', '[2.0,0.0]', NULL, NULL, 'bidirectional_dotted_spawn', 'dotted_bidirectional_idle', NULL, NULL),
+('PULSE', 'shape', 'circle', NULL, NULL, '[9.0,9.0]', NULL, NULL, 0.5, NULL, 'shape_popup', NULL, '[[1.0,1.0],[3.0,2.0]]', 2),
+('SWING', 'shape', 'blob', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '[[0.0,0.0],[2.0,0.0]]', 1)
 ) t(name, type, shape, url, text, position, from_position, to_position, size, fill_color, spawn, idle, path, repeat)""",
     "scene_steps": """
-SELECT * FROM (VALUES (1, 'spawn', 'SERVER', 'SERVER,CACHE', NULL::DOUBLE), (2, 'wait', NULL, NULL, 0.3), (3, 'spawn', 'CACHE_TO_SERVER', 'CACHE_TO_SERVER', NULL), (4, 'wait', NULL, NULL, 0.3), (5, 'spawn', 'FLOW_DOT', 'FLOW_DOT', NULL),
-(6, 'move', 'FLOW_DOT', NULL, NULL), (7, 'close', 'CACHE_TO_SERVER', 'CACHE_TO_SERVER', NULL), (8, 'close', 'FLOW_DOT', 'FLOW_DOT', NULL), (9, 'close', 'CACHE', 'CACHE,SERVER', NULL)) t(step_no, action, target, targets, duration)""",
+SELECT * FROM (VALUES (1, 'spawn', 'GATE', 'GATE,LOGO', NULL::DOUBLE), (2, 'wait', NULL, NULL, 0.5), (3, 'idle', 'WIRE', NULL, NULL), (4, 'spawn', 'WIRE', 'WIRE', NULL), (5, 'wait', NULL, NULL, 0.25),
+(6, 'move', 'PULSE', NULL, NULL), (7, 'spawn', 'PULSE', 'PULSE,NOBODY', NULL), (8, 'move', 'PULSE', NULL, NULL), (9, 'move', 'SWING', NULL, NULL), (10, 'spawn', 'SWING', 'SWING', NULL), (11, 'move', 'SWING', NULL, NULL),
+(12, 'close', 'WIRE', 'WIRE', NULL), (13, 'wait', NULL, NULL, 0.125), (14, 'close', 'PULSE', 'PULSE,GATE,LOGO', NULL), (15, 'close', 'NOBODY', 'NOBODY', NULL)) t(step_no, action, target, targets, duration)""",
     "scene_play": """
-SELECT * FROM (VALUES (1, 'spawn', 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (2, 'wait', 0.0, 0.3, 1.0), (3, 'spawn', 1.0, 1.0, 1.0), (4, 'wait', 0.0, 0.3, 2.0), (5, 'spawn', 1.0, 1.0, 2.0), (6, 'move', 2.1, 2.1, 3.0),
-(7, 'close', 1.0, 1.0, 5.1), (8, 'close', 1.0, 1.0, 6.1), (9, 'close', 1.0, 1.0, 7.1)) t(step_no, action, run_s, wall_s, start_s)""",
+SELECT * FROM (VALUES (1, 'spawn', 0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE), (2, 'wait', 0.0, 0.5, 0.5), (3, 'idle', 0.0, 0.0, 0.5), (4, 'spawn', 1.5, 1.5, 0.5), (5, 'wait', 0.25, 0.5, 2.0), (6, 'move', 0.0, 0.0, 2.25),
+(7, 'spawn', 0.25, 0.25, 2.25), (8, 'move', 2.0, 2.0, 2.5), (9, 'move', 0.0, 0.0, 4.5), (10, 'spawn', 0.5, 0.5, 4.5), (11, 'move', 0.75, 0.75, 5.0), (12, 'close', 0.5, 0.5, 5.75), (13, 'wait', 0.0, 0.125, 6.25),
+(14, 'close', 0.75, 0.75, 6.25), (15, 'close', 0.0, 0.0, 7.0)) t(step_no, action, run_s, wall_s, start_s)""",
     "element_defaults": """
-SELECT * FROM (VALUES ('SERVER', 'image', 1.6::DOUBLE, 1.6::DOUBLE, 'SERVER', 'WHITE', NULL::DOUBLE, 'fade_in', 1.0::DOUBLE, NULL, 'fade_out', 0.0::DOUBLE), ('CACHE', 'square', 1.6, 1.6, 'CACHE', 'WHITE', NULL, 'fade_in', 1.0, NULL, 'fade_out', 0.0),
-('CACHE_TO_SERVER', 'unidirectional_dotted', NULL, NULL, NULL, 'WHITE', -1.5708, 'unidirectional_dotted_spawn', 1.0, 'dotted_unidirectional_idle', 'unidirectional_dotted_remove', 0.0), ('FLOW_DOT', 'circle', 0.24, 0.24, NULL, 'WHITE', NULL, 'fade_in', 1.0, NULL, 'fade_out', 2.1))
+SELECT * FROM (VALUES ('GATE', 'rectangle', 1.25::DOUBLE, 2.5::DOUBLE, 'Gate', 'WHITE', NULL::DOUBLE, 'fade_in', 0.5::DOUBLE, NULL, 'fade_out', 0.0::DOUBLE), ('LOGO', 'image', 1.5, 1.5, 'LOGO', 'WHITE', NULL, 'fade_in', 0.25, NULL, 'fade_out', 0.0),
+('WIRE', 'bidirectional_dotted', NULL, NULL, NULL, 'WHITE', round(-pi() / 4 - 1.5708, 6), 'bidirectional_dotted_spawn', 1.5, 'dotted_bidirectional_idle', 'fade_out', 0.0), ('PULSE', 'circle', 1.0, 1.0, NULL, 'WHITE', NULL, 'fade_in', 0.25, NULL, 'fade_out', 2.0),
+('SWING', 'square', 1.6, 1.6, NULL, 'RED', NULL, 'fade_in', 0.5, NULL, 'fade_out', 0.75))
 t(name, drawable, width, height, text, border_color, angle, spawn, spawn_s, idle, remove, move_s)""",
+    "scene_json": """
+SELECT 'flow.render.json' AS file, array_to_string([
+'{', '  "elements": [',
+'    {', '      "name": "GATE",', '      "type": "shape",', '      "shape": "rectangle",', '      "text": "Gate",', '      "position": [', '        0.0,', '        1.0', '      ],', '      "size": 1.25,', '      "fill_color": "#ff8800",',
+'      "spawn_animation": {', '        "type": "shape_popup",', '        "duration": 0.5', '      },', '      "remove_animation": {', '        "type": "shape_popout",', '        "duration": 0.75', '      }', '    },',
+'    {', '      "name": "LOGO",', '      "type": "image",', '      "url": "pics/logo.png",', '      "position": [', '        3.0,', '        -1.0', '      ],', '      "spawn_animation": {', '        "type": "image_popup",', '        "duration": 0.25', '      }', '    },',
+'    {', '      "name": "WIRE",', '      "type": "arrow",', '      "shape": "bidirectional_dotted",', '      "from": [', '        0.0,', '        0.0', '      ],', '      "to": [', '        2.0,', '        0.0', '      ],', '      "path": [', '        [', '          1.0,', '          1.0', '        ]', '      ],',
+'      "spawn_animation": {', '        "type": "bidirectional_dotted_spawn",', '        "duration": 1.5', '      },', '      "idle_animation": {', '        "type": "dotted_bidirectional_idle",', '        "duration": 1.0', '      },', '      "remove_animation": {', '        "type": "no_such_removal",', '        "duration": 2.0', '      }', '    },',
+'    {', '      "name": "PULSE",', '      "type": "shape",', '      "shape": "circle",', '      "position": [', '        9.0,', '        9.0', '      ],', '      "size": 0.5,', '      "spawn_animation": {', '        "type": "shape_popup",', '        "duration": 0.25', '      },',
+'      "movement": {', '        "type": "bent",', '        "path": [', '          [', '            1.0,', '            1.0', '          ],', '          [', '            3.0,', '            2.0', '          ]', '        ],', '        "duration": 0.5,', '        "repeat": 2,', '        "reverse": true', '      }', '    },',
+'    {', '      "name": "SWING",', '      "type": "shape",', '      "shape": "blob",', '      "border_color": "RED",', '      "movement": {', '        "type": "downwardscurve",', '        "path": [', '          [', '            0.0,', '            0.0', '          ],', '          [', '            2.0,', '            0.0', '          ]', '        ],', '        "duration": 0.75,', '        "repeat": 1,', '        "reverse": false', '      }', '    }',
+'  ],', '  "sequence": [',
+'    {', '      "action": "spawn",', '      "target": "GATE",', '      "targets": [', '        "GATE",', '        "LOGO"', '      ]', '    },', '    {', '      "action": "wait",', '      "duration": 0.5', '    },', '    {', '      "action": "idle",', '      "target": "WIRE"', '    },',
+'    {', '      "action": "spawn",', '      "target": "WIRE",', '      "targets": [', '        "WIRE"', '      ]', '    },', '    {', '      "action": "wait",', '      "duration": 0.25', '    },', '    {', '      "action": "move",', '      "target": "PULSE"', '    },',
+'    {', '      "action": "spawn",', '      "target": "PULSE",', '      "targets": [', '        "PULSE",', '        "NOBODY"', '      ]', '    },', '    {', '      "action": "move",', '      "target": "PULSE"', '    },', '    {', '      "action": "move",', '      "target": "SWING"', '    },',
+'    {', '      "action": "spawn",', '      "target": "SWING",', '      "targets": [', '        "SWING"', '      ]', '    },', '    {', '      "action": "move",', '      "target": "SWING"', '    },', '    {', '      "action": "close",', '      "target": "WIRE",', '      "targets": [', '        "WIRE"', '      ]', '    },',
+'    {', '      "action": "wait",', '      "duration": 0.125', '    },', '    {', '      "action": "close",', '      "target": "PULSE",', '      "targets": [', '        "PULSE",', '        "GATE",', '        "LOGO"', '      ]', '    },', '    {', '      "action": "close",', '      "target": "NOBODY",', '      "targets": [', '        "NOBODY"', '      ]', '    }',
+'  ]', '}', ''], chr(10)) AS json""",
     "coercions": """
 WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k, '"' || event_type || CASE WHEN event_id % 2 = 0 THEN '"' ELSE '' END AS quoted FROM events)
 SELECT event_id, coalesce(try_cast(k AS DOUBLE), 0.45::DOUBLE) AS number, greatest(1, coalesce(try_cast(CASE WHEN event_id % 3 > 0 THEN k ELSE 'x' END AS INT), 1))::BIGINT AS whole,
@@ -405,3 +435,24 @@ RENUMBERED = """
 nm AS (SELECT * EXCLUDE (section_number), (dense_rank() OVER (PARTITION BY doc_id ORDER BY section_number))::INT AS section_number FROM rz),
 """
 ORACLE["document_flow"] = q(SECTIONS + CHOSEN + DEMOTED.removeprefix(SECTIONS).replace("FROM se WHERE", "FROM sq WHERE") + MERGED + merged_paragraphs("mc") + reflowed("pz") + RENUMBERED + lined("nm"), CONTENT)
+
+# ------------------------------------------------------------------ scans, chunks, crops and stored code
+
+SCANS = ORDERED + """
+sn AS (SELECT doc_id, page_number, n AS n_blocks, doc_id + page_number AS n FROM pg),
+sx AS (SELECT doc_id, page_number, n_blocks, 1 AS src, 0 AS p, 'drawing' AS elem_type, 60.0 AS x0, 100.0 AS y0, 60.0 + CASE WHEN n % 3 = 0 THEN 20.0 ELSE 200.0 END AS x1, 100.0 + CASE WHEN n % 3 = 0 THEN 20.0 ELSE 200.0 END AS y1, NULL::INT AS row_count, NULL::INT AS column_count, (n % 5)::INT AS item_count, NULL::VARCHAR AS uri, NULL::INT AS destination_page, NULL::VARCHAR AS kind, NULL::VARCHAR AS content FROM sn
+    UNION ALL SELECT doc_id, page_number, n_blocks, 2, 0, 'table', CASE WHEN n % 12 = 0 THEN 0 ELSE 10 END, CASE WHEN n % 12 = 0 THEN 0 ELSE 20 END, CASE WHEN n % 12 = 0 THEN 0 ELSE 316 END, CASE WHEN n % 12 = 0 THEN 0 ELSE 416 END, CASE WHEN n % 3 = 1 THEN 0 ELSE n % 3 + 2 END, CASE WHEN n % 8 = 0 THEN 2 ELSE n % 5 END, NULL, NULL, NULL, NULL, NULL FROM sn WHERE n % 4 = 0
+    UNION ALL SELECT doc_id, page_number, n_blocks, 3, 0, 'link', 5, 6, 50, 16, NULL, NULL, NULL, 'https://example.org/' || n, NULL, NULL, NULL FROM sn WHERE n % 2 = 0
+    UNION ALL SELECT doc_id, page_number, n_blocks, 3, 1, 'link', 0, 0, 0, 0, NULL, NULL, NULL, NULL, n % 7, NULL, NULL FROM sn WHERE n % 2 = 0
+    UNION ALL SELECT doc_id, page_number, n_blocks, 4, 0, 'annotation', 1, 700, 90, 720, NULL, NULL, NULL, NULL, NULL, 'Highlight', CASE WHEN n % 2 = 1 THEN 'note ' || n END FROM sn WHERE n % 3 = 1),
+sy AS (SELECT *, (n_blocks + row_number() OVER (PARTITION BY doc_id, page_number ORDER BY src, p) - 1)::INT AS idx FROM sx),
+"""
+ORACLE |= {
+    "page_scan": q(SCANS, "SELECT doc_id, page_number, idx AS reading_order_index, elem_type, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, row_count::INT AS row_count, column_count::INT AS column_count, item_count, uri, destination_page::INT AS destination_page, kind, content FROM sy"),
+    "scan_lines": q(SCANS, "SELECT doc_id, page_number, idx::BIGINT AS pos, CASE elem_type WHEN 'table' THEN 'TABLE resources/tables/1_' || page_number || '_tables_1.txt' WHEN 'link' THEN 'LINK uri=' || coalesce(uri, 'None') || ' destination_page=' || coalesce(destination_page::INT::VARCHAR, 'None') ELSE 'ANNOTATION kind=' || kind || ' content=' || coalesce(content, 'None') END AS line FROM sy WHERE elem_type <> 'drawing'"),
+    "chunk_read": q(LINES, "SELECT doc_id, ((i // 8) // 3 * 3 + 1)::INT AS start_page, least((i // 8) // 3 * 3 + 3, any_value(total))::INT AS end_page, count(*) AS n_blocks, max(i // 8 + 1)::INT AS last_page FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) // 8 + 1 AS total FROM ml) GROUP BY doc_id, (i // 8) // 3"),
+    "crop_clip": q(REGIONS, "SELECT doc_id, page_number, 10 + ordinal AS base_no, greatest(0.0, x0 - 55)::DOUBLE AS x0, greatest(0.0, y0 - 40)::DOUBLE AS y0, least(500 + doc_id % 3 * 50, x1)::DOUBLE AS x1, least(90 + page_number % 4 * 30, y1)::DOUBLE AS y1 FROM rg"),
+    "code_resources": f"""
+SELECT event_id, ext, CASE ext WHEN 'json' THEN '{{' || {NL} || '  "k": ' || json_extract_string(props, '$.k') || {NL} || '}}' WHEN 'sql' THEN 'begin' || {NL} || '    select ' || event_id || ';' || {NL} || 'commit' ELSE 'f(' || event_id || ') {{' || {NL} || '    y;' || {NL} || '}}' END AS content
+FROM (SELECT *, ['json', 'sql', 'txt'][(event_id % 3 + 1)::INT] AS ext FROM events WHERE event_id IS NOT NULL)""",
+}

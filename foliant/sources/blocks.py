@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import geometry as G
 from foliant.functions import text as T
 
 LINES = "array<struct<spans:array<struct<text:string,font:string,size:double>>>>"
@@ -27,13 +28,57 @@ def page_ranges(documents: DataFrame, per_chunk: int, doc_id: str = "doc_id", pa
     return begin.select(doc_id, "start_page", F.least(F.col("start_page") + (size - 1), F.col(pages)).cast("int").alias("end_page"))
 
 
-def read_range(blocks: DataFrame, start: int, end: int) -> DataFrame:
-    """A3: the pages of one range; a range that is not 1 <= start <= end is an error."""
-    if not 1 <= start <= end:
-        raise ValueError(f"pages {start} to {end} are no range")
+def read_range(blocks: DataFrame, start: int, end: int, total: int | None = None) -> DataFrame:
+    """A3: the pages of one range of a document; one that is not 1 <= start <= end <= total is an error.
+
+    total is the document's page count; if it is not given, the last page that has a block.
+    """
+    if total is None:
+        total = blocks.agg(F.max("page_number")).first()[0] or 0
+    if not 1 <= start <= end <= total:
+        raise ValueError(f"pages {start} to {end} are no range of {total}")
     return blocks.where(F.col("page_number").between(start, end))
 
 
+def read_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """A3 for many documents: blocks with start_page and end_page of the range (of page_ranges) that holds their page."""
+    return blocks.join(ranges.select("doc_id", "start_page", "end_page"), "doc_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
+
+
+# ------------------------------------------------------------------ what a page reader gives beside blocks
+
+
+def drawing_scan(pages: DataFrame) -> DataFrame:
+    """A row per drawing of (doc_id, page_number, drawings: array of (rect, items)); item_count counts the items."""
+    rows = pages.select("doc_id", "page_number", F.posexplode("drawings").alias("position", "d"))
+    return rows.select("doc_id", "page_number", "position", G.box(F.col("d.rect")).alias("bbox"), F.greatest(F.lit(0), F.coalesce(F.size("d.items"), F.lit(0))).alias("item_count"))
+
+
+def table_scan(pages: DataFrame) -> DataFrame:
+    """A row per table of (doc_id, page_number, tables: array of (bbox, rows, columns, column_count)).
+
+    Columns may be a list, which is counted, or a number; missing ones count 0. Null tables give no rows.
+    """
+    rows = pages.select("doc_id", "page_number", F.posexplode("tables").alias("position", "t"))
+    counted = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return rows.select(
+        "doc_id", "page_number", "position", G.box(F.col("t.bbox")).alias("bbox"),
+        F.coalesce(counted("t.rows"), F.lit(0)).alias("row_count"), F.coalesce(counted("t.columns"), F.col("t.column_count"), F.lit(0)).cast("int").alias("column_count"),
+    )
+
+
+def link_scan(pages: DataFrame) -> DataFrame:
+    """A row per link of (doc_id, page_number, links: array of (from, uri, page)); the target page stays as it is."""
+    rows = pages.select("doc_id", "page_number", F.posexplode("links").alias("position", "l"))
+    return rows.select("doc_id", "page_number", "position", G.box(F.col("l.from")).alias("bbox"), "l.uri", F.col("l.page").alias("destination_page"))
+
+
+def annotation_scan(pages: DataFrame) -> DataFrame:
+    """A10: a row per annotation of (doc_id, page_number, annotations: array of (rect, type, content)); content may be null."""
+    rows = pages.select("doc_id", "page_number", F.posexplode("annotations").alias("position", "a"))
+    return rows.select("doc_id", "page_number", "position", G.box(F.col("a.rect")).alias("bbox"), F.col("a.type").alias("kind"), "a.content")
+
+
 def _span(c: Column, font: Column, size: Column) -> Column:
     return F.struct(F.array(F.struct(c.alias("text"), font.alias("font"), size.alias("size"))).alias("spans"))
 
@@ -94,12 +139,36 @@ def blocks_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def page_numbers(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_number) of the canonical adapter."""
+    return marked_lines(docs).select("doc_id", (F.floor(F.col("i") / 8) + 1).cast("int").alias("page_number")).distinct()
+
+
 def drawings_from_documents(docs: DataFrame) -> DataFrame:
     """One drawing for each page of the canonical adapter, some small, some of few parts."""
-    pages = marked_lines(docs).select("doc_id", (F.floor(F.col("i") / 8) + 1).cast("int").alias("page_number")).distinct()
     n = F.col("doc_id") + F.col("page_number")
     side = F.when(n % 3 == 0, F.lit(20.0)).otherwise(F.lit(200.0))
-    return pages.select("doc_id", "page_number", F.lit(0).alias("position"), F.struct(F.lit(60.0).alias("x0"), F.lit(100.0).alias("y0"), (60.0 + side).alias("x1"), (100.0 + side).alias("y1")).alias("bbox"), (n % 5).cast("int").alias("item_count"))
+    one = F.struct(F.array(F.lit(60.0), F.lit(100.0), 60.0 + side, 100.0 + side).alias("rect"), F.array_repeat(F.lit("l"), (n % 5).cast("int")).alias("items"))
+    return drawing_scan(page_numbers(docs).withColumn("drawings", F.array(one)))
+
+
+def scans_from_documents(docs: DataFrame) -> dict[str, DataFrame]:
+    """Tables, links and annotations of the canonical adapter's pages, some without a box, count or content."""
+    n = F.col("doc_id") + F.col("page_number")
+    box = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    table = F.struct(
+        F.when(n % 12 == 0, box(1.0, 2.0)).otherwise(box(10.0, 20.0, 316.0, 416.0)).alias("bbox"),
+        F.when(n % 3 != 1, F.sequence(F.lit(1), (n % 3 + 2).cast("int"))).alias("rows"),
+        F.when(n % 8 == 0, F.array(F.lit("a"), F.lit("b"))).alias("columns"),
+        F.when(n % 5 != 0, (n % 5).cast("int")).alias("column_count"),
+    )
+    links = F.array(
+        F.struct(box(5.0, 6.0, 50.0, 16.0).alias("from"), F.concat(F.lit("https://example.org/"), n.cast("string")).alias("uri"), F.lit(None).cast("int").alias("page")),
+        F.struct(box().cast("array<double>").alias("from"), F.lit(None).cast("string").alias("uri"), (n % 7).cast("int").alias("page")),
+    )
+    note = F.struct(box(1.0, 700.0, 90.0, 720.0).alias("rect"), F.lit("Highlight").alias("type"), F.when(n % 2 == 1, F.concat(F.lit("note "), n.cast("string"))).alias("content"))
+    pages = page_numbers(docs).select("doc_id", "page_number", F.when(n % 4 == 0, F.array(table)).alias("tables"), F.when(n % 2 == 0, links).alias("links"), F.when(n % 3 == 1, F.array(note)).alias("annotations"))
+    return {"tables": table_scan(pages), "links": link_scan(pages), "annotations": annotation_scan(pages)}
 
 
 def html_elements(pages: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ ELEMENT = (
     "name string, type string, shape string, url string, text string, position array<double>, `from` array<double>, to array<double>, path array<array<double>>, size double, "
     f"fill_color string, border_color string, spawn_animation {ANIMATION}, idle_animation {ANIMATION}, remove_animation {ANIMATION}, movement {MOVEMENT}"
 )
-STEP = "action string, target string, targets array<string>, duration double"
-RENDER = f"elements array<struct<{ELEMENT.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double').replace(' struct', ':struct')}>>, sequence array<struct<action:string,target:string,targets:array<string>,duration:double>>"
+STEP = "action string, target string, targets array<string>, duration double, seconds double"
+RENDER = f"elements array<struct<{ELEMENT.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double').replace(' struct', ':struct')}>>, sequence array<struct<action:string,target:string,targets:array<string>,duration:double,seconds:double>>"
 
 
 def read_scenes(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,20 @@ def first_render(rendered: DataFrame, wanted: str | None = None) -> DataFrame:
     return rendered.where(F.col("scene_id") == wanted) if wanted else rendered.orderBy("scene_id").limit(1)
 
 
+#: Where instructions are looked for if nothing says so.
+INSTRUCTIONS = ("pipeline/render/dsl_instructions.render.json", "renderer_instructions.json")
+
+
+def instructions_path(folder: str = "pipeline/render", candidates: tuple[str, ...] = INSTRUCTIONS, env: str = "RENDERER_INSTRUCTIONS_FILE") -> str:
+    """The file the environment names, else the first *.render.json of the folder by name, else the first
+    candidate that exists, else the first candidate."""
+    if os.environ.get(env):
+        return os.environ[env]
+    if os.path.isdir(folder) and (own := sorted(x for x in os.listdir(folder) if x.endswith(".render.json"))):
+        return os.path.join(folder, own[0])
+    return next((c for c in candidates if os.path.isfile(c)), candidates[0])
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds of the document flow, with the defaults that apply where nothing is set."""
@@ -54,7 +68,8 @@ class Settings:
         if os.path.isfile(path):
             ini.read(path, encoding="utf-8")
         own = dict(ini["ingestion"]) if ini.has_section("ingestion") else {}
-        return Settings(**{k: float(own[k]) for k in Settings.__dataclass_fields__ if k in own and k.startswith("table_")})
+        stride = positive_setting(ini, "ingestion", "reading_order_stride", Settings.reading_order_stride)
+        return Settings(reading_order_stride=stride, **{k: float(own[k]) for k in Settings.__dataclass_fields__ if k in own and k.startswith("table_")})
 
 
 def positive_setting(ini: configparser.ConfigParser, section: str, key: str, fallback: int) -> int:

@@ -73,8 +73,36 @@ def test_stream(spark, made, tmp_path):
 def test_ranges(spark):
     df = spark.createDataFrame([(1, 7), (2, 0), (3, 3)], "doc_id long, total_pages int")
     assert sorted(map(tuple, B.page_ranges(df, 3).collect())) == [(1, 1, 3), (1, 4, 6), (1, 7, 7), (3, 1, 3)]
-    with pytest.raises(ValueError):
-        B.read_range(df, 4, 3)
+    pages = spark.createDataFrame([(p,) for p in (1, 2, 2, 4)], "page_number int")
+    assert B.read_range(pages, 2, 4).count() == 3 and B.read_range(pages, 5, 6, 7).count() == 0
+    for start, end, total in ((4, 3, None), (0, 1, None), (1, 5, None), (1, 8, 7)):
+        with pytest.raises(ValueError):
+            B.read_range(pages, start, end, total)
+
+
+def test_stored_code_follows_its_language(spark, tmp_path, monkeypatch):
+    """The file is named .txt, the content is formatted as what the lexer takes it for."""
+    monkeypatch.setattr(K, "guessed_extension", lambda c: F.when(c.startswith("begin"), "sql").when(c.startswith("{"), "json").otherwise("txt"))
+    rows = [(1, 1, i, 1, "code_block", t) for i, t in enumerate(["begin\nselect 1;\ncommit", '{"a": 1}', "f(\nx\n)"])]
+    df = spark.createDataFrame(rows, "doc_id long, section_number int, pos long, page_number int, elem_type string, text string")
+    missing = ("image_index int", "image_xref int", "image_ext string", "image_bytes binary", "row_count int", "column_count int", "item_count int", "uri string", "destination_page int", "kind string", "content string", "bbox struct<x0:double,y0:double,x1:double,y1:double,width:double,height:double>", "norm_bbox struct<x0:double,y0:double,x1:double,y1:double,width:double,height:double>")
+    df = df.select("*", *[F.lit(None).cast(m.split(" ", 1)[1]).alias(m.split(" ", 1)[0]) for m in missing])
+    K.write_sections(K.resources(df), str(tmp_path))
+    kept = {r["path"][-5:]: r["content"] for r in spark.read.parquet(str(tmp_path / "resources")).collect()}
+    assert kept == {"1.txt": "begin\n    select 1;\ncommit", "2.txt": '{\n  "a": 1\n}', "3.txt": "f(\n    x\n)"}
+
+
+def test_table_crop(spark):
+    """The best candidate is cut below its last table row and kept within the page."""
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    words = [(1, 1, r * 3 + c, 10.0 + 100 * c, 20.0 * r, 40.0 + 100 * c + 20 * (r % 2), 20.0 * r + 10, "12") for r in range(5) for c in range(3)]
+    words = spark.createDataFrame(words, "doc_id long, page_number int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    candidates = spark.createDataFrame([(1, 1, 1, 0, (0.0, 0.0, 400.0, 35.0)), (1, 1, 1, 1, (0.0, 0.0, 400.0, 300.0))], f"doc_id long, page_number int, base_no int, ordinal int, bbox {box}")
+    regions = candidates.withColumn("region_no", F.col("base_no") * 1000 + F.col("ordinal"))
+    scored = R.table_score(R.region_metrics(R.grouped_lines(R.words_in(words, regions.select("doc_id", "page_number", "region_no", "bbox"))), regions.select("doc_id", "page_number", "region_no", "bbox"), None, 612.0))
+    sizes = spark.createDataFrame([(1, 1, 300.0, 1000.0)], "doc_id long, page_number int, page_width double, page_height double")
+    r = R.table_crop(words, candidates, scored, sizes).first()
+    assert (r["x0"], r["y0"], r["x1"], r["y1"]) == (0.0, 0.0, 300.0, 94.0)
 
 
 def test_lines_join_the_first_that_is_near(spark):
