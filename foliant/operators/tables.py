@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,26 +43,38 @@ def words_in(words: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.where(G.inside(F.struct("x0", "y0", "x1", "y1"), F.col("bbox")))
 
 
+def _line_numbers(tolerance: float):
+    """A fold over the centres of a region's words; in Python, as each word depends on the means of all lines so far."""
+
+    def one(ys) -> list[int]:
+        sums, counts, at = [], [], []
+        for y in ys:
+            k = next((i for i, (s, n) in enumerate(zip(sums, counts)) if abs(y - s / n) <= tolerance), len(sums))
+            if k == len(sums):
+                sums.append(0.0)
+                counts.append(0)
+            sums[k] += y
+            counts[k] += 1
+            at.append(k + 1)
+        return at
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for centres in batches:
+            yield centres.map(one)
+
+    return F.pandas_udf(run, "array<int>")
+
+
 def grouped_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Adds line_no, the line a word of a region belongs to, in the order in which lines were begun.
 
     Words by (y0, x0, word_no) join the first line so far whose mean centre is within the
-    tolerance, else begin one. One fold per region over its sorted words, inside the plan;
-    a page bounds its length.
+    tolerance, else begin one. One fold per region over its sorted words, of which only the
+    centres reach Python; a page bounds its length.
     """
     word = F.struct("y0", "x0", "word_no", "x1", "y1", "text")
     regions = words.groupBy(*REGION).agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    start = F.struct(F.array().cast("array<double>").alias("s"), F.array().cast("array<int>").alias("n"), F.array().cast("array<int>").alias("at"))
-
-    def step(a: Column, w: Column) -> Column:
-        y = (w["y0"] + w["y1"]) / 2.0
-        near = F.array_position(F.zip_with(a["s"], a["n"], lambda s, n: F.abs(y - s / n) <= tolerance), True).cast("int")
-        k = F.when(near > 0, near).otherwise(F.size(a["s"]) + 1)
-        s = F.when(near > 0, F.transform(a["s"], lambda v, i: F.when(i + 1 == k, v + y).otherwise(v))).otherwise(F.array_append(a["s"], y))
-        n = F.when(near > 0, F.transform(a["n"], lambda v, i: F.when(i + 1 == k, v + 1).otherwise(v))).otherwise(F.array_append(a["n"], F.lit(1)))
-        return F.struct(s.alias("s"), n.alias("n"), F.array_append(a["at"], k).alias("at"))
-
-    lined = regions.select(*REGION, "ws", F.aggregate("ws", start, step, lambda a: a["at"]).alias("at"))
+    lined = regions.withColumn("at", _line_numbers(tolerance)(F.transform("ws", lambda w: (w["y0"] + w["y1"]) / 2.0)))
     return lined.select(*REGION, F.explode(F.arrays_zip("ws", "at")).alias("e")).select(*REGION, F.col("e.at").alias("line_no"), "e.ws.*")
 
 
