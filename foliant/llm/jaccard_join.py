@@ -97,9 +97,9 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     sets = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     live = sets.join(_live(first, percent), "class", "left").where(F.coalesce("alone", F.lit(0)) <= most(F.col("n"), percent)).select("class", "rep")
     live = written(live, "live")
-    reps = bounded(live.select(F.col("rep").alias("doc_id")), 2_000_000)
+    reps = bounded(live.select(F.col("rep").alias("doc_id")))
     full = rows.join(reps, "doc_id", "left_semi").mapInArrow(_tokens(size, 1), SCHEMA)
-    full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class"), 2_000_000), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
+    full = full.join(bounded(live.select(F.col("rep").alias("doc_id"), "class")), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "n", "toks")
     full = written(full, "sets")
     core = written(prefixes(full, percent), "prefixes")
     pairs = written(_anchored(core, percent), "anchored")
@@ -207,8 +207,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
     linked = classes.join(labels.select(F.col("node").alias("class"), "component"), "class")
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(ids, "component").select("class", "component_id")
-    ids = classes.join(moved, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    out = members.where("n > 0").join(ids, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    # written, so that the join below reads plain shuffles: a class of many copies can then be split
+    ids = written(classes.join(moved, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    out = members.where("n > 0").join(bounded(ids), "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     nameless = docs.where(F.col(doc_id).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokens(size, 0), SCHEMA)
     nameless = nameless.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
