@@ -495,23 +495,65 @@ def align(a: np.ndarray, b: np.ndarray, sx: np.ndarray, sy: np.ndarray, least: i
 
 
 RESULT = "doc_id long, partner_id long, start int, end int, partner_start int, partner_end int, matched int, identity double"
+NEAR = 32  # words from the end of a slice within which a passage may go on beyond it
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], least: int, identity: float) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "partner_id", "start", "end", "partner_start", "partner_end", "matched", "identity"]
-    types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
+    """Rows (doc, partner, x0, y0, xlo, ylo, xhi, yhi, sx, sy, xs, ys); gives passages, with x0, y0 and whether one of
+    the chain's comes near an end of a slice where the text goes on (open)."""
+    names = ["doc_id", "partner_id", "start", "end", "partner_start", "partner_end", "matched", "identity", "x0", "y0", "open"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()] + [pa.int32()] * 2 + [pa.bool_()]
     for batch in batches:
-        doc, partner, xlo, ylo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        doc, partner, x0, y0, xlo, ylo, xhi, yhi = (batch.column(i).to_pylist() for i in range(8))
         rows = []
         for i in range(batch.num_rows):
-            sx, sy, a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6, 7))
-            xl, yl = int(xlo[i]), int(ylo[i])
-            for s, e, ps, pe, got in align(a, b, sx - xl, sy - yl, least, identity):
-                rows.append((int(doc[i]), int(partner[i]), s + xl, e + xl, ps + yl, pe + yl, got, got / max(e - s, pe - ps)))
+            sx, sy, a, b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (8, 9, 10, 11))
+            xl, yl = xlo[i], ylo[i]
+            found = align(a, b, sx - xl, sy - yl, least, identity)
+            before = any((xl > 0 and s < NEAR) or (yl > 0 and ps < NEAR) for s, _, ps, _, _ in found)
+            after = any((len(a) == xhi[i] - xl and e > len(a) - NEAR) or (len(b) == yhi[i] - yl and pe > len(b) - NEAR) for _, e, _, pe, _ in found)
+            for s, e, ps, pe, got in found:
+                rows.append((doc[i], partner[i], s + xl, e + xl, ps + yl, pe + yl, got, got / max(e - s, pe - ps), x0[i], y0[i], before or after))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
 
+def with_margin(chained: DataFrame, margin: int) -> DataFrame:
+    """Adds what of both texts is asked for, in steps of STEP words: (xlo, xhi), (ylo, yhi)."""
+    low = lambda c: (F.floor(F.greatest(F.col(c) - margin, F.lit(0)) / STEP) * STEP).cast("int")
+    high = lambda c: (F.ceil((F.col(c) + margin) / STEP) * STEP).cast("int")
+    return chained.withColumns({"xlo": low("x0"), "xhi": high("x1"), "ylo": low("y0"), "yhi": high("y1")})
+
+
+def sliced(rows: DataFrame, chained: DataFrame, n: int) -> DataFrame:
+    """(doc, lo, hi, ws): the words that the chains ask for, each stretch once."""
+    asked = chained.select("doc", F.col("xlo").alias("lo"), F.col("xhi").alias("hi")).unionByName(chained.select(F.col("partner").alias("doc"), F.col("ylo").alias("lo"), F.col("yhi").alias("hi"))).distinct()
+    asked = written(asked.select("doc", F.lit(1).alias("kind"), "lo", "hi", F.lit(None).cast("string").alias("text")), "asked")
+    texts = rows.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text")
+    dealt = texts.unionByName(asked).repartition(n, "doc").sortWithinPartitions("doc", "kind", "lo", "hi")
+    return written(dealt.mapInArrow(_slices, "doc long, lo int, hi int, ws array<int>"), "slices")
+
+
+def verified(rows: DataFrame, chained: DataFrame, slices: DataFrame, least: int, identity: float, n: int) -> DataFrame:
+    """The passages along chains, aligned on slices; a chain whose passage may go on beyond its slices is aligned again on wider ones."""
+    out, margin = None, MARGIN
+    while True:
+        left = slices.select("doc", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("ws").alias("xs"))
+        right = slices.select(F.col("doc").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("ws").alias("ys"))
+        both = chained.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
+        both = both.select("doc", "partner", "x0", "y0", "xlo", "ylo", "xhi", "yhi", "sx", "sy", "xs", "ys")
+        found = written(both.mapInArrow(lambda b: _aligned(b, least, identity), f"{RESULT}, x0 int, y0 int, open boolean"), "passages")
+        done = found.where("not open").drop("x0", "y0", "open")
+        out = done if out is None else out.unionByName(done)
+        wider = found.where("open").select(F.col("doc_id").alias("doc"), F.col("partner_id").alias("partner"), "x0", "y0").distinct()
+        if wider.isEmpty():
+            return out
+        margin *= 8
+        again = chained.drop("xlo", "xhi", "ylo", "yhi").join(bounded(wider), ["doc", "partner", "x0", "y0"], "left_semi")
+        chained = written(with_margin(again, margin), "chains")
+        slices = sliced(rows, chained, n)
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, partner_id, start, end, partner_start, partner_end, matched, identity): passages that occur in another document.
 
@@ -531,7 +573,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     met wherever they also occur singly. Of runs that stay frequent up to `least` words only
     the first document is met. Matches are chained per pair of documents, and the
     chains aligned on slices of both texts, asked for in steps of 64 words so that equal
-    requests are made once. Of the chains that cover the same stretch the one with the most
+    requests are made once, and on wider ones where a passage comes near a slice's end. Of the chains that cover the same stretch the one with the most
     seeds is aligned first; the others are, too, unless a verified passage covers nine tenths of
     theirs.
 
@@ -545,29 +587,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     by_doc = met(seeds, least, n).repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
     span = max(2 * K, least - 2 * (WINDOW - 1))  # what is left between the outer seeds of a passage of `least` words
     found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>, leads boolean")
-    low = lambda c: (F.floor(F.greatest(F.col(c) - MARGIN, F.lit(0)) / STEP) * STEP).cast("int")
-    high = lambda c: (F.ceil((F.col(c) + MARGIN) / STEP) * STEP).cast("int")
-    found = written(found.withColumns({"xlo": low("x0"), "xhi": high("x1"), "ylo": low("y0"), "yhi": high("y1")}), "chains")
-    asked = found.select("doc", F.col("xlo").alias("lo"), F.col("xhi").alias("hi")).unionByName(found.select(F.col("partner").alias("doc"), F.col("ylo").alias("lo"), F.col("yhi").alias("hi"))).distinct()
-    asked = written(asked.select("doc", F.lit(1).alias("kind"), "lo", "hi", F.lit(None).cast("string").alias("text")), "asked")
-    texts = rows.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text")
-    dealt = texts.unionByName(asked).repartition(n, "doc").sortWithinPartitions("doc", "kind", "lo", "hi")
-    slices = written(dealt.mapInArrow(_slices, "doc long, lo int, hi int, ws array<int>"), "slices")
-    left = slices.select("doc", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("ws").alias("xs"))
-    right = slices.select(F.col("doc").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("ws").alias("ys"))
-
-    def aligned(some: DataFrame) -> DataFrame:
-        both = some.join(left, ["doc", "xlo", "xhi"]).join(right, ["partner", "ylo", "yhi"])
-        return both.select("doc", "partner", "xlo", "ylo", "sx", "sy", "xs", "ys").mapInArrow(lambda b: _aligned(b, least, identity), RESULT)
-
+    found = written(with_margin(found, MARGIN), "chains")
+    slices = sliced(rows, found, n)
     # the chains that lead first; of the others those whose stretch has no passage yet
-    first = written(aligned(found.where("leads")), "passages")
+    first = verified(rows, found.where("leads"), slices, least, identity, n)
     others = found.where("not leads").drop("leads")
     names = [c for c in others.columns if c not in ("doc", "x0", "x1")]
     have = first.select(F.col("doc_id").alias("doc"), F.lit(0).alias("kind"), F.col("start").alias("x0"), F.col("end").alias("x1"), *[F.lit(None).cast(others.schema[c].dataType).alias(c) for c in names])
     dealt = have.unionByName(others.withColumn("kind", F.lit(1))).repartition(n, "doc").sortWithinPartitions("doc", "kind")
     rest = written(dealt.mapInArrow(_uncovered, dealt.schema).drop("kind"), "rest")
-    every = first.unionByName(aligned(rest))
+    every = first.unionByName(verified(rows, rest, slices, least, identity, n))
     ordered = every.repartition(n, "doc_id").sortWithinPartitions("doc_id", F.desc("matched"), "partner_id", "start", "end", "partner_start")
     return ordered.mapInArrow(_best, RESULT)
 
