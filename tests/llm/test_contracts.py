@@ -188,3 +188,69 @@ def test_op10(spark, sf_dir, pages):
         fits = [(len(h + w), h + w, v) for v, h, w in rules if (host == h or host.endswith("." + h)) and path.startswith(w)]
         best = max(fits, default=(0, None, "allow"))
         assert out[p["page_id"]] == {"page_id": p["page_id"], "host": host, "path": path, "rule": best[1], "verdict": best[2]}
+
+
+# ------------------------------------------------------------------ stages of the pipeline, each on its own input
+
+
+@pytest.fixture(scope="module")
+def stage(spark, sf_dir):
+    import corpus_pipeline as P
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lambda name: [r.asDict() for r in dict(P.STAGES)[name](spark, table, sf_dir).collect()]
+
+
+def ids(found):
+    return sorted(r["doc_id"] for r in found)
+
+
+def test_stage_language(spark, sf_dir, docs, stage):
+    from foliant.llm import langid
+
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert ids(stage("language id")) == sorted(d for d, r in docs.items() if model.predict(r["text"])[2])
+
+
+def test_stage_near_duplicates(docs, stage):
+    _, least = brute(docs, size=5, percent=80)
+    assert ids(stage("n-gram jaccard join")) == sorted(d for d in docs if least[d] == d)
+
+
+def test_stage_benchmark(sf_dir, docs, stage):
+    import duckdb
+
+    from foliant.llm.oracle import ORACLE
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    held = {r[0] for r in con.execute(f"SELECT DISTINCT doc_id FROM ({ORACLE['op9_decontamination']})").fetchall()}
+    assert held and ids(stage("benchmark decontamination")) == sorted(set(docs) - held)
+
+
+def test_stage_mixing(sf_dir, docs, stage):
+    import duckdb
+
+    from foliant.llm.oracle import ORACLE
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    taken = dict(con.execute(f"SELECT doc_id, taken // size FROM ({ORACLE['op2_mixing']}) WHERE size > 0").fetchall())
+    times = defaultdict(int)
+    for r in stage("mixing"):
+        times[r["doc_id"]] += 1
+        assert r == docs[r["doc_id"]]
+    assert all(times[d] == n for d, n in taken.items())
+
+
+def test_stage_sharding(docs, stage):
+    out = stage("sharding")
+    assert ids(out) == sorted(docs) and all({k: v for k, v in r.items() if k not in ("shard", "slot")} == docs[r["doc_id"]] for r in out)
+    slots, held = defaultdict(list), defaultdict(int)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        held[r["shard"]] += len(r["text"].encode()) + 8
+    assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, most = sum(held.values()) / 24, max(len(r["text"].encode()) for r in out)
+    assert all(abs(x - mean) <= most + 0.05 * mean for x in held.values())
