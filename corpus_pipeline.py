@@ -35,7 +35,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; five-word shingles, similarity 0.8."""
+    """One document of each group stays, that with the least doc_id; five-word shingles, similarity 0.8.
+
+    Null and empty texts and those without words are in no group and stay; so do rows with a null
+    doc_id. Of rows with one doc_id one stays. Texts of any length are taken whole.
+    """
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
     return without(docs, found.where("component_id <> doc_id").select("doc_id").distinct()).transform(one_each)
 
@@ -50,18 +54,30 @@ def one_each(docs: DataFrame) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none, and a null doc_id cannot be named: they stay. Rows with one
+    doc_id go together. Texts of any length are taken whole.
+    """
     found = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return without(docs, found.select("doc_id").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks: the rows repeat."""
+    """Each document as often as its source's weight asks: the rows repeat.
+
+    A null source is one of its own. Null and empty texts have no words: they stay as often as the
+    others of their source, or go where their source has none. Equal rows are decided alike.
+    """
     return aside(docs, ("size", "source_size", "target", "copies"), lambda d: mixing.emit(mixing.mix_sources(d)))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with shard and slot, 24 shards of near equal bytes; own columns of these names are replaced."""
+    """The rows with shard and slot, 24 shards of near equal bytes; own columns of these names are replaced.
+
+    Null and empty texts count 8 bytes. Equal texts share a shard unless they hold more than a
+    fiftieth of one, then they are dealt by doc_id, null first.
+    """
     docs = docs.drop("shard", "slot")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     keyed = docs.withColumn("__key", sharding.shard_key(F.col("text"))).withColumn("__size", size)
@@ -70,7 +86,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language id", language), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("mixing", mix), ("sharding", shard)]
 
-#: Language ID is a trained model, which SQL cannot express; tests hold each stage against a brute-force version.
+#: Language ID is a trained model, which SQL cannot express; tests hold each stage against a plain restatement.
 ORACLE_SQL = None
 
 
