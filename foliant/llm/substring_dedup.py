@@ -548,7 +548,7 @@ def verified(rows: DataFrame, chained: DataFrame, slices: DataFrame, least: int,
         wider = found.where("open").select(F.col("doc_id").alias("doc"), F.col("partner_id").alias("partner"), "x0", "y0").distinct()
         if wider.isEmpty():
             return out
-        margin *= 8
+        margin *= 64  # few rounds: a text is soon asked for whole
         again = chained.drop("xlo", "xhi", "ylo", "yhi").join(bounded(wider), ["doc", "partner", "x0", "y0"], "left_semi")
         chained = written(with_margin(again, margin), "chains")
         slices = sliced(rows, chained, n)
