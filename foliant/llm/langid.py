@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 PIECE = 1 << 18
+ROWS = 1 << 15  # rows of the table that are gathered at a time
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ class Model:
         total, n = np.zeros(len(self.langs)), 0
         for at in range(0, len(c), PIECE):
             ids = subwords(c[at : at + PIECE], len(self.table))
-            total += self.table[ids].sum(axis=0, dtype=np.float64)
+            for k in range(0, len(ids), ROWS):
+                total += self.table[ids[k : k + ROWS]].sum(axis=0, dtype=np.float64)
             n += len(ids)
         return total / n + self.bias if n else None
 
@@ -193,12 +195,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
-            found = [own.predict(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "accepted": [x[2] for x in found]})
+            found = [own.predict(t.as_py()) for t in texts]  # one text at a time is a Python string
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "accepted"])
 
-    judge = F.pandas_udf(run, "lang_pred string, score double, accepted boolean")
+    judge = F.arrow_udf(run, "lang_pred string, score double, accepted boolean")
     base = docs.drop("lang_pred", "score", "accepted")
     return base.withColumn("__p", judge(F.col(text))).select(*base.columns, "__p.lang_pred", "__p.score", "__p.accepted")
