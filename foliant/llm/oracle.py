@@ -81,4 +81,55 @@ SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS r
 FROM q LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path
 """
 
-ORACLE = {"op2_mixing": OP2, "op4_sharding": OP4, "op6_jaccard_join": OP6, "op7_warc": OP7, "op9_decontamination": OP9, "op10_url_filter": OP10}
+
+
+def _op11(rounds: int = 4) -> str:
+    """Every part against every entry, round by round."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM v, range(4) r(part)),
+b0 AS MATERIALIZED (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::BIGINT AS e, x AS c FROM p QUALIFY e < 256)"""
+    ]
+    near = "n{i} AS MATERIALIZED (SELECT vec_id, label, part, x, min((list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))::BIGINT * 256 + e) AS m FROM p JOIN b{i} USING (part) GROUP BY ALL)"
+    for i in range(rounds):
+        steps.append(near.format(i=i))
+        steps.append(f"""u{i} AS (SELECT part, e, list(floor(s / n) ORDER BY j) AS c FROM (SELECT part, m % 256 AS e, j, sum(x[j]) AS s, count(*) AS n FROM n{i}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM p))) AS j) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(u.c, b.c) AS c FROM b{i} b LEFT JOIN u{i} u USING (part, e))""")
+    steps.append(near.format(i=rounds))
+    return (
+        "WITH " + ",\n".join(steps) + f""",
+f AS (SELECT vec_id, label, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, sum(m // 256)::BIGINT AS error FROM n{rounds} GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h
+"""
+    )
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; `tab` is the table of OP4."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(hex(encode({text}))) // 2), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+
+
+OP12 = f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+i AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL), t),
+x AS (SELECT doc_id, source, h % 17 AS m, (h // 100) % 30000 AS key, CASE WHEN h % 17 > 6 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) THEN ((h // 100) % 30000) || ':' || text END AS said FROM documents JOIN i USING (doc_id)),
+b AS (SELECT doc_id, hex(encode(said)) AS g FROM x WHERE said IS NOT NULL),
+y AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(g) // 2), lambda k: ('0x' || substr(g, 2 * k + 1, 2))::BIGINT)), lambda c, v: xor(tab[(xor(c, v) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM b, t),
+w AS (SELECT x.doc_id, m, key, coalesce(crc, -1) AS now, min(CASE WHEN m <= 2 THEN x.doc_id END) OVER later AS ends, min(CASE WHEN m IN (3, 4) THEN x.doc_id END) OVER later AS saves, min(CASE WHEN m IN (5, 6) THEN x.doc_id END) OVER later AS rolls
+      FROM x LEFT JOIN y USING (doc_id) WINDOW later AS (PARTITION BY source ORDER BY x.doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT w.doc_id, key, now, ends, rolls, CASE WHEN rolls < coalesce(saves, rolls + 1) AND rolls < coalesce(ends, rolls + 1) THEN 'rollback' WHEN f.m <= 1 THEN 'commit' ELSE 'abort' END AS how FROM w LEFT JOIN (SELECT doc_id, m FROM x) f ON f.doc_id = ends WHERE w.m > 6),
+k AS (SELECT doc_id AS ends, (row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1 AS epoch FROM x WHERE m <= 1),
+a AS (SELECT key, epoch, now FROM c JOIN k USING (ends) WHERE how = 'commit' QUALIFY row_number() OVER (PARTITION BY key, epoch ORDER BY ends DESC, c.doc_id DESC) = 1),
+l AS (SELECT epoch, now, coalesce(lag(now) OVER (PARTITION BY key ORDER BY epoch), -1) AS was FROM a),
+e AS (SELECT epoch, sum((now >= 0)::INT - (was >= 0)::INT) AS n, sum(greatest(now, 0) - greatest(was, 0)) AS value FROM (SELECT * FROM l UNION ALL SELECT DISTINCT epoch, -1, -1 FROM k) GROUP BY epoch)
+SELECT 'state' AS kind, epoch::BIGINT AS id, (sum(n) OVER (ORDER BY epoch))::BIGINT AS n, (sum(value) OVER (ORDER BY epoch))::BIGINT AS value FROM e
+UNION ALL SELECT how, doc_id::BIGINT, (CASE WHEN how = 'rollback' THEN rolls ELSE ends END)::BIGINT, key::BIGINT FROM c WHERE how <> 'commit'
+"""
+
+OP13 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLE = {"op2_mixing": OP2, "op4_sharding": OP4, "op6_jaccard_join": OP6, "op7_warc": OP7, "op9_decontamination": OP9, "op10_url_filter": OP10, "op11_vector_codes": _op11(), "op12_log_reassembly": OP12, "op13_exact_dedup": OP13}

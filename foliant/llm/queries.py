@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import decontaminate, fingerprints, jaccard_join, langid, line_dedup, mixing, sharding, substring_dedup, url_filter, warc
+from foliant.llm import decontaminate, exact_dedup, fingerprints, jaccard_join, langid, line_dedup, log_reassembly, mixing, sharding, substring_dedup, url_filter, vector_codes, warc
 from foliant.llm.common import at_end, new_path, written
 from foliant.llm.oracle import ORACLE  # noqa: F401
 from foliant.session import table
@@ -64,8 +64,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return log_reassembly.reassemble(log_reassembly.log_records(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_mixing, op3_line_dedup, op4_sharding, op5_language_id, op6_jaccard_join, op7_warc, op8_substring_dedup, op9_decontamination, op10_url_filter)
+    for f in (op1_fingerprints, op2_mixing, op3_line_dedup, op4_sharding, op5_language_id, op6_jaccard_join, op7_warc, op8_substring_dedup, op9_decontamination, op10_url_filter, op11_vector_codes, op12_log_reassembly, op13_exact_dedup)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
\ No newline at end of file
+QUERIES["pipeline"] = corpus_pipeline.run
