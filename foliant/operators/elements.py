@@ -1,4 +1,4 @@
-"""Blocks to typed elements in one reading order."""
+"""Blocks to typed elements in one reading order."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from foliant.functions import geometry as G
 from foliant.functions import text as T
+from foliant.operators.scans import two_level
 
 #: The order in which elements with one index follow each other.
 TYPES = ("heading", "paragraph", "list_item", "caption", "code_block", "image", "table", "drawing", "link", "annotation", "header_footer", "page_number")
 #: Scan order of a page.
 SOURCES = ("block", "drawing", "table", "link", "annotation")
 STRIDE = 100_000
+#: Pages of a document that one task puts in order.
+PAGES = 128
 #: What an element has beyond keys, order, type and geometry.
 FIELDS = {
     "text": "string", "font_size": "double", "region": "string", "image_index": "int", "image_xref": "int", "image_ext": "string", "image_bytes": "binary",
@@ -85,6 +88,7 @@ def elements(blocks: DataFrame, drawings: DataFrame | None = None, tables: DataF
     may give up to three elements with one index: its class, a page number, and a header or
     footer. The other scans follow the blocks in the order drawings, tables, links,
     annotations; each needs doc_id, page_number, position and bbox, and brings its fields.
+    Images are counted by in_order, over all pages.
     """
     typed = block_type(block_facts(blocks)).withColumn("position", F.col("block_no"))
     scans = {"drawing": drawings, "table": tables, "link": links, "annotation": annotations}
@@ -101,14 +105,11 @@ def elements(blocks: DataFrame, drawings: DataFrame | None = None, tables: DataF
         every = every.unionByName(p, allowMissingColumns=True)
     every = every.withColumn("reading_order_index", local_index(every))
     image = F.col("elem_type") == "image"
-    # dealt by document, as the reading order needs it next
-    images = Window.partitionBy("doc_id").orderBy("page_number", "reading_order_index").rowsBetween(Window.unboundedPreceding, 0)
     if {"xref", "ext"} <= set(every.columns):
         digits = F.regexp_extract(F.coalesce("xref", F.lit("")), r"^(\d+)$", 1)
         ext = F.lower(T.strip(F.coalesce("ext", F.lit(""))))
         every = every.select(
             "*",
-            F.when(image, F.count(F.when(image, 1)).over(images)).cast("int").alias("image_index"),
             F.when(image & (digits != ""), digits.try_cast("int")).alias("image_xref"),
             F.when(image & (ext != ""), ext).alias("image_ext"),
             F.when(image, F.col("image")).alias("image_bytes"),
@@ -126,13 +127,20 @@ def elements(blocks: DataFrame, drawings: DataFrame | None = None, tables: DataF
     return shaped(out)
 
 
-def in_order(elems: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """Index over all pages, `type_ordinal`, `pos` (from 1 within the document); headings on one line."""
-    index = F.col("reading_order_index").cast("long") + (F.greatest(F.lit(1), F.col("page_number")) - 1) * F.lit(max(1, stride)).cast("long")
+def in_order(elems: DataFrame, stride: int = STRIDE, pages: int = PAGES) -> DataFrame:
+    """Elements in the order of their index over all pages; headings on one line.
+
+    Adds `type_ordinal`, `pos` (from 1 within the document), `image_index` (W2), and `headings`, how many
+    headings stand up to here, with `headings_total`, how many the document has. A task orders
+    `pages` pages of a document; what stands before them is the sum of the ranges before.
+    """
+    stride = max(1, stride)
+    index = F.col("reading_order_index").cast("long") + (F.greatest(F.lit(1), F.col("page_number")) - 1) * F.lit(stride).cast("long")
     out = elems.withColumn("reading_order_index", index).withColumn("type_ordinal", type_ordinal(F.col("elem_type")))
     out = out.withColumn("text", F.when(F.col("elem_type") == "heading", T.single_line(F.col("text"))).otherwise(F.col("text")))
-    order = Window.partitionBy("doc_id").orderBy("reading_order_index", "page_number", "type_ordinal")
-    return out.withColumn("pos", F.row_number().over(order).cast("long"))
+    one = lambda kind: (F.col("elem_type") == kind).cast("long")
+    counted = two_level(out, ["doc_id"], F.floor(F.col("reading_order_index") / (stride * pages)), ["reading_order_index", "page_number", "type_ordinal"], {"pos": F.lit(1).cast("long"), "images": one("image"), "headings": one("heading")})
+    return counted.withColumn("image_index", F.when(F.col("elem_type") == "image", F.col("images")).cast("int")).drop("images", "images_total", "pos_total")
 
 
 def pages(elems: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.scans import two_level
+from foliant.storage import written
 
 POINT = "array<double>"
 STATEMENT = f"struct<scope:string,element_no:int,name:string,type:string,stmt_no:int,kind:string,word:string,num:double,path:array<{POINT}>,is_to:boolean,repeat:int,reverse:boolean,targets:array<string>>"
@@ -339,7 +341,20 @@ def targets_of() -> Column:
     return F.when(F.col("action").isin("spawn", "close") & (F.size(several) > 0), several).otherwise(one)
 
 
-def timeline(elements: DataFrame, steps: DataFrame) -> DataFrame:
+#: Steps of a scene that one task plays.
+STEPS = 1 << 14
+
+
+def element_facts(elements: DataFrame) -> DataFrame:
+    """What a step needs to know of a resolved element: (scene_id, t, spawn_s, remove_s, can_idle, move_s, can_move)."""
+    return elements.select("scene_id", F.col("name").alias("t"), F.col("spawn.duration").alias("spawn_s"), F.col("remove.duration").alias("remove_s"), F.col("idle").isNotNull().alias("can_idle"), move_duration(F.col("movement")).alias("move_s"), (F.col("movement").isNotNull() & (F.size("movement.path") >= 2)).alias("can_move"))
+
+
+def wait_seconds(duration: Column) -> Column:
+    return F.greatest(F.lit(0.0), T.number(duration, 0.0))
+
+
+def timeline(elements: DataFrame, steps: DataFrame, span: int = STEPS) -> DataFrame:
     """(scene_id, step_no, action, run_s, wall_s, start_s, played, active_idle).
 
     elements are resolved. run_s is the time of video a step makes, wall_s the time it takes
@@ -350,33 +365,35 @@ def timeline(elements: DataFrame, steps: DataFrame) -> DataFrame:
     close before the step is a spawn, and its idle animation runs if its last idle or close is
     an idle. A close is seen by its own step for idle animations, and by later steps for
     presence. Unknown targets, actions and elements without what a step needs do nothing.
+
+    A scene is cut in ranges of `span` steps. What a range does to the state is a summary (an element's
+    last spawn or close and its last idle or close, the sum of idle animations begun and ended, the
+    seconds run); summaries compose in order, so a task plays a range and not a scene, whatever its length.
     """
-    info = elements.select("scene_id", F.col("name").alias("t"), F.col("spawn.duration").alias("spawn_s"), F.col("remove.duration").alias("remove_s"), F.col("idle").isNotNull().alias("can_idle"), move_duration(F.col("movement")).alias("move_s"), (F.col("movement").isNotNull() & (F.size("movement.path") >= 2)).alias("can_move"))
-    steps = steps.withColumn("action", F.lower("action"))
-    acts = steps.select("scene_id", "step_no", "action", F.explode(F.array_distinct(targets_of())).alias("t")).join(info, ["scene_id", "t"])
-    own = Window.partitionBy("scene_id", "t").orderBy("step_no")
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    there = F.coalesce(F.last(F.when(F.col("action").isin("spawn", "close"), F.col("action") == "spawn"), ignorenulls=True).over(before), F.lit(False))
-    idle = F.coalesce(F.last(F.when((F.col("action") == "idle") & F.col("can_idle"), True).when(F.col("action") == "close", False), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    acts = acts.withColumn("there", there).withColumn("idle", idle)
-    acts = acts.withColumn("runs", F.when(F.col("action") == "spawn", True).when(F.col("action") == "close", F.col("there")).when(F.col("action") == "move", F.col("there") & F.col("can_move")).when(F.col("action") == "idle", F.col("can_idle")).otherwise(False))
-    seconds = F.when(F.col("action") == "spawn", F.col("spawn_s")).when(F.col("action") == "close", F.col("remove_s")).when(F.col("action") == "move", F.greatest(F.lit(0.0), F.col("move_s")))
-    per_step = acts.groupBy("scene_id", "step_no").agg(F.max(F.when(F.col("runs"), seconds)).alias("act_s"), F.count(F.when(F.col("runs"), 1)).alias("played"))
+    rounds = F.floor(F.col("step_no") / span)
+    # numbered and played steps are read several times below
+    steps = written(steps.withColumn("action", F.lower("action")), "scene-steps")
+    acts = steps.select("scene_id", "step_no", "action", F.explode(F.array_distinct(targets_of())).alias("t")).join(element_facts(elements), ["scene_id", "t"])
+    action = F.col("action")
+    present = F.when(action.isin("spawn", "close"), action == "spawn")
+    idling = F.when((action == "idle") & F.col("can_idle"), True).when(action == "close", False)
+    acts = two_level(acts, ["scene_id", "t"], rounds, ["step_no"], lasts={"there": present, "idle": idling})
+    there, idle = F.coalesce("there", F.lit(False)), F.coalesce("idle", F.lit(False))
+    runs = F.when(action == "spawn", True).when(action == "close", there).when(action == "move", there & F.col("can_move")).when(action == "idle", F.col("can_idle")).otherwise(False)
+    seconds = F.when(action == "spawn", F.col("spawn_s")).when(action == "close", F.col("remove_s")).when(action == "move", F.greatest(F.lit(0.0), F.col("move_s")))
     # an idle animation is shown while its element is there: +1 and -1 where that begins and ends, summed over the steps
-    after = F.coalesce(F.last(F.when(F.col("action").isin("spawn", "close"), F.col("action") == "spawn"), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    shown = acts.withColumn("on", (F.col("idle") & after).cast("int"))
-    shown = shown.withColumn("change", F.col("on") - F.coalesce(F.lag("on").over(own), F.lit(0)))
-    changes = shown.groupBy("scene_id", "step_no").agg(F.sum("change").alias("change"))
-    clock = Window.partitionBy("scene_id").orderBy("step_no")
+    shown = F.coalesce(idling, idle) & F.coalesce(present, there)
+    acts = acts.select("scene_id", "step_no", F.when(runs, seconds).alias("act_s"), runs.cast("int").alias("ran"), (shown.cast("int") - (idle & there).cast("int")).alias("change"))
+    per_step = acts.groupBy("scene_id", "step_no").agg(F.max("act_s").alias("act_s"), F.sum("ran").alias("played"), F.sum("change").alias("change"))
     given = F.coalesce("duration", "seconds") if "seconds" in steps.columns else F.col("duration")
-    rows = steps.select("scene_id", "step_no", "action", given.alias("duration")).join(per_step, ["scene_id", "step_no"], "left").join(changes, ["scene_id", "step_no"], "left")
-    rows = rows.withColumn("active_idle", F.sum(F.coalesce("change", F.lit(0))).over(clock.rowsBetween(Window.unboundedPreceding, 0)))
-    wait = F.greatest(F.lit(0.0), T.number(F.col("duration"), 0.0))
-    waits = F.col("action") == "wait"
+    rows = steps.select("scene_id", "step_no", "action", given.alias("duration")).join(per_step, ["scene_id", "step_no"], "left")
+    rows = written(rows, "scene-acts")
+    rows = two_level(rows, ["scene_id"], rounds, ["step_no"], {"active_idle": F.coalesce("change", F.lit(0))})
+    wait, waits = wait_seconds(F.col("duration")), action == "wait"
     run = F.when(waits, F.when(F.col("active_idle") > 0, wait).otherwise(F.lit(0.0))).otherwise(F.coalesce("act_s", F.lit(0.0)))
     rows = rows.withColumn("run_s", run).withColumn("wall_s", F.when(waits, wait + F.col("run_s")).otherwise(F.col("run_s")))
-    start = F.coalesce(F.sum("run_s").over(clock.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.select("scene_id", "step_no", "action", "run_s", "wall_s", start.alias("start_s"), F.coalesce("played", F.lit(0)).cast("long").alias("played"), F.col("active_idle").cast("long").alias("active_idle"))
+    rows = two_level(rows, ["scene_id"], rounds, ["step_no"], {"ends_s": F.col("run_s")})
+    return rows.select("scene_id", "step_no", "action", "run_s", "wall_s", (F.col("ends_s") - F.col("run_s")).alias("start_s"), F.coalesce("played", F.lit(0)).cast("long").alias("played"), F.col("active_idle").cast("long").alias("active_idle"))
 
 
 def wait_ticks(seconds: float, tick: float = 0.2) -> int:

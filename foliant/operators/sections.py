@@ -9,30 +9,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.scans import two_level
 
 SECTION = ["doc_id", "section_number"]
 
 
+#: Elements that one task counts where a frame does not come from the reading order.
+ELEMENTS = 1 << 14
+
+
 def detect_sections(ordered: DataFrame) -> DataFrame:
-    """Adds section_number, from 1; what stands before a document's first heading goes."""
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.sum((F.col("elem_type") == "heading").cast("int")).over(upto)
-    return ordered.withColumn("section_number", heading.cast("int")).where("section_number > 0")
+    """Adds section_number, from 1, and sections_total; what stands before a document's first heading goes.
+
+    The reading order has counted the headings already; rows without these counts are counted here by pos.
+    """
+    if "headings" not in ordered.columns:
+        ordered = two_level(ordered, ["doc_id"], F.floor(F.col("pos") / ELEMENTS), ["pos"], {"headings": (F.col("elem_type") == "heading").cast("long")})
+    numbered = ordered.withColumns({"section_number": F.col("headings").cast("int"), "sections_total": F.col("headings_total").cast("int")})
+    return numbered.where("section_number > 0").drop("headings", "headings_total")
+
+
+def united(ranges: Sequence[Sequence[int]]) -> list[tuple[int, int]]:
+    """Inclusive ranges as the fewest that do not meet, in order; what is no pair of whole numbers is ignored."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted((min(r), max(r)) for r in ranges if len(r) == 2 and all(isinstance(x, int) for x in r)):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
 
 def select_sections(sections: DataFrame, ranges: Sequence[Sequence[int]] = ((15, 238),)) -> DataFrame:
     """The sections in the union of inclusive ranges; a document in which none is, keeps all.
 
     Ends may be given in either order and reach beyond the last section; what is no pair of
-    whole numbers is ignored.
+    whole numbers is ignored. Adds kept_number, the place of a section among those that are
+    kept: sections are numbered without gaps, so it and whether any is hit follow from the ranges.
     """
-    pairs = [(min(r), max(r)) for r in ranges if len(r) == 2 and all(isinstance(x, int) for x in r)]
-    n = F.col("section_number")
-    hit = F.lit(False)
-    for low, high in pairs:
-        hit = hit | n.between(low, high)
-    any_hit = F.max(hit.cast("int")).over(Window.partitionBy("doc_id"))
-    return sections.withColumn("__any", any_hit).where(hit | (F.col("__any") == 0)).drop("__any")
+    n, total = F.col("section_number"), F.col("sections_total")
+    hit, any_hit, upto = F.lit(False), F.lit(False), F.lit(0)
+    for low, high in united(ranges):
+        hit, any_hit = hit | n.between(low, high), any_hit | ((total >= low) & F.lit(high >= 1))
+        upto = upto + F.greatest(F.lit(0), F.least(n, F.lit(high)) - F.lit(max(1, low)) + 1)
+    return sections.withColumn("kept_number", F.when(any_hit, upto).otherwise(n).cast("int")).where(hit | ~any_hit)
 
 
 def preclean(sections: DataFrame) -> DataFrame:

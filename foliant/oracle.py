@@ -456,3 +456,5 @@ ORACLE |= {
 SELECT event_id, ext, CASE ext WHEN 'json' THEN '{{' || {NL} || '  "k": ' || json_extract_string(props, '$.k') || {NL} || '}}' WHEN 'sql' THEN 'begin' || {NL} || '    select ' || event_id || ';' || {NL} || 'commit' ELSE 'f(' || event_id || ') {{' || {NL} || '    y;' || {NL} || '}}' END AS content
 FROM (SELECT *, ['json', 'sql', 'txt'][(event_id % 3 + 1)::INT] AS ext FROM events WHERE event_id IS NOT NULL)""",
 }
+
+ORACLE["scene_stream"] = ORACLE["scene_timeline"]

@@ -18,6 +18,8 @@ from foliant.plans import documents as D
 from foliant.session import importable, table
 from foliant.sources import blocks as B
 from foliant.sources import scenes as X
+from foliant.storage import at_end, new_path, written
+from foliant.streaming import scenes as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RANGES = ((2, 3), (6, 5))
@@ -307,6 +309,23 @@ def scene_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("scene_id", "step_no", "action", r6("run_s").alias("run_s"), r6("wall_s").alias("wall_s"), F.round("start_s", 4).alias("start_s"), "played", "active_idle")
 
 
+@query
+def scene_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_timeline over the events as a stream: stopped after what is there, gone on with when the end is known."""
+    # as a pattern the path may be one file or a folder of files
+    events, folder = f"{sf_dir}/{{events}}.parquet", new_path(spark, "stream")
+    elements = written(_event_elements(X.scene_from_events(table(spark, sf_dir, "events"))[0]), "stream-elements")
+    marks, out = f"{folder}/marks", f"{folder}/out"
+    table(spark, sf_dir, "events").limit(0).write.parquet(marks)
+    for last in (False, True):
+        if last:
+            P.ended(spark, events, marks)
+        P.play_events(spark, events, marks, elements, out, f"{folder}/checkpoint").awaitTermination()
+    at_end(spark, folder)
+    t = spark.read.schema(P.PLAYED).parquet(out)
+    return t.select("scene_id", "step_no", "action", r6("run_s").alias("run_s"), r6("wall_s").alias("wall_s"), F.round("start_s", 4).alias("start_s"), "played", "active_idle")
+
+
 @query
 def movement_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements, _ = X.scene_from_events(table(spark, sf_dir, "events"))

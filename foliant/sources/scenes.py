@@ -6,9 +6,11 @@ import configparser
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.scans import two_level
+
 MOVEMENT = "struct<type:string,path:array<array<double>>,duration:double,repeat:int,reverse:boolean>"
 ANIMATION = "struct<type:string,duration:double>"
 ELEMENT = (
@@ -80,13 +82,32 @@ def positive_setting(ini: configparser.ConfigParser, section: str, key: str, fal
         return fallback
 
 
-def scene_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, steps) of one scene a day: users are elements, and event types actions in order of time.
+#: Seconds of a day whose steps one task numbers.
+RANGE_S = 3600
+# What the types of events do in a scene.
+ACTIONS = {"signup": "spawn", "click": "move", "view": "idle", "purchase": "wait", "error": "close"}
+
+
+def event_steps(events: DataFrame, marks: bool = False) -> DataFrame:
+    """(scene_id, ts, event_id, action, target, duration) of events with a user and a time; one scene a day.
 
     signup spawns, click moves, view idles, purchase waits value / 100 seconds, error closes.
+    With marks, events without a user stay, with a null scene_id.
     """
-    days = events.where("user_id is not null and ts is not null").select(F.date_format("ts", "yyyy-MM-dd").alias("scene_id"), "event_id", "ts", "user_id", "event_type", "value")
-    users = days.select("scene_id", "user_id").distinct()
+    days = events.where("ts is not null" if marks else "user_id is not null and ts is not null")
+    user = F.col("user_id")
+    day = F.when(user.isNotNull(), F.date_format("ts", "yyyy-MM-dd"))
+    action = F.element_at(F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair]), F.col("event_type"))
+    rows = days.select(day.alias("scene_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", action.alias("action"), F.concat(F.lit("u"), user.cast("string")).alias("name"), "value")
+    return rows.select("scene_id", "ts", "event_id", "action", F.when(F.col("action") != "wait", F.col("name")).alias("target"), F.when(F.col("action") == "wait", F.col("value") / 100).alias("duration"))
+
+
+def scene_from_events(events: DataFrame, range_s: int = RANGE_S) -> tuple[DataFrame, DataFrame]:
+    """(elements, steps) of one scene a day: users are elements, and event types actions in order of time.
+
+    Steps are numbered by (ts, event_id), a task numbering range_s seconds of a day.
+    """
+    users = events.where("user_id is not null and ts is not null").select(F.date_format("ts", "yyyy-MM-dd").alias("scene_id"), "user_id").distinct()
     u = F.col("user_id")
     move = F.when(
         u % 3 != 0,
@@ -108,15 +129,6 @@ def scene_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         animation("unidirectional_dotted_remove", F.lit(0.25) * (u % 2 + 1)).alias("remove_animation"),
         move.alias("movement"),
     )
-    action = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "spawn", "click", "move", "view", "idle", "purchase", "wait", "error", "close")]), F.col("event_type"))
-    steps = days.withColumn("step_no", F.row_number().over(Window.partitionBy("scene_id").orderBy("ts", "event_id")))
-    name = F.concat(F.lit("u"), u.cast("string"))
-    steps = steps.withColumn("action", action).select(
-        "scene_id",
-        "step_no",
-        "action",
-        F.when(F.col("action") != "wait", name).alias("target"),
-        F.when(F.col("action").isin("spawn", "close"), F.array(name)).alias("targets"),
-        F.when(F.col("action") == "wait", F.col("value") / 100).alias("duration"),
-    )
-    return elements, steps
+    steps = two_level(event_steps(events), ["scene_id"], F.floor(F.unix_micros("ts") / (range_s * 1_000_000)), ["ts", "event_id"], {"step_no": F.lit(1).cast("long")})
+    name = F.col("target")
+    return elements, steps.select("scene_id", "step_no", "action", name, F.when(F.col("action").isin("spawn", "close"), F.array(name)).alias("targets"), "duration")

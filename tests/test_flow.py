@@ -38,7 +38,7 @@ def test_elements(spark, made):
     links = spark.createDataFrame([(1, 1, 0, (1.0, 1.0, 2.0, 2.0), "http://x", None)], "doc_id long, page_number int, position int, bbox struct<x0:double,y0:double,x1:double,y1:double>, uri string, destination_page int")
     found = [(r["reading_order_index"], r["elem_type"]) for r in E.in_order(E.elements(made, links=links)).orderBy("pos").collect()]
     assert found == [(0, "heading"), (1, "paragraph"), (1, "header_footer"), (1, "page_number"), (3, "image"), (5, "code_block"), (6, "paragraph"), (7, "link")]
-    image = E.elements(made).where("elem_type = 'image'").first()
+    image = E.in_order(E.elements(made)).where("elem_type = 'image'").first()
     assert (image["image_index"], image["image_xref"], image["image_ext"]) == (1, 5, "jpg")
 
 

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from foliant.operators import scans
 
 
@@ -39,3 +41,39 @@ def test_ties_empty_and_one_row(spark):
 
 def test_levels():
     assert [scans.levels(n, 10) for n in (0, 1, 1024, 1025, 1 << 20, 1 << 40)] == [0, 0, 0, 1, 1, 3]
+
+
+@pytest.mark.parametrize("span", [1, 16, 10_000])
+def test_two_levels(spark, span):
+    data = [("a" if i % 3 else "b", i, i % 5, i if i % 4 == 0 else None) for i in range(90)]
+    df = spark.createDataFrame(data, "k string, at long, x long, y long")
+    got = scans.two_level(df, ["k"], F.floor(df.at / span), ["at"], {"s": df.x}, {"l": df.y})
+    want = []
+    for k, at, x, y in data:
+        own = [r for r in data if r[0] == k]
+        want.append((k, at, sum(r[2] for r in own if r[1] <= at), sum(r[2] for r in own), next((r[3] for r in reversed(own) if r[3] is not None and r[1] < at), None)))
+    assert sorted(map(tuple, got.select("k", "at", "s", "s_total", "l").collect())) == sorted(want)
+
+
+def test_one_document_is_dealt_by_page_ranges(spark, request):
+    from foliant.operators import elements as E
+    from foliant.operators import sections as S
+
+    def elems(pages):
+        n = spark.range(pages * 4)
+        box = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double,width:double,height:double>")
+        kind = F.when(F.col("id") % 7 == 0, "heading").when(F.col("id") % 7 == 1, "image").otherwise("paragraph")
+        return E.shaped(n.select(F.lit(1).cast("long").alias("doc_id"), (F.floor(F.col("id") / 4) + 1).cast("int").alias("page_number"), (F.col("id") % 4).cast("int").alias("reading_order_index"), kind.alias("elem_type"), box.alias("bbox"), box.alias("norm_bbox"), F.lit("t").alias("text")))
+
+    for key, value in {"spark.sql.shuffle.partitions": 64, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": -1}.items():
+        spark.conf.set(key, value)
+    request.addfinalizer(lambda: [spark.conf.set(k, v) for k, v in (("spark.sql.shuffle.partitions", 4), ("spark.sql.adaptive.coalescePartitions.enabled", "true"), ("spark.sql.autoBroadcastJoinThreshold", 10 << 20))])
+    for pages in (40, 400):
+        rows = E.in_order(elems(pages), pages=10)
+        got = S.detect_sections(rows).orderBy("pos").collect()
+        assert [r["pos"] for r in got] == list(range(1, pages * 4 + 1))
+        assert [r["section_number"] for r in got] == [i // 7 + 1 for i in range(pages * 4)]
+        assert [r["image_index"] for r in got if r["elem_type"] == "image"] == list(range(1, sum(i % 7 == 1 for i in range(pages * 4)) + 1))
+        assert {r["sections_total"] for r in got} == {(pages * 4 + 6) // 7}
+        dealt = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert dealt <= 7 * 40  # some ranges of 40 rows to a task, however many pages there are
