@@ -86,5 +86,6 @@ def exact_groups(docs: DataFrame, size: int = SIZE, bits: int = 64) -> DataFrame
     """
     rows = written(identities(docs.select("doc_id", "text"), size, bits), "identities")
     last = F.coalesce(F.max_by("row", "doc_id"), F.max("row"))
-    groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"), last.alias("last"))
+    # written, so that the join below reads both sides from a shuffle of their own and can be split
+    groups = written(rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"), last.alias("last")), "groups")
     return rows.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("last")).alias("kept"), "text_sha256")
