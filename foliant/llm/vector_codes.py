@@ -22,7 +22,9 @@ from foliant.llm.common import bounded, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Entries in a leaf of the tree, and the relative error allowed to square roots and their sums.
-LEAF, SLACK = 16, 1e-9
+LEAF, SLACK = 32, 1e-9
+#: Points that are measured against a leaf at a time.
+STEP = 4096
 #: Largest integer component: its squared distances stay exact in 64 bits, and exact as doubles up to 2^53.
 LARGEST = 1 << 22
 
@@ -52,6 +54,18 @@ def ball(book: np.ndarray, entries: np.ndarray) -> Ball:
     return Ball(centre, radius, entries, (ball(book, order[:half]), ball(book, order[half:])))
 
 
+def squared(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Squared distances of integer points to integer entries, exact.
+
+    Where no sum can reach 2^53 every double on the way is a whole number, and one matrix product gives them all.
+    """
+    reach = max(int(np.abs(points).max(initial=0)), int(np.abs(entries).max(initial=0)))
+    if 4 * reach * reach * points.shape[1] < 1 << 53:
+        p, e = points.astype(np.float64), entries.astype(np.float64)
+        return ((p * p).sum(axis=1)[:, None] - 2.0 * (p @ e.T) + (e * e).sum(axis=1)[None, :]).astype(np.int64)
+    return ((points[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
+
+
 def nearest(tree: Ball, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of each point's nearest entry, ties to the lower index."""
     index, best = np.full(len(points), len(book), np.int64), np.full(len(points), np.iinfo(np.int64).max, np.int64)
@@ -68,9 +82,9 @@ def nearest(tree: Ball, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarra
             return
         if node.inside is None:
             entries = book[node.entries]
-            for a in range(0, len(which), 4096):
-                w = which[a : a + 4096]
-                d = ((points[w][:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
+            for a in range(0, len(which), STEP):
+                w = which[a : a + STEP]
+                d = squared(points[w], entries)
                 k = d.argmin(axis=1)
                 d, i = d[np.arange(len(w)), k], node.entries[k]
                 better = (d < best[w]) | ((d == best[w]) & (i < index[w]))
