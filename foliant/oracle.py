@@ -458,3 +458,11 @@ FROM (SELECT *, ['json', 'sql', 'txt'][(event_id % 3 + 1)::INT] AS ext FROM even
 }
 
 ORACLE["scene_stream"] = ORACLE["scene_timeline"]
+ORACLE["chunk_source"] = ORACLE["chunk_read"]
+_FLOW = SECTIONS + CHOSEN + DEMOTED.removeprefix(SECTIONS).replace("FROM se WHERE", "FROM sq WHERE") + MERGED + merged_paragraphs("mc") + reflowed("pz") + RENUMBERED
+ORACLE["section_files"] = q(
+    _FLOW + lined("nm") + f"""ft AS ({CONTENT}),
+fk AS (SELECT doc_id, section_number, page_number, pos, CASE elem_type WHEN 'code_block' THEN 'code_blocks' WHEN 'image' THEN 'images' WHEN 'drawing' THEN 'drawings' END AS kind FROM nm),
+fn AS (SELECT doc_id, 'resources/' || kind || '/' || section_number || '_' || page_number || '_' || kind || '_' || row_number() OVER (PARTITION BY doc_id, section_number, page_number, kind ORDER BY pos) || '.txt' AS path FROM fk WHERE kind IS NOT NULL),""",
+    "SELECT doc_id, 'section_' || section_number || '.txt' AS path, md5(content) AS md5 FROM ft UNION ALL SELECT doc_id, path, NULL FROM fn",
+)

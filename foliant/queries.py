@@ -17,6 +17,7 @@ from foliant.operators import tables as R
 from foliant.plans import documents as D
 from foliant.session import importable, table
 from foliant.sources import blocks as B
+from foliant.sources import chunks as N
 from foliant.sources import scenes as X
 from foliant.storage import at_end, new_path, written
 from foliant.streaming import scenes as P
@@ -141,7 +142,17 @@ def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     pages = B.page_numbers(docs).groupBy("doc_id").agg(F.max("page_number").alias("total_pages"))
-    found = B.read_ranges(B.blocks_from_documents(docs), B.page_ranges(pages, 3))
+    found = B.read_ranges(B.blocks_from_documents(docs), B.page_ranges(pages, 3), 3)
+    return found.groupBy("doc_id", "start_page", "end_page").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("page_number").alias("last_page"))
+
+
+@query
+def chunk_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_read over files of page ranges, through the data source that opens a range at a time."""
+    folder = new_path(spark, "chunks")
+    N.write_chunks(B.blocks_from_documents(documents(spark, sf_dir)), 3, folder)
+    at_end(spark, folder)
+    found = N.read_chunks(spark, folder, ranges_per_task=256)
     return found.groupBy("doc_id", "start_page", "end_page").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("page_number").alias("last_page"))
 
 
@@ -273,6 +284,18 @@ def document_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.section_texts(K.resources(K.with_images(K.renumbered(D.ingest(ordered(spark, sf_dir))))))
 
 
+@query
+def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_flow as files, read back: section texts by their digest, resources by their paths."""
+    folder = new_path(spark, "sections")
+    K.write_sections(K.resources(K.with_images(K.renumbered(D.ingest(ordered(spark, sf_dir))))), folder)
+    at_end(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    place = F.regexp_extract("path", r"/(-?\d+)/((?:resources/[^/]+/)?[^/]+)$", 1).cast("long")
+    path = F.regexp_extract("path", r"/(-?\d+)/((?:resources/[^/]+/)?[^/]+)$", 2)
+    return files.select(place.alias("doc_id"), path.alias("path"), F.when(path.startswith("section_"), F.md5("content")).alias("md5"))
+
+
 @query
 def scene_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = C.scene_elements(C.statements(scene(spark)))

@@ -40,9 +40,16 @@ def read_range(blocks: DataFrame, start: int, end: int, total: int | None = None
     return blocks.where(F.col("page_number").between(start, end))
 
 
-def read_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """A3 for many documents: blocks with start_page and end_page of the range (of page_ranges) that holds their page."""
-    return blocks.join(ranges.select("doc_id", "start_page", "end_page"), "doc_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
+def read_ranges(blocks: DataFrame, ranges: DataFrame, per_chunk: int) -> DataFrame:
+    """A3 for many documents: blocks with start_page and end_page of the range that holds their page.
+
+    ranges are those of page_ranges with the same per_chunk, which says where a page's range starts:
+    a page meets its own range alone. Blocks of pages that no range holds go.
+    """
+    size = max(1, per_chunk)
+    start = (F.floor((F.col("page_number") - 1) / size) * size + 1).cast("int")
+    joined = blocks.withColumn("start_page", start).join(ranges.select("doc_id", "start_page", "end_page"), ["doc_id", "start_page"])
+    return joined.where("page_number <= end_page")
 
 
 # ------------------------------------------------------------------ what a page reader gives beside blocks

@@ -55,10 +55,10 @@ def test_sink(spark, made, tmp_path):
     extracted = spark.createDataFrame([(1, 5, bytearray(b"img"), "PNG")], "doc_id long, image_xref int, bytes binary, ext string")
     stored = K.resources(K.with_images(K.renumbered(sections), extracted))
     K.write_sections(stored, str(tmp_path / "out"))
-    text = spark.read.parquet(str(tmp_path / "out" / "sections")).first()["content"]
-    assert text == "section_number: 1\n\npage_number: 1\n\nHEADING Title\nIMAGE resources/images/1_1_images_1.png\nCODE_BLOCK resources/code_blocks/1_1_code_blocks_1.txt\nPARAGRAPH plain words that say something\n"
-    kept = {r["path"]: (r["content"], r["bytes"]) for r in spark.read.parquet(str(tmp_path / "out" / "resources")).collect()}
-    assert kept["resources/code_blocks/1_1_code_blocks_1.txt"] == ("x = [1];\ny = {};\nz();", None) and kept["resources/images/1_1_images_1.png"] == (None, b"img")
+    out = tmp_path / "out" / "1"
+    assert (out / "section_1.txt").read_text() == "section_number: 1\n\npage_number: 1\n\nHEADING Title\nIMAGE resources/images/1_1_images_1.png\nCODE_BLOCK resources/code_blocks/1_1_code_blocks_1.txt\nPARAGRAPH plain words that say something\n"
+    assert (out / "resources/code_blocks/1_1_code_blocks_1.txt").read_text() == "x = [1];\ny = {};\nz();" and (out / "resources/images/1_1_images_1.png").read_bytes() == b"img"
+    assert sorted(p.name for p in (out / "resources").iterdir()) == ["code_blocks", "drawings", "images", "tables"]
     plain = K.resources(K.with_images(K.renumbered(sections))).where("elem_type = 'image'")
     assert plain.select("resource_path").first()[0].endswith("images_1.txt") and plain.select(K.described()).first()[0].startswith("image_index=1\nxref=5\nbbox={'x0': 10.0")
 
