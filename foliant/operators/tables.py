@@ -18,15 +18,15 @@ REGION = [*PAGE, "region_no"]
 
 
 def words_from_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, page_number, word_no, x0, y0, x1, y1, text): up to six words of every line of the canonical adapter.
+    """(doc_id, page_number, word_no, x0, y0, x1, y1, text): the words of every line of the canonical adapter.
 
     Lines are 14 apart. Even documents are set in columns 80 wide, odd ones as running text.
     """
-    words = marked_lines(docs).select("doc_id", "i", F.posexplode(F.slice(F.filter(F.split("line", "[ \t]+"), lambda w: w != ""), 1, 6)).alias("j", "text"))
+    words = marked_lines(docs).select("doc_id", "i", F.posexplode(F.filter(F.split("line", "[ \t]+"), lambda w: w != "")).alias("j", "text"))
     column = F.when(F.col("doc_id") % 2 == 0, F.lit(60.0) + F.col("j") * 80).otherwise(F.lit(60.0) + F.col("j") * (30.0 + F.col("i") % 7))
     x0 = column.cast("double")
     y0 = F.lit(40.0) + 14.0 * (F.col("i") % 8)
-    return words.select("doc_id", (F.floor(F.col("i") / 8) + 1).cast("int").alias("page_number"), ((F.col("i") % 8) * 6 + F.col("j")).cast("int").alias("word_no"), x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.length("text"), F.lit(10)) * 5.0).alias("x1"), (y0 + 10.0).alias("y1"), "text")
+    return words.select("doc_id", (F.floor(F.col("i") / 8) + 1).cast("int").alias("page_number"), ((F.col("i") % 8) * 100_000 + F.col("j")).cast("int").alias("word_no"), x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.length("text"), F.lit(10)) * 5.0).alias("x1"), (y0 + 10.0).alias("y1"), "text")
 
 
 def regions_from_documents(docs: DataFrame) -> DataFrame:

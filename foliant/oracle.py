@@ -110,7 +110,8 @@ ml AS (SELECT doc_id, i, line, ((doc_id * 7 + i) % 12)::INT AS k FROM (
 BLOCKS = (
     LINES
     + rf"""
-bk AS (SELECT doc_id, i, k, (i // 8 + 1)::INT AS page_number, (i % 8)::INT AS block_no,
+mp AS (SELECT doc_id, i, line, part, CASE WHEN part = 1 THEN 10 ELSE k END AS k FROM ml, (VALUES (0), (1)) p(part) WHERE part = 0 OR k BETWEEN 4 AND 9),
+bk AS (SELECT doc_id, i, k, (i // 8 + 1)::INT AS page_number, (i % 8 * 2 + part)::INT AS block_no,
     CASE WHEN k = 11 AND i % 5 = 0 THEN 1 WHEN k = 11 AND i % 5 = 1 THEN 2 ELSE 0 END AS block_type,
     CASE k WHEN 1 THEN 'Figure ' || i || ' ' || line WHEN 2 THEN '10. ' || line WHEN 3 THEN '- ' || line
         WHEN 4 THEN CASE WHEN i % 2 = 0 THEN 'call_' || i || '(a, b);' || {NL} || 'return x[' || k || '];' ELSE 'call(' || i || ', {{' || {NL} || 'y = 1' END
@@ -118,7 +119,7 @@ bk AS (SELECT doc_id, i, k, (i // 8 + 1)::INT AS page_number, (i % 8)::INT AS bl
         WHEN 6 THEN i::VARCHAR WHEN 7 THEN left(line, 20) || ' | ' || i WHEN 8 THEN '[' || i || '] ' || left(line, 24) || ' ISBN 978 Press 2017'
         WHEN 9 THEN left(line, 60) || 'a-' || {NL} || 'b' || CASE WHEN i % 2 = 0 THEN ' end-' ELSE ' end' END ELSE line END AS body,
     k IN (4, 5, 8) AS mono, CASE WHEN k = 0 THEN 16.0 ELSE 10.0 END::DOUBLE AS size,
-    CASE WHEN doc_id % 5 = 0 AND i % 2 = 1 THEN 350.0 ELSE 60.0 END::DOUBLE AS x0, (40.0 + 90.0 * (i % 8))::DOUBLE AS y0 FROM ml),
+    CASE WHEN doc_id % 5 = 0 AND i % 2 = 1 THEN 350.0 ELSE 60.0 END::DOUBLE AS x0, (40.0 + 90.0 * (i % 8) + 45.0 * part)::DOUBLE AS y0 FROM mp),
 bs AS (SELECT doc_id, page_number, median(size) AS body_size FROM (SELECT doc_id, page_number, size, unnest(range(len(string_split(body, {NL})))) FROM bk WHERE block_type = 0) GROUP BY ALL),
 bt AS (SELECT bk.*, coalesce(body_size, 10.0) AS body_size, CASE WHEN block_type = 0 THEN size ELSE coalesce(body_size, 10.0) END AS max_size,
     x0 + 200.0 AS x1, y0 + 80.0 AS y1, x0 / 612.0 AS nx0, y0 / 792.0 AS ny0, (x0 + 200.0) / 612.0 AS nx1, (y0 + 80.0) / 792.0 AS ny1,
@@ -138,8 +139,9 @@ ORDERED = (
     + f"""
 pg AS (SELECT doc_id, page_number, count(*) AS n FROM bk GROUP BY ALL),
 dw AS (SELECT doc_id, page_number, n, ((doc_id + page_number) % 5)::INT AS item_count, CASE WHEN (doc_id + page_number) % 3 = 0 THEN 20.0 ELSE 200.0 END::DOUBLE AS side FROM pg),
-el AS (SELECT doc_id, page_number, block_no AS idx, unnest(list_filter([elem_type, CASE WHEN region IS NOT NULL THEN 'header_footer' END, CASE WHEN is_number THEN 'page_number' END], lambda e: e IS NOT NULL)) AS elem_type,
-        text, nx0, ny0, nx1 - nx0 AS nw, ny1 - ny0 AS nh, NULL::INT AS item_count, CASE WHEN elem_type = 'image' THEN i END AS image_xref, CASE WHEN elem_type = 'image' AND i % 2 = 0 THEN 'png' END AS image_ext FROM bc
+bi AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_no) - 1 AS idx FROM bc),
+el AS (SELECT doc_id, page_number, idx, unnest(list_filter([elem_type, CASE WHEN region IS NOT NULL THEN 'header_footer' END, CASE WHEN is_number THEN 'page_number' END], lambda e: e IS NOT NULL)) AS elem_type,
+        text, nx0, ny0, nx1 - nx0 AS nw, ny1 - ny0 AS nh, NULL::INT AS item_count, CASE WHEN elem_type = 'image' THEN i END AS image_xref, CASE WHEN elem_type = 'image' AND i % 2 = 0 THEN 'png' END AS image_ext FROM bi
     UNION ALL SELECT doc_id, page_number, n, 'drawing', NULL, 60.0 / 612.0, 100.0 / 792.0, side / 612.0, side / 792.0, item_count, NULL, NULL FROM dw),
 ty AS (SELECT * EXCLUDE (text), CASE WHEN elem_type = 'heading' THEN {single("text")} ELSE text END AS text, idx + (greatest(1, page_number) - 1)::BIGINT * 100000 AS gidx,
     (list_position(['heading', 'paragraph', 'list_item', 'caption', 'code_block', 'image', 'table', 'drawing', 'link', 'annotation', 'header_footer', 'page_number'], elem_type) - 1)::INT AS type_ordinal,
@@ -262,8 +264,8 @@ REGIONS = (
 pg AS (SELECT doc_id, (i // 8 + 1)::INT AS page_number FROM ml GROUP BY ALL),
 dw AS (SELECT doc_id, page_number, 60.0 AS x0, 100.0 AS y0, 60.0 + CASE WHEN (doc_id + page_number) % 3 = 0 THEN 20.0 ELSE 200.0 END AS x1, 100.0 + CASE WHEN (doc_id + page_number) % 3 = 0 THEN 20.0 ELSE 200.0 END AS y1 FROM pg),
 rg AS (SELECT doc_id, page_number, r.* FROM pg, (VALUES (0, 50.0::DOUBLE, 30.0::DOUBLE, 560.0::DOUBLE, 100.0::DOUBLE), (1, 50.0, 30.0, 560.0, 160.0), (2, 300.0, 80.0, 560.0, 160.0)) r(ordinal, x0, y0, x1, y1)),
-ws AS (SELECT doc_id, i, unnest(range(len(w))) AS j, unnest(w) AS text FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '')[1:6] AS w FROM ml)),
-wp AS (SELECT doc_id, (i // 8 + 1)::INT AS page_number, (i % 8) * 6 + j AS word_no, i % 8 AS row, text, (CASE WHEN doc_id % 2 = 0 THEN 60.0 + j * 80 ELSE 60.0 + j * (30.0 + i % 7) END)::DOUBLE AS x0, (40.0 + 14.0 * (i % 8))::DOUBLE AS y0 FROM ws),
+ws AS (SELECT doc_id, i, unnest(range(len(w))) AS j, unnest(w) AS text FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') AS w FROM ml)),
+wp AS (SELECT doc_id, (i // 8 + 1)::INT AS page_number, (i % 8) * 100000 + j AS word_no, i % 8 AS row, text, (CASE WHEN doc_id % 2 = 0 THEN 60.0 + j * 80 ELSE 60.0 + j * (30.0 + i % 7) END)::DOUBLE AS x0, (40.0 + 14.0 * (i % 8))::DOUBLE AS y0 FROM ws),
 wx AS (SELECT *, x0 + least(length(text), 10) * 5.0 AS x1, y0 + 10.0 AS y1 FROM wp),
 wr AS (SELECT w.*, r.ordinal FROM wx w JOIN rg r ON w.doc_id = r.doc_id AND w.page_number = r.page_number AND w.x0 >= r.x0 AND w.y0 >= r.y0 AND w.x1 <= r.x1 AND w.y1 <= r.y1),
 li AS (SELECT doc_id, page_number, ordinal, row, list(x0 ORDER BY x0, word_no) AS xs, list(x1 ORDER BY x0, word_no) AS es, min(x0) AS lo, max(x1) AS hi, max(y1) AS y1, avg((y0 + y1) / 2) AS centre, count(*) AS n, trim(string_agg(text, ' ' ORDER BY x0, word_no)) AS text FROM wr GROUP BY ALL),
@@ -450,7 +452,7 @@ sy AS (SELECT *, (n_blocks + row_number() OVER (PARTITION BY doc_id, page_number
 ORACLE |= {
     "page_scan": q(SCANS, "SELECT doc_id, page_number, idx AS reading_order_index, elem_type, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, row_count::INT AS row_count, column_count::INT AS column_count, item_count, uri, destination_page::INT AS destination_page, kind, content FROM sy"),
     "scan_lines": q(SCANS, "SELECT doc_id, page_number, idx::BIGINT AS pos, CASE elem_type WHEN 'table' THEN 'TABLE resources/tables/1_' || page_number || '_tables_1.txt' WHEN 'link' THEN 'LINK uri=' || coalesce(uri, 'None') || ' destination_page=' || coalesce(destination_page::INT::VARCHAR, 'None') ELSE 'ANNOTATION kind=' || kind || ' content=' || coalesce(content, 'None') END AS line FROM sy WHERE elem_type <> 'drawing'"),
-    "chunk_read": q(LINES, "SELECT doc_id, ((i // 8) // 3 * 3 + 1)::INT AS start_page, least((i // 8) // 3 * 3 + 3, any_value(total))::INT AS end_page, count(*) AS n_blocks, max(i // 8 + 1)::INT AS last_page FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) // 8 + 1 AS total FROM ml) GROUP BY doc_id, (i // 8) // 3"),
+    "chunk_read": q(LINES, "SELECT doc_id, ((i // 8) // 3 * 3 + 1)::INT AS start_page, least((i // 8) // 3 * 3 + 3, any_value(total))::INT AS end_page, sum(CASE WHEN k BETWEEN 4 AND 9 THEN 2 ELSE 1 END)::BIGINT AS n_blocks, max(i // 8 + 1)::INT AS last_page FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) // 8 + 1 AS total FROM ml) GROUP BY doc_id, (i // 8) // 3"),
     "crop_clip": q(REGIONS, "SELECT doc_id, page_number, 10 + ordinal AS base_no, greatest(0.0, x0 - 55)::DOUBLE AS x0, greatest(0.0, y0 - 40)::DOUBLE AS y0, least(500 + doc_id % 3 * 50, x1)::DOUBLE AS x1, least(90 + page_number % 4 * 30, y1)::DOUBLE AS y1 FROM rg"),
     "code_resources": f"""
 SELECT event_id, ext, CASE ext WHEN 'json' THEN '{{' || {NL} || '  "k": ' || json_extract_string(props, '$.k') || {NL} || '}}' WHEN 'sql' THEN 'begin' || {NL} || '    select ' || event_id || ';' || {NL} || 'commit' ELSE 'f(' || event_id || ') {{' || {NL} || '    y;' || {NL} || '}}' END AS content

@@ -99,11 +99,12 @@ def marked_lines(docs: DataFrame) -> DataFrame:
 def blocks_from_documents(docs: DataFrame) -> DataFrame:
     """Blocks of the canonical adapter: every line becomes a block of a kind that its marker says.
 
-    Eight blocks make a page of 612 by 792. 0 heading, 1 figure caption, 2 and 3 list items,
+    Eight lines make a page of 612 by 792. 0 heading, 1 figure caption, 2 and 3 list items,
     4 and 5 code, 6 a bare number, 7 a running header, 8 a citation set in a code font, 9 a
-    line cut by a hyphen, 10 plain, 11 plain or an image or a kind that is skipped.
+    line cut by a hyphen, 10 plain, 11 plain or an image or a kind that is skipped. What 4 to
+    9 make of a line cuts or replaces it, so a second block below has the whole line.
     """
-    i, k, line = F.col("i"), F.col("k"), F.col("line")
+    i, k, line, part = F.col("i"), F.col("k"), F.col("line"), F.col("part")
     s = i.cast("string")
     code = F.when(i % 2 == 0, F.concat(F.lit("call_"), s, F.lit("(a, b);\nreturn x["), k.cast("string"), F.lit("];")))
     code = code.otherwise(F.concat(F.lit("call("), s, F.lit(", {"), F.lit("\ny = 1")))
@@ -125,17 +126,19 @@ def blocks_from_documents(docs: DataFrame) -> DataFrame:
     size = F.when(k == 0, F.lit(16.0)).otherwise(F.lit(10.0))
     kind = F.when((k == 11) & (i % 5 == 0), 1).when((k == 11) & (i % 5 == 1), 2).otherwise(0)
     x0 = F.when((F.col("doc_id") % 5 == 0) & (i % 2 == 1), F.lit(350.0)).otherwise(F.lit(60.0))
-    y0 = F.lit(40.0) + 90.0 * (i % 8)
+    y0 = F.lit(40.0) + 90.0 * (i % 8) + 45.0 * part
     image = F.col("block_type") == 1
     return (
         marked_lines(docs)
+        .withColumn("part", F.explode(F.when(k.between(4, 9), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .withColumn("k", F.when(part == 1, 10).otherwise(k))
         .withColumn("block_type", kind)
         .select(
             "doc_id",
             (F.floor(i / 8) + 1).cast("int").alias("page_number"),
             F.lit(WIDTH).alias("page_width"),
             F.lit(HEIGHT).alias("page_height"),
-            (i % 8).cast("int").alias("block_no"),
+            (i % 8 * 2 + part).cast("int").alias("block_no"),
             "block_type",
             F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 200.0).alias("x1"), (y0 + 80.0).alias("y1")).alias("bbox"),
             F.when(F.col("block_type") == 0, F.transform(F.split(body, "\n", -1), lambda x: _span(x, font, size))).cast(LINES).alias("lines"),
