@@ -26,7 +26,7 @@ from foliant.llm.common import written
 from foliant.operators.scans import levels, running, span
 
 #: 2^BITS places to a block, and as many blocks to a parent.
-BITS = 10
+BITS = 12
 KEYS = 30_000
 PER_EPOCH = 64
 RECORD = ["at", "stream", "kind", "key", "value"]
