@@ -23,51 +23,73 @@ def aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], D
     return work(renamed).select(*renamed.columns).withColumnsRenamed({v: k for k, v in own.items()})
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids; documents with a null doc_id stay."""
-    return docs.join(bounded(ids), "doc_id", "left_anti")
+KEY = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, a hash of doc_id and text: rows share one only if they repeat each other."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of keyed() whose key is not among keys."""
+    return rows.join(bounded(keys), KEY, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: null, without letters, or below the calibrated threshold."""
+    """Documents that language ID rejects go: null, without letters, or below the calibrated threshold.
+
+    Rows are decided each by its whole text, however long; repeated rows are decided alike, and an
+    empty table gives no rows.
+    """
     model = langid.train(docs)
     return aside(docs, ("lang_pred", "score", "accepted"), lambda d: langid.identify(d, model).where("accepted"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; five-word shingles, similarity 0.8.
+    """One row of each group stays, that with the least doc_id (null last); five-word shingles, similarity 0.8.
 
-    Null and empty texts and those without words are in no group and stay; so do rows with a null
-    doc_id. Of rows with one doc_id one stays. Texts of any length are taken whole.
+    Rows are told apart by doc_id and text: unlike texts under one doc_id are decided each on its own,
+    and rows without a doc_id take part by their texts. Of rows that repeat each other wholly in both
+    one stays. Null and empty texts and those without words are in no group and stay. Texts of any
+    length are taken whole; an empty table gives no rows.
     """
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
-    return without(docs, found.where("component_id <> doc_id").select("doc_id").distinct()).transform(one_each)
+    rows = keyed(docs)
+    found = jaccard_join.jaccard_components(rows.select(F.col(KEY).alias("doc_id"), "text"), size=5, percent=80)
+    groups = written(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias(KEY), "component_id").agg(F.count(F.lit(1)).alias("n")), "groups")
+    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    # only groups of several texts or ids are looked into
+    inside = written(groups.join(bounded(many), "component_id").select(KEY, "component_id").join(rows.select(KEY, "doc_id"), KEY).select(KEY, "component_id", "doc_id"), "grouped")
+    first = inside.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(KEY).alias("first"))).alias("x")).select("component_id", "x.first")
+    gone = inside.join(bounded(first), "component_id").where(F.col(KEY) != F.col("first")).select(KEY).distinct()
+    return one_each(without(rows, gone), groups.where("n > 1").select(KEY)).drop(KEY)
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """Of rows with one doc_id the first stays; rows without a doc_id all stay."""
-    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if many.isEmpty():
-        return docs
-    rest = docs.join(many, "doc_id", "left_anti")
-    return rest.unionByName(docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def one_each(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Of rows with one of the repeated keys one stays."""
+    if repeated.isEmpty():
+        return rows
+    repeated = bounded(repeated)
+    return rows.join(repeated, KEY, "left_anti").unionByName(rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go.
 
-    Null and empty texts hold none, and a null doc_id cannot be named: they stay. Rows with one
-    doc_id go together. Texts of any length are taken whole.
+    Rows are decided each by its own text, whatever their doc_id, null or repeated. Null and empty texts
+    hold no item and stay. Texts of any length are taken whole; an empty table gives no rows.
     """
-    found = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id").distinct())
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, found.select(F.col("doc_id").alias(KEY)).distinct()).drop(KEY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks: the rows repeat.
 
     A null source is one of its own. Null and empty texts have no words: they stay as often as the
-    others of their source, or go where their source has none. Equal rows are decided alike.
+    others of their source, or go where their source has none. Equal rows are decided alike. The
+    words of a text are counted whatever its length; an empty table gives no rows.
     """
     return aside(docs, ("size", "source_size", "target", "copies"), lambda d: mixing.emit(mixing.mix_sources(d)))
 
