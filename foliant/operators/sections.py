@@ -55,6 +55,41 @@ def select_sections(sections: DataFrame, ranges: Sequence[Sequence[int]] = ((15,
     return sections.withColumn("kept_number", F.when(any_hit, upto).otherwise(n).cast("int")).where(hit | ~any_hit)
 
 
+def united_table(ranges: DataFrame) -> DataFrame:
+    """W17 on a table: (doc_id, low, high) as the fewest ranges that do not meet, with `before`, how many numbers the earlier ones hold.
+
+    Ends may come in either order; rows with a null are left out, and so is what lies below 1.
+    """
+    clean = ranges.select("doc_id", F.greatest(F.lit(1), F.least("low", "high")).cast("long").alias("low"), F.greatest("low", "high").cast("long").alias("high"), (F.col("low") + F.col("high")).alias("__b"))
+    clean = clean.where("doc_id is not null and __b is not null and high >= 1").select("doc_id", "low", "high").distinct()
+    order = Window.partitionBy("doc_id").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = clean.withColumn("__new", F.coalesce(F.col("low") > reach + 1, F.lit(True)).cast("int"))
+    islands = starts.withColumn("__k", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "__k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    earlier = Window.partitionBy("doc_id").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    return islands.select("doc_id", "low", "high", F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(earlier), F.lit(0)).alias("before"))
+
+
+def select_by_table(sections: DataFrame, ranges: DataFrame) -> DataFrame:
+    """D16, W17, J9 with ranges that come as rows (doc_id, low, high): as select_sections does, document by document.
+
+    Ranges and sections of a document are put in one order, and a section looks up the last range that
+    begins at or before it: a sorted search in which no section meets all ranges. A document without ranges keeps all.
+    """
+    islands = united_table(ranges)
+    least = islands.groupBy("doc_id").agg(F.min("low").alias("__least"))
+    known = sections.join(least, "doc_id", "left")
+    marks = islands.select("doc_id", F.col("low").alias("section_number"), F.struct("low", "high", "before").alias("__own"))
+    rows = known.withColumn("__mark", F.lit(1)).unionByName(marks.withColumn("__mark", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumn("__at", F.col("section_number").cast("long"))
+    found = two_level(rows, ["doc_id"], F.floor(F.col("__at") / ELEMENTS), ["__at", "__mark"], lasts={"__range": F.col("__own")}).where("__mark = 1")
+    hit = F.coalesce(F.col("section_number") <= F.col("__range.high"), F.lit(False))
+    any_hit = F.coalesce(F.col("__least") <= F.col("sections_total"), F.lit(False))
+    number = F.when(any_hit, F.col("__range.before") + F.col("section_number") - F.col("__range.low") + 1).otherwise(F.col("section_number"))
+    kept = found.where(hit | ~any_hit).withColumn("kept_number", number.cast("int"))
+    return kept.select(*[F.col(c).cast(sections.schema[c].dataType).alias(c) for c in sections.columns], "kept_number")
+
+
 def preclean(sections: DataFrame) -> DataFrame:
     """Noise goes, hyphens are mended, captions among paragraphs are named so; one pass over the rows."""
     kind, text = F.col("elem_type"), F.col("text")
@@ -118,6 +153,58 @@ def code_runs(roles: Sequence[int], pages: Sequence[int], goes_on: Sequence[bool
     return runs
 
 
+# ------------------------------------------------------------------ where merged texts come from
+
+ORIGINS = "origins"
+ORIGIN = "array<struct<pos:bigint,page_number:int,at:int,start:int,length:int>>"
+
+
+def with_origins(sections: DataFrame) -> DataFrame:
+    """Adds origins: text[at : at + length] of a row is text[start : start + length] of the element at (page_number, pos).
+
+    Both merges keep the column up to date where it is there: intervals are cut where texts are
+    stripped and shifted where texts are joined, so merges one after the other compose.
+    """
+    whole = F.array(F.struct(F.col("pos"), F.col("page_number"), F.lit(0).alias("at"), F.lit(0).alias("start"), F.length("text").alias("length")))
+    return sections.withColumn(ORIGINS, F.when(F.length("text") > 0, whole).otherwise(F.array()).cast(ORIGIN))
+
+
+def cut_out(origins: Column, low: Column, length: Column, to: Column) -> Column:
+    """The origins of text[low : low + length], when this stands at `to`."""
+    first, last = lambda o: F.greatest(o["at"], low), lambda o: F.least(o["at"] + o["length"], low + length)
+    inside = F.filter(origins, lambda o: last(o) > first(o))
+    return F.transform(inside, lambda o: F.struct(o["pos"].alias("pos"), o["page_number"].alias("page_number"), (first(o) - low + to).cast("int").alias("at"), (o["start"] + first(o) - o["at"]).cast("int").alias("start"), (last(o) - first(o)).cast("int").alias("length")))
+
+
+def laid_out(parts: list[str], origins: list[list[dict]]) -> list[dict]:
+    """The origins of parts joined by line breaks, empty ones left out, each part a beginning of the text its origins tell of."""
+    out, to = [], 0
+    for text, own in zip(parts, origins):
+        out += [o | {"at": o["at"] + to, "length": min(o["length"], len(text) - o["at"])} for o in own if o["at"] < len(text)]
+        to += len(text) + 1 if text else 0
+    return out
+
+
+def untold(merged: DataFrame, sources: DataFrame) -> DataFrame:
+    """What origins do not tell rightly: (doc_id, n_elements, n_chars, n_wrong, n_unaccounted, n_lost) for each document.
+
+    merged are rows with origins, sources the rows with_origins was given. n_wrong counts intervals whose
+    two sides differ, n_unaccounted characters of merged texts that neither come from a source nor are
+    white space, n_lost characters of a source that is used in part, but for white space and hyphens.
+    """
+    key = ["doc_id", "pos"]
+    rest = lambda text, cuts, at: F.aggregate(F.array_sort(F.transform(cuts, lambda o: F.struct(o[at].alias("a"), o["length"].alias("n")))), F.struct(F.lit(0).alias("to"), F.lit("").alias("left")), lambda s, o: F.struct((o["a"] + o["n"]).alias("to"), F.concat(s["left"], F.substring(text, s["to"] + 1, o["a"] - s["to"])).alias("left")), lambda s: F.concat(s["left"], F.substring(text, s["to"] + 1, F.length(text))))
+    told = merged.where("text is not null")
+    own = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.length(F.regexp_replace(rest(F.col("text"), F.col(ORIGINS), "at"), r"\s", ""))).alias("n_unaccounted"))
+    parts = told.select("doc_id", F.col("text").alias("__t"), F.explode(ORIGINS).alias("o")).select("doc_id", "o.*", F.substring("__t", F.col("o.at") + 1, F.col("o.length")).alias("__said"))
+    met = parts.groupBy(*key).agg(F.collect_list(F.struct("start", "length", "__said")).alias("cuts")).join(sources.select(*key, "text"), key, "left")
+    wrong = F.size(F.filter("cuts", lambda o: ~F.coalesce(F.substring(F.col("text"), o["start"] + 1, o["length"]) == o["__said"], F.lit(False))))
+    lost = F.length(F.regexp_replace(rest(F.coalesce("text", F.lit("")), F.col("cuts"), "start"), r"[\s-]", ""))
+    back = met.groupBy("doc_id").agg(F.sum(wrong).alias("n_wrong"), F.sum(lost).alias("n_lost"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return own.join(back, "doc_id", "left").select("doc_id", "n_elements", none("n_chars"), none("n_wrong"), none("n_unaccounted"), none("n_lost"))
+
+
 def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (doc_id, section_number, pos), with __page, __role and __on last; gives them without these, runs joined."""
 
@@ -125,7 +212,7 @@ def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole sections: a run's texts meet in its first row, its other rows go."""
         keys = list(zip(*(rows.column(c).to_pylist() for c in SECTION)))
         pages, roles, on = (rows.column(c).to_pylist() for c in ("__page", "__role", "__on"))
-        gone, texts, at = set(), {}, 0
+        gone, texts, origins, names, at = set(), {}, {}, rows.column_names, 0
         while at < len(keys):
             end = at
             while end < len(keys) and keys[end] == keys[at]:
@@ -135,13 +222,18 @@ def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts = [rows.column("text")[at + k].as_py().rstrip("\n") for k in run]
                     texts[at + run[0]] = "\n".join(t for t in parts if t)
                     gone.update(range(at + run[0] + 1, at + stop))
+                    if ORIGINS in names:
+                        held_by = [rows.column(ORIGINS)[at + k].as_py() or [] for k in run]
+                        origins[at + run[0]] = laid_out(parts, held_by)
             at = end
         out = rows.drop_columns(["__page", "__role", "__on"])
         if texts:
-            own = out.column("text").to_pylist()
-            for k, t in texts.items():
-                own[k] = t
-            out = out.set_column(out.schema.get_field_index("text"), out.schema.field("text"), pa.array(own, out.schema.field("text").type))
+            for name, new in (("text", texts), (ORIGINS, origins)):
+                if new:
+                    own = out.column(name).to_pylist()
+                    for k, t in new.items():
+                        own[k] = t
+                    out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(own, out.schema.field(name).type))
             out = out.take(pa.array([k for k in range(len(keys)) if k not in gone], pa.int64()))
         return out
 
@@ -169,11 +261,12 @@ def merge_code(sections: DataFrame) -> DataFrame:
     in the order the window has put them in, so nothing is planned twice; only sections with
     two code blocks or more are looked at there.
     """
+    # the fold needs whole sections in a task, whatever becomes of the window
+    sections = sections.repartition(*SECTION)
     part = Window.partitionBy(*SECTION)
     before = F.last(F.when(F.col("elem_type") == "code_block", F.col("text")), ignorenulls=True).over(part.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     rows = sections.withColumn("__page", F.col("page_number")).withColumn("__role", code_role(F.col("elem_type"), F.col("text"))).withColumn("__b", F.when(F.col("__role") == CODE, before))
     rows = rows.withColumn("__on", F.coalesce(T.continues(F.col("__b"), F.col("text")), F.lit(False))).drop("__b")
-    # the window has dealt the rows by section, so a partition holds whole sections
     return rows.sortWithinPartitions(*SECTION, "pos").mapInArrow(_merged_runs, sections.schema)
 
 
@@ -200,12 +293,27 @@ def merge_paragraphs(sections: DataFrame) -> DataFrame:
     taken = later & ~T.is_artifact_late(F.col("text")) & ~T.is_tiny(F.col("text"))
     rows = rows.withColumn("__t", F.coalesce(taken, F.lit(False))).where(kept | F.col("__t")).withColumn("__g", F.when(F.col("__t"), F.col("__first")).otherwise(F.col("pos")))
     # a kept row and the paragraphs it takes in are one group, dealt by section as the windows are
+    traced = [ORIGINS] if ORIGINS in sections.columns else []
     own = F.first(F.when(~F.col("__t"), F.struct(*sections.columns)), ignorenulls=True)
-    parts = F.array_sort(F.collect_list(F.when(F.col("__t"), F.struct("pos", "text"))))
-    whole = F.aggregate("__p", T.rstrip(F.col("__o.text")), lambda a, x: T.joined(a, x["text"]))
+    parts = F.array_sort(F.collect_list(F.when(F.col("__t"), F.struct("pos", "text", *traced))))
     out = rows.groupBy(*SECTION, "__g").agg(own.alias("__o"), parts.alias("__p"))
-    text = F.when(F.size("__p") > 0, whole).otherwise(F.col("__o.text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"__o.{c}").alias(c) for c in sections.columns])
+    some = F.size("__p") > 0
+    new = {"text": F.aggregate("__p", T.rstrip(F.col("__o.text")), lambda a, x: T.joined(a, x["text"]))}
+    if traced:
+        base = T.rstrip(F.col("__o.text"))
+        start = F.struct(base.alias("text"), cut_out(F.col(f"__o.{ORIGINS}"), F.lit(0), F.length(base), F.lit(0)).cast(ORIGIN).alias("o"))
+        new[ORIGINS] = F.aggregate("__p", start, _traced, lambda s: s["o"])
+    return out.select(*[F.when(some, new[c]).otherwise(F.col(f"__o.{c}")).alias(c) if c in new else F.col(f"__o.{c}").alias(c) for c in sections.columns])
+
+
+def _traced(s: Column, x: Column) -> Column:
+    """One more part joined (C19), with its origins."""
+    a, b = T.rstrip(s["text"]), T.strip(x["text"])
+    kept = F.length(a) - F.when(a.endswith("-"), 1).otherwise(0)
+    to = kept + F.when((a == "") | a.endswith("-"), 0).otherwise(1)
+    lead = F.length(T.rstrip(x["text"])) - F.length(b)
+    both = F.concat(cut_out(s["o"], F.lit(0), kept, F.lit(0)), cut_out(x[ORIGINS], lead, F.length(b), to))
+    return F.struct(T.joined(s["text"], x["text"]).alias("text"), both.cast(ORIGIN).alias("o"))
 
 
 # ------------------------------------------------------------------ W8, W9

@@ -468,3 +468,36 @@ fk AS (SELECT doc_id, section_number, page_number, pos, CASE elem_type WHEN 'cod
 fn AS (SELECT doc_id, 'resources/' || kind || '/' || section_number || '_' || page_number || '_' || kind || '_' || row_number() OVER (PARTITION BY doc_id, section_number, page_number, kind ORDER BY pos) || '.txt' AS path FROM fk WHERE kind IS NOT NULL),""",
     "SELECT doc_id, 'section_' || section_number || '.txt' AS path, md5(content) AS md5 FROM ft UNION ALL SELECT doc_id, path, NULL FROM fn",
 )
+ORACLE["chosen_sections"] = q(
+    SECTIONS + """
+cr AS (SELECT user_id AS doc_id, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT user_id, event_id % 7 + 1 + floor(value)::BIGINT % 3 AS a, event_id % 7 + 1 AS b FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND event_id IS NOT NULL)),
+cs AS (SELECT doc_id, section_number, count(*) AS n FROM se GROUP BY ALL),
+ch AS (SELECT *, EXISTS (SELECT 1 FROM cr WHERE cr.doc_id = cs.doc_id AND cs.section_number BETWEEN lo AND hi) AS hit FROM cs),
+ca AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit FROM ch),""",
+    "SELECT doc_id, section_number, (row_number() OVER (PARTITION BY doc_id ORDER BY section_number))::INT AS kept_number, n FROM ca WHERE hit OR NOT any_hit",
+)
+ORACLE["recurring_texts"] = q(
+    BLOCKS + f"""
+ra AS (SELECT doc_id, page_number, block_no, x0, y0, {single("text")} AS text FROM bt WHERE block_type = 0 AND {strip("coalesce(text, '')")} <> ''),
+rb AS (SELECT doc_id, page_number, text, 'top' AS band, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, block_no) AS place FROM ra
+       UNION ALL SELECT doc_id, page_number, text, 'bottom', row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0 DESC, x0 DESC, block_no DESC) FROM ra),
+rc AS (SELECT doc_id, page_number, band, place::INT AS place, regexp_replace(text, '[0-9]+', '#', 'g') AS text, try_cast(nullif(regexp_extract(text, '[0-9]{{1,9}}$'), '') AS BIGINT) - page_number AS shift FROM rb WHERE place <= 2),
+rd AS (SELECT doc_id, band, place, text, shift, count(*) AS n, min(page_number) AS first_page, max(page_number) AS last_page FROM rc GROUP BY ALL),
+re AS (SELECT doc_id, band, place, text, sum(n)::BIGINT AS n_pages, min(first_page) AS first_page, max(last_page) AS last_page, max({{'n': n, 's': -shift}}) FILTER (shift IS NOT NULL) AS m FROM rd GROUP BY ALL),""",
+    "SELECT doc_id, band, place, text, n_pages, first_page, last_page, -m.s AS shift FROM re WHERE n_pages >= 2 AND (m IS NULL OR m.n >= 0.8 * n_pages)",
+)
+ORACLE["table_detect"] = q(
+    REGIONS + """
+ta AS (SELECT *, CASE WHEN y0 < max(y1) OVER (PARTITION BY doc_id, page_number ORDER BY y0, y1, x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM wx),
+tb AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_number ORDER BY y0, y1, x0, x1 ROWS UNBOUNDED PRECEDING) AS band FROM ta),
+tc AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page_number, band ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tb),
+td AS (SELECT doc_id, page_number, band, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(list({'a': reach, 'b': x0} ORDER BY x0) FILTER (x0 - reach >= 12), []) AS white FROM tc GROUP BY ALL),
+te AS (SELECT doc_id, page_number, band, band AS first, (len(white) > 0)::INT AS n, white FROM td WHERE band = 1
+       UNION ALL SELECT doc_id, page_number, band, CASE WHEN goes THEN first ELSE band END, CASE WHEN goes THEN n + 1 ELSE (len(own) > 0)::INT END, CASE WHEN goes THEN kept ELSE own END FROM (
+           SELECT *, n > 0 AND len(kept) > 0 AS goes FROM (SELECT d.doc_id, d.page_number, d.band, e.first, e.n, d.white AS own,
+               list_filter(flatten(list_transform(e.white, lambda p: list_transform(d.white, lambda w: {'a': greatest(p.a, w.a), 'b': least(p.b, w.b)}))), lambda v: v.b - v.a >= 12) AS kept
+               FROM te e JOIN td d ON d.doc_id = e.doc_id AND d.page_number = e.page_number AND d.band = e.band + 1))),
+tf AS (SELECT doc_id, page_number, first, max(band) AS last, arg_max(n, band) AS n, arg_max(len(white), band) + 1 AS columns FROM te GROUP BY ALL),""",
+    "SELECT f.doc_id, f.page_number, (row_number() OVER (PARTITION BY f.doc_id, f.page_number ORDER BY first) - 1)::INT AS position, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, n::INT AS row_count, columns::INT AS column_count FROM tf f JOIN td d ON d.doc_id = f.doc_id AND d.page_number = f.page_number AND d.band BETWEEN first AND last WHERE n >= 3 GROUP BY f.doc_id, f.page_number, first, n, columns",
+)
+ORACLE["merge_origins"] = q(DEMOTED + MERGED + merged_paragraphs("mc"), "SELECT doc_id, count(*) AS n_elements, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, 0::BIGINT AS n_wrong, 0::BIGINT AS n_unaccounted, 0::BIGINT AS n_lost FROM pz WHERE text IS NOT NULL GROUP BY doc_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.operators import elements as E
+from foliant.operators import layout as L
 from foliant.operators import scenes as C
 from foliant.operators import sections as S
 from foliant.operators import sinks as K
@@ -183,6 +184,15 @@ def section_range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.renumbered(chosen.withColumn("old", F.col("section_number"))).groupBy("doc_id", "section_number", "old").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def chosen_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by ranges from a table: an event chooses some sections of the document that has its user's number."""
+    low = F.col("event_id") % 7 + 1
+    ranges = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (low + F.floor("value").cast("long") % 3).alias("low"), low.alias("high"))
+    chosen = S.select_by_table(S.detect_sections(ordered(spark, sf_dir)), ranges)
+    return chosen.groupBy("doc_id", "section_number", "kept_number").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -210,6 +220,13 @@ def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_paragraphs(S.demote_code(cleaned(spark, sf_dir))).select("doc_id", "section_number", "pos", "page_number", "elem_type", "text")
 
 
+@query
+def merge_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both merges with the origins of their texts, held against the sources: every character is accounted for."""
+    sources = S.demote_code(cleaned(spark, sf_dir))
+    return S.untold(S.merge_paragraphs(S.merge_code(S.with_origins(sources))), sources)
+
+
 @query
 def column_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reflow(S.detect_sections(ordered(spark, sf_dir))).select("doc_id", "section_number", "page_number", "pos", "reading_order_index", "elem_type")
@@ -239,6 +256,18 @@ def table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "page_number", "region_no", *plain, *[F.col(c).cast("long").alias(c) for c in ("aligned_columns", "right_clusters")], *[r6(c).alias(c) for c in rounded], F.array_join("reasons", ",").alias("reasons"))
 
 
+@query
+def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.detected_tables(R.words_from_documents(documents(spark, sf_dir)))
+    return found.select("doc_id", "page_number", "position", *[F.col(f"bbox.{s}").alias(s) for s in G.SIDES], "row_count", "column_count")
+
+
+@query
+def recurring_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = E.block_facts(B.blocks_from_documents(documents(spark, sf_dir))).where("block_type = 0")
+    return L.recurring_texts(facts.select("doc_id", "page_number", "block_no", "bbox", "text"), least_pages=2)
+
+
 @query
 def crop_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
