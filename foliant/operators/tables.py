@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,24 +44,38 @@ def words_in(words: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.where(G.inside(F.struct("x0", "y0", "x1", "y1"), F.col("bbox")))
 
 
-def _line_numbers(tolerance: float):
-    """A fold over the centres of a region's words; in Python, as each word depends on the means of all lines so far."""
+def line_numbers(ys: Sequence[float], tolerance: float) -> list[int]:
+    """For each centre the line it joins, from 1: of those whose mean so far is within the tolerance the one begun first.
 
-    def one(ys) -> list[int]:
-        sums, counts, at = [], [], []
-        for y in ys:
-            k = next((i for i, (s, n) in enumerate(zip(sums, counts)) if abs(y - s / n) <= tolerance), len(sums))
-            if k == len(sums):
-                sums.append(0.0)
-                counts.append(0)
+    Lines are kept by their mean in cells as wide as the tolerance, so a centre looks at the lines of
+    the cells around it and not at all. A line begins only where none is near, so cells hold few.
+    """
+    width = tolerance if tolerance > 0 else 1.0
+    cells: dict[int, set[int]] = {}
+    sums, counts, at = [], [], []
+    cell = lambda y: math.floor(y / width)
+    for y in ys:
+        here = cell(y)
+        near = (k for c in range(here - 2, here + 3) for k in cells.get(c, ()) if abs(y - sums[k] / counts[k]) <= tolerance)
+        k = min(near, default=len(sums))
+        if k == len(sums):
+            sums.append(y)
+            counts.append(1)
+        else:
+            cells[cell(sums[k] / counts[k])].discard(k)
             sums[k] += y
             counts[k] += 1
-            at.append(k + 1)
-        return at
+        cells.setdefault(cell(sums[k] / counts[k]), set()).add(k)
+        at.append(k + 1)
+    return at
+
+
+def _line_numbers(tolerance: float):
+    """A fold over the centres of a region's words; in Python, as each word depends on the means of all lines so far."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for centres in batches:
-            yield centres.map(one)
+            yield centres.map(lambda ys: line_numbers(ys, tolerance))
 
     return F.pandas_udf(run, "array<int>")
 

@@ -501,3 +501,8 @@ tf AS (SELECT doc_id, page_number, first, max(band) AS last, arg_max(n, band) AS
     "SELECT f.doc_id, f.page_number, (row_number() OVER (PARTITION BY f.doc_id, f.page_number ORDER BY first) - 1)::INT AS position, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, n::INT AS row_count, columns::INT AS column_count FROM tf f JOIN td d ON d.doc_id = f.doc_id AND d.page_number = f.page_number AND d.band BETWEEN first AND last WHERE n >= 3 GROUP BY f.doc_id, f.page_number, first, n, columns",
 )
 ORACLE["merge_origins"] = q(DEMOTED + MERGED + merged_paragraphs("mc"), "SELECT doc_id, count(*) AS n_elements, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, 0::BIGINT AS n_wrong, 0::BIGINT AS n_unaccounted, 0::BIGINT AS n_lost FROM pz WHERE text IS NOT NULL GROUP BY doc_id")
+ORACLE["outline_sql"] = ORACLE["section_listing"]
+ORACLE["stage_figures"] = q(
+    DEMOTED + MERGED + merged_paragraphs("mc"),
+    " UNION ALL ".join(f"SELECT '{name}' AS stage, count(*) AS n_rows, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM {cte}" for name, cte in (("elements", "od"), ("sections", "se"), ("clean", "cl"), ("demoted", "dm"), ("code", "mc"), ("paragraphs", "pz"))),
+)

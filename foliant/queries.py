@@ -16,6 +16,7 @@ from foliant.operators import sections as S
 from foliant.operators import sinks as K
 from foliant.operators import tables as R
 from foliant.plans import documents as D
+from foliant.plans import figures as M
 from foliant.session import importable, table
 from foliant.sources import blocks as B
 from foliant.sources import chunks as N
@@ -91,6 +92,28 @@ def section_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.outline(S.detect_sections(ordered(spark, sf_dir)))
 
 
+@query
+def outline_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """section_listing as SQL over a table function that is given a document at a time."""
+    M.register(spark)
+    rows = ordered(spark, sf_dir).select("doc_id", "pos", "page_number", "elem_type", "text")
+    return spark.sql("SELECT * FROM outline_of(TABLE(SELECT * FROM {rows}) PARTITION BY doc_id ORDER BY pos)", rows=rows)
+
+
+@query
+def stage_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and characters of each stage of the flow, observed in one run through all of them."""
+    figures = M.Figures()
+    chars = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    df = figures.stage("elements", ordered(spark, sf_dir), chars=chars)
+    for name, step in (("sections", S.detect_sections), ("clean", S.preclean), ("demoted", S.demote_code), ("code", S.merge_code), ("paragraphs", S.merge_paragraphs)):
+        df = figures.stage(name, step(df), chars=chars)
+    with figures.timed("flow"):
+        df.write.format("noop").mode("overwrite").save()
+    rows = [(name, f["rows"], f["chars"]) for name, f in figures.counts().items()]  # one for each stage
+    return spark.createDataFrame(rows, "stage string, n_rows long, n_chars long")
+
+
 @query
 def block_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = E.block_type(E.block_facts(B.blocks_from_documents(documents(spark, sf_dir))))

@@ -110,3 +110,46 @@ def test_origins_rebuild_merged_texts(spark, seed):
     assert (told["n_wrong"], told["n_unaccounted"], told["n_lost"]) == (0, 0, 0)
     broken = merged.withColumn("origins", F.transform("origins", lambda o: o.withField("start", o["start"] + 1)))
     assert S.untold(broken, sources).first()["n_wrong"] > 0
+
+
+def test_lines_as_a_scan_of_all_lines_gives_them():
+    from foliant.operators.tables import line_numbers
+
+    def plain(ys, tolerance):
+        sums, counts, at = [], [], []
+        for y in ys:
+            k = next((i for i, (s, n) in enumerate(zip(sums, counts)) if abs(y - s / n) <= tolerance), len(sums))
+            if k == len(sums):
+                sums.append(0.0)
+                counts.append(0)
+            sums[k] += y
+            counts[k] += 1
+            at.append(k + 1)
+        return at
+
+    r = random.Random(1)
+    for tolerance in (0.0, 0.5, 3.0, 40.0):
+        for _ in range(40):
+            ys = [r.choice([float(r.randrange(-60, 60)), r.uniform(-60, 60)]) for _ in range(r.randrange(120))]
+            assert line_numbers(ys, tolerance) == plain(ys, tolerance)
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        line_numbers([7.0 * k for k in range(n)], 3.0)
+        took.append(time.process_time() - began)
+    assert took[1] < 15 * took[0] + 0.2
+
+
+def test_figures(spark):
+    from foliant.plans.figures import Figures
+
+    f = Figures()
+    even = f.stage("even", spark.range(100).where("id % 2 = 0"), total=F.sum("id"))
+    few = f.stage("few", even.where("id < 10"))
+    with pytest.raises(ValueError):
+        f.stage("few", few)
+    with f.timed("run"):
+        assert few.count() == 5
+    assert f.counts() == {"even": {"rows": 50, "total": 2450}, "few": {"rows": 5}} and f.seconds["run"] > 0

@@ -11,7 +11,7 @@ from foliant.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
-PYTHON = ("code_merge", "code_resources", "document_flow", "scene_elements", "scene_steps", "scene_play", "scene_json", "element_defaults", "table_score", "crop_best", "table_trim")
+PYTHON = ("code_merge", "code_resources", "document_flow", "scene_elements", "scene_steps", "scene_play", "scene_json", "element_defaults", "table_score", "crop_best", "table_trim", "merge_origins", "outline_sql", "stage_figures", "scene_stream", "chunk_source", "section_files")
 
 
 @pytest.fixture(scope="module")
