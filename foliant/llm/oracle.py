@@ -21,15 +21,23 @@ SELECT m.doc_id, m.source, m.size, m.source_size, m.target, (m.size * (floor(m.r
 """
 
 OP4 = """
-WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
 b AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (SELECT doc_id, (length(h) // 2 + 8)::BIGINT AS size, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS key,
       xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32 FROM b, t),
-n AS (SELECT sum(size)::DOUBLE AS total FROM d),
-g AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY key) > greatest(1.0, 0.02 * total / 24) THEN coalesce(doc_id, 0) ELSE 0 END AS sub FROM d, n),
-p AS (SELECT *, sum(size) OVER (ORDER BY key, sub) - sum(size) OVER (PARTITION BY key, sub) / 2 AS mid, row_number() OVER (ORDER BY key, sub, doc_id) AS place FROM g),
-a AS (SELECT *, least(23, floor(mid * 24 / total)::INT) AS shard FROM p)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM a
+n AS (SELECT sum(size)::BIGINT AS total FROM d),
+k AS (SELECT key, sum(size)::BIGINT AS bytes FROM d GROUP BY key),
+q AS (SELECT key, bytes, row_number() OVER (ORDER BY bytes DESC, key) AS r FROM k, n WHERE bytes > greatest(1.0, least(0.02 * total / 24, 268435456.0))),
+l AS (SELECT 0::BIGINT AS r, list_transform(range(24), lambda i: 0::BIGINT) AS held, NULL::BIGINT AS key, NULL::INT AS home
+      UNION ALL SELECT r, CASE WHEN fits THEN list_transform(held, lambda x, i: CASE WHEN i = s THEN x + bytes ELSE x END) ELSE held END, key, CASE WHEN fits THEN s - 1 ELSE -1 END
+      FROM (SELECT q.r, q.key, q.bytes, l.held, list_position(l.held, list_min(l.held))::INT AS s, (list_min(l.held) + q.bytes) * 2400 <= 102 * n.total AS fits FROM l JOIN q ON q.r = l.r + 1, n)),
+h AS (SELECT held FROM l ORDER BY r DESC LIMIT 1),
+o AS (SELECT list_transform(range(24), lambda s: list_sum(list_transform(held[1:s + 1], lambda x: greatest(0, total - 24 * x)))::BIGINT) AS room, (total - list_sum(held))::DOUBLE AS rest FROM h, n),
+e AS (SELECT list_transform(room[1:23], lambda x: rest * x / greatest(1, room[24])) AS ends FROM o),
+g AS (SELECT d.*, coalesce(l.home, -1) AS home, CASE WHEN l.key IS NULL THEN 0 ELSE coalesce(doc_id, 0) END AS sub FROM d LEFT JOIN l ON d.key = l.key),
+p AS (SELECT *, sum(CASE WHEN home < 0 THEN size ELSE 0 END) OVER (ORDER BY key, sub) - sum(CASE WHEN home < 0 THEN size ELSE 0 END) OVER (PARTITION BY key, sub) / 2 AS mid FROM g),
+a AS (SELECT *, CASE WHEN home >= 0 THEN home ELSE len(list_filter(ends, lambda x: x <= mid)) END::INT AS shard FROM p, e)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY key, sub, doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM a
 """
 
 OP6 = rf"""

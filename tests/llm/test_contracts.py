@@ -118,8 +118,7 @@ def test_op4(spark, sf_dir, docs):
     count = defaultdict(int)
     for r in docs.values():
         count[r["text"].encode()] += 1
-    fits = [x for x in texts if count[x] * (len(x) + 8) <= 0.02 * mean]
-    assert fits and all(len(texts[x]) == 1 for x in fits)
+    assert all(len(texts[x]) == 1 for x in texts if count[x] * (len(x) + 8) <= mean)
 
 
 def test_op5(spark, sf_dir, docs):

@@ -472,6 +472,30 @@ def test_stages_decide_by_row(spark, sf_dir, items):
         P.table = table
 
 
+def test_homes_of_large_groups():
+    got, held = sharding.homes([(1, 50), (2, 40), (3, 40), (4, 900), (5, 30)], 3, 300)
+    assert got == {4: -1, 1: 0, 2: 1, 3: 2, 5: 1} and held == [50, 70, 40]
+    assert sharding.homes([], 2, 10) == ({}, [0, 0])
+
+
+def test_ranges_that_prove_overfull_are_subdivided(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("key"), (F.col("id") % 3).alias("__sub"), F.lit(1).alias("size"))
+    dealt = sharding.in_ranges(rows, ["key", "__sub"], "size", range_bytes=2, least=8, total=200_000, coarse=16)
+    each = dealt.groupBy("__range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("__range").collect()
+    assert len(each) > 80_000 and max(r["n"] for r in each) < 30  # 100,000 are asked for
+    assert all(a["high"] <= b["low"] for a, b in zip(each, each[1:]))
+    few = sharding.in_ranges(rows.limit(100), ["key", "__sub"], "size", range_bytes=1 << 20, least=8, total=100)
+    assert 4 <= few.select("__range").distinct().count() <= 8
+
+
+def test_shards_of_subdivided_ranges(spark):
+    """The same shards and slots, however the work is cut."""
+    rows = spark.range(3000).select("id", (F.col("id") % 37).alias("key"), (F.col("id") % 11 + 1).alias("size")).unionByName(spark.range(3000, 4500).select("id", F.lit(99).cast("long").alias("key"), F.lit(9).cast("long").alias("size")))
+    shards = lambda **how: sorted(map(tuple, sharding.shard(rows, shards=5, row_id="id", **how).select("id", "shard", "slot").collect()))
+    plain = shards(range_bytes=12_000)
+    assert plain == shards(range_bytes=12_000, ranges_per_shard=1) and len(plain) == 4500
+
+
 def test_components(spark):
     import random
 
