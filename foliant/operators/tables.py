@@ -130,13 +130,13 @@ def region_metrics(lined: DataFrame, regions: DataFrame, drawings: DataFrame | N
         F.collect_list(F.element_at("ws", -1)["x1"]).alias("ends"),
         F.flatten(F.collect_list(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))))).alias("inner"),
         F.when(F.count("gap") >= 2, F.stddev_pop("gap")).otherwise(0.0).alias("row_spacing_variance"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("ws", lambda w: F.struct(w["word_no"].alias("no"), w["text"].alias("text")))))).alias("said"),
     )
-    blobs = lined.groupBy(*REGION).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ").alias("blob"))
     tol = settings.table_x_cluster_tolerance
-    out = regions.join(agg, REGION, "left").join(blobs, REGION, "left")
+    out = regions.join(agg, REGION, "left")
     empty = F.array().cast("array<double>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    blob = F.coalesce("blob", F.lit(""))
+    blob = F.coalesce(F.array_join(F.transform("said", lambda w: w["text"]), " "), F.lit(""))
     area = F.greatest(F.lit(1.0), F.col("bbox.x1") - F.col("bbox.x0")) * F.greatest(F.lit(1.0), F.col("bbox.y1") - F.col("bbox.y0"))
     out = out.select(
         *REGION, "bbox",
@@ -159,9 +159,10 @@ def region_metrics(lined: DataFrame, regions: DataFrame, drawings: DataFrame | N
 
 
 def spatial_exists(regions: DataFrame, drawings: DataFrame, name: str = "hit") -> DataFrame:
-    """Whether any drawing of the page meets the region; an equi join on the page, then a semi-join's test."""
-    met = regions.select(*REGION, "bbox").join(drawings.select(*PAGE, F.col("bbox").alias("__d")), PAGE).where(G.intersects(F.col("bbox"), F.col("__d"))).select(*REGION).distinct().withColumn(name, F.lit(True))
-    return regions.join(met, REGION, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """Whether any drawing of the page meets the region; a page's drawings come as one list, so each region is met once."""
+    lists = drawings.groupBy(*PAGE).agg(F.collect_list("bbox").alias("__d"))
+    hit = F.exists("__d", lambda d: G.intersects(F.col("bbox"), d))
+    return regions.join(lists, PAGE, "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__d")
 
 
 def table_score(metrics: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -186,26 +187,27 @@ def table_score(metrics: DataFrame, settings: Settings = Settings()) -> DataFram
     return out.withColumn("is_table", (F.size("reasons") == 0) & (F.col("score") >= settings.table_score_threshold))
 
 
-def compatible(candidates: DataFrame) -> DataFrame:
-    """Candidates (ordinal 0 is the base itself) that fit their base's width, top and bottom."""
-    base = candidates.where("ordinal = 0").select(*PAGE, "base_no", F.col("bbox").alias("base"))
-    c, b = F.col("bbox"), F.col("base")
-    fits = (G.overlap_ratio(c, b) >= 0.85) & (F.abs(c["y0"] - b["y0"]) <= 40) & (c["y1"] >= b["y1"])
-    return candidates.join(base, [*PAGE, "base_no"]).where(fits)
+def compatible(c: Column, b: Column) -> Column:
+    """Whether a candidate fits its base's width, top and bottom."""
+    return (G.overlap_ratio(c, b) >= 0.85) & (F.abs(c["y0"] - b["y0"]) <= 40) & (c["y1"] >= b["y1"])
 
 
-def best_crop(candidates: DataFrame, scored: DataFrame) -> DataFrame:
+def best_crop(scored: DataFrame) -> DataFrame:
     """Per base the best candidate (score, +1 if a table; then the lower), or the base itself.
 
-    scored has the table score of each candidate, with region_no = base_no * 1000 + ordinal.
+    scored has the box and table score of each candidate, with region_no = base_no * 1000 + ordinal;
+    ordinal 0 is the base. A base's candidates are looked at together, once.
     """
-    facts = scored.select(*PAGE, "region_no", "score", "is_table", "stopword_ratio", "punctuation_ratio", "word_count")
-    fit = compatible(candidates).withColumn("region_no", F.col("base_no") * 1000 + F.col("ordinal")).join(facts, REGION)
+    n = F.col("region_no")
+    rows = scored.select(*PAGE, F.floor(n / 1000).cast(scored.schema["region_no"].dataType).alias("base_no"), (n % 1000).cast("int").alias("ordinal"), "bbox", "score", "is_table", "stopword_ratio", "punctuation_ratio", "word_count")
+    base = F.max(F.when(F.col("ordinal") == 0, F.col("bbox"))).over(Window.partitionBy(*PAGE, "base_no"))
+    rows = rows.withColumn("base", base).where("base is not null")
     prose = (F.col("stopword_ratio") > 0.32) & (F.col("punctuation_ratio") > 0.018) & (F.col("word_count") > 40)
+    fits = compatible(F.col("bbox"), F.col("base")) & ~prose
     rank = F.struct((F.col("score") + F.col("is_table").cast("double")).alias("s"), (F.col("bbox.y0") - F.col("bbox.y1")).alias("h"), (-F.col("ordinal")).alias("o"))
-    best = fit.where(~prose).groupBy(*PAGE, "base_no").agg(F.max_by(F.struct("bbox", "ordinal"), rank).alias("x"))
-    base = candidates.where("ordinal = 0").select(*PAGE, "base_no", F.col("bbox").alias("base"))
-    return base.join(best, [*PAGE, "base_no"], "left").select(*PAGE, "base_no", F.coalesce("x.bbox", "base").alias("bbox"), F.coalesce("x.ordinal", F.lit(0)).alias("ordinal"), "base")
+    best = F.max_by(F.struct("bbox", "ordinal"), F.when(fits, rank)).alias("x")
+    out = rows.groupBy(*PAGE, "base_no").agg(best, F.first("base").alias("base"))
+    return out.select(*PAGE, "base_no", F.coalesce("x.bbox", "base").alias("bbox"), F.coalesce("x.ordinal", F.lit(0)).alias("ordinal"), "base")
 
 
 def trimmed(crops: DataFrame, lined: DataFrame, tolerance: float = 8.0) -> DataFrame:
@@ -227,9 +229,9 @@ def trimmed(crops: DataFrame, lined: DataFrame, tolerance: float = 8.0) -> DataF
     return joined.withColumn("y1", F.when(F.col("last").isNull(), F.col("bbox.y1")).otherwise(y1)).select(*PAGE, "base_no", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), "y1")
 
 
-def table_crop(words: DataFrame, candidates: DataFrame, scored: DataFrame, sizes: DataFrame) -> DataFrame:
+def table_crop(words: DataFrame, scored: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per base the rectangle to be cropped: the best candidate, cut below its table rows, within its page."""
-    best = best_crop(candidates, scored)
+    best = best_crop(scored)
     lined = grouped_lines(words_in(words, best.select(*PAGE, F.col("base_no").alias("region_no"), "bbox")))
     return clipped(trimmed(best, lined), sizes)
 

@@ -506,3 +506,7 @@ ORACLE["stage_figures"] = q(
     DEMOTED + MERGED + merged_paragraphs("mc"),
     " UNION ALL ".join(f"SELECT '{name}' AS stage, count(*) AS n_rows, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM {cte}" for name, cte in (("elements", "od"), ("sections", "se"), ("clean", "cl"), ("demoted", "dm"), ("code", "mc"), ("paragraphs", "pz"))),
 )
+ORACLE["image_payloads"] = q(
+    CLEAN + "ix AS (SELECT doc_id, i AS image_xref, md5('img' || line) AS md5, CASE WHEN i % 2 = 0 THEN 'jpg' ELSE 'gif' END AS ext FROM ml WHERE i % 3 <> 0),",
+    "SELECT c.doc_id, section_number, pos, c.image_xref, coalesce(ext, c.image_ext, 'png') AS image_ext, md5 FROM cl c LEFT JOIN ix ON ix.doc_id = c.doc_id AND ix.image_xref = c.image_xref WHERE elem_type = 'image'",
+)

@@ -294,7 +294,7 @@ def recurring_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crop_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    best = R.best_crop(R.regions_from_documents(docs), _scored(docs))
+    best = R.best_crop(_scored(docs))
     return best.select("doc_id", "page_number", "base_no", "ordinal", *[F.col(f"bbox.{s}").alias(s) for s in G.SIDES])
 
 
@@ -320,6 +320,16 @@ def resource_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.where("resource_kind is not null").select("doc_id", "section_number", "pos", "resource_kind", "resource_no", "resource_path")
 
 
+@query
+def image_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of the sections with the bytes that a reader extracted under their numbers."""
+    n = F.col("i")
+    lines = B.marked_lines(documents(spark, sf_dir)).where(n % 3 != 0)
+    extracted = lines.select("doc_id", n.cast("int").alias("image_xref"), F.concat(F.lit("img"), "line").cast("binary").alias("bytes"), F.when(n % 2 == 0, "JPG").otherwise("Gif").alias("ext"))
+    found = K.with_images(cleaned(spark, sf_dir).where("elem_type = 'image'"), extracted)
+    return found.select("doc_id", "section_number", "pos", "image_xref", "image_ext", F.md5("image_bytes").alias("md5"))
+
+
 @query
 def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.section_texts(K.resources(K.with_images(S.demote_code(cleaned(spark, sf_dir)))))

@@ -87,8 +87,8 @@ def test_stored_code_follows_its_language(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, section_number int, pos long, page_number int, elem_type string, text string")
     missing = ("image_index int", "image_xref int", "image_ext string", "image_bytes binary", "row_count int", "column_count int", "item_count int", "uri string", "destination_page int", "kind string", "content string", "bbox struct<x0:double,y0:double,x1:double,y1:double,width:double,height:double>", "norm_bbox struct<x0:double,y0:double,x1:double,y1:double,width:double,height:double>")
     df = df.select("*", *[F.lit(None).cast(m.split(" ", 1)[1]).alias(m.split(" ", 1)[0]) for m in missing])
-    K.write_sections(K.resources(df), str(tmp_path))
-    kept = {r["path"][-5:]: r["content"] for r in spark.read.parquet(str(tmp_path / "resources")).collect()}
+    K.write_sections(K.resources(df), str(tmp_path / "out"))
+    kept = {p.name[-5:]: p.read_text() for p in (tmp_path / "out/1/resources/code_blocks").iterdir()}
     assert kept == {"1.txt": "begin\n    select 1;\ncommit", "2.txt": '{\n  "a": 1\n}', "3.txt": "f(\n    x\n)"}
 
 
@@ -101,7 +101,7 @@ def test_table_crop(spark):
     regions = candidates.withColumn("region_no", F.col("base_no") * 1000 + F.col("ordinal"))
     scored = R.table_score(R.region_metrics(R.grouped_lines(R.words_in(words, regions.select("doc_id", "page_number", "region_no", "bbox"))), regions.select("doc_id", "page_number", "region_no", "bbox"), None, 612.0))
     sizes = spark.createDataFrame([(1, 1, 300.0, 1000.0)], "doc_id long, page_number int, page_width double, page_height double")
-    r = R.table_crop(words, candidates, scored, sizes).first()
+    r = R.table_crop(words, scored, sizes).first()
     assert (r["x0"], r["y0"], r["x1"], r["y1"]) == (0.0, 0.0, 300.0, 94.0)
 
 
