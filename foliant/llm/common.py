@@ -1,57 +1,18 @@
-"""What several training-data operators share: written intermediate tables, sampled
-splitters, checked broadcasts and distributed connected components."""
+"""What several training-data operators share: sampled splitters, checked broadcasts and
+distributed connected components."""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.storage import at_end, new_path, remove, shared_dir, written  # noqa: F401
+
 #: Rows and bytes with which a side may be broadcast after it has been counted and measured.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-LOCAL_SHARED = "file:/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share; a local one only where none is set and the master is local, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (path or LOCAL_SHARED).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
-
-
-def at_end(spark: SparkSession, path: str) -> None:
-    """Has Hadoop's file system delete a path, wherever it is, when the driver's JVM ends."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path through Hadoop's file system, wherever it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again.
-
-    Cuts the lineage so that a lost executor costs one stage, not the whole plan. The files
-    go when the application ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_bytes(df: DataFrame) -> Column:
