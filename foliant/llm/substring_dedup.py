@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from foliant.llm import words as W
 from foliant.llm.common import bounded, partitions, written
 
-K, WINDOW, MARGIN, STEP = 8, 16, 64, 64
+K, WINDOW, MARGIN, STEP = 5, 6, 64, 64
 GAP = 0.01  # cost of a word of gap, in seeds
 MANY, HELD = 16, 1 << 14  # rows of a seed up to which all its documents meet; and that are held until it is complete
-TABLE = 1 << 18  # most cells of an alignment table
+TABLE = 1 << 18  # most cells of an alignment table; larger ones are divided
 
 
 def minimizers(kmers: np.ndarray, window: int) -> np.ndarray:
@@ -54,11 +54,12 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIR = "kind int, doc long, partner long, x int, y int"
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matches(batches: Iterator[pa.RecordBatch], rare: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows come by (h, doc, pos), equal h in one task: each occurrence meets those in all earlier documents.
 
     Of an h with more than MANY rows each meets the first document, a single seed also the
     one before its own, and comes out again (kind 1: doc, h, pos, last) to be joined with what follows it.
+    The rows of other h of several documents come out as kind 2, if asked for (rare).
     """
     names = ["kind", "doc", "partner", "x", "y"]
 
@@ -83,12 +84,15 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[start, len(h)])
         group = np.cumsum(opens) - 1
         turns = opens | np.concatenate([[True], doc[1:] != doc[:-1]])
-        many = (size > MANY) & (np.add.reduceat(turns.astype(np.int64), start) > 1)  # what is in one document alone meets nothing
+        shared = np.add.reduceat(turns.astype(np.int64), start) > 1
+        many = (size > MANY) & shared  # what is in one document alone meets nothing
         forced = batch is not None and (size[-1] > HELD or (big and len(start) == 1))
         many[0] |= big
         many[-1] |= forced
         rows = np.arange(seen, len(h) if batch is None or forced else start[-1])
         i, back = rows[~many[group[rows]] & (size[group[rows]] <= MANY)], 1
+        if rare and len(k := i[shared[group[i]]]):
+            yield pack(2, doc[k], h[k], pos[k], last[k])
         while len(i := i[i - back >= start[group[i]]]):
             j = i - back
             if len(k := np.flatnonzero(doc[i] != doc[j])):
@@ -113,28 +117,40 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch], least: int, single: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, h, pos, last) come by (doc, pos, last): single seeds with each of the next two, runs with the
-    furthest that starts within them or right after, so that they about double; all within `least` words."""
-    rest = [np.zeros(0, np.int64)] * 4
+    """Rows (doc, h, pos, last, rare) come by (doc, pos, last): single seeds with each of the next two, runs with the
+    furthest that starts within them or right after, so that they about double; all within `least` words.
+
+    A rare seed right behind or before frequent ones is joined with the nearest of them that makes a
+    chain with it: what its documents have in common goes on among the frequent seeds.
+    """
+    none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+    rest, reach = none, hull(least) - K
     for batch in chain(batches, iter([None])):
-        new = [np.zeros(0, np.int64)] * 4 if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-        doc, h, pos, last = (np.concatenate(c) for c in zip(rest, new))
+        new = none if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(t.dtype) for i, t in enumerate(none)]
+        doc, h, pos, last, rare = (np.concatenate(c) for c in zip(rest, new))
         at = np.flatnonzero(doc != doc[-1])[-1] + 1 if len(doc) and (doc != doc[-1]).any() else 0
         end = len(doc) if batch is None else at
-        rest = [c[end:] for c in (doc, h, pos, last)]
+        rest = [c[end:] for c in (doc, h, pos, last, rare)]
         if not end:
             continue
-        doc, h, pos, last = (c[:end] for c in (doc, h, pos, last))
-        i = np.arange(end)
+        doc, h, pos, last, rare = (c[:end] for c in (doc, h, pos, last, rare))
+        place = (np.cumsum(np.r_[0, np.diff(doc) != 0]) << 32) + pos  # ascending
+        often = np.flatnonzero(~rare)
+        if not len(often):
+            continue
         if single:
-            i, j = np.r_[i, i], np.r_[i + 1, i + 2]
+            after = np.flatnonzero(rare[1:] & ~rare[:-1]) + 1
+            before = np.flatnonzero(rare[:-1] & ~rare[1:])
+            left = np.searchsorted(place[often], place[after] - reach, side="right") - 1
+            right = np.searchsorted(place[often], place[before] + reach)
+            after, left = after[left >= 0], often[left[left >= 0]]
+            before, right = before[right < len(often)], often[right[right < len(often)]]
+            i, j = np.r_[often[:-1], often[:-2], left, before], np.r_[often[1:], often[2:], after, right]
         else:
-            place = (np.cumsum(np.r_[0, np.diff(doc) != 0]) << 32) + pos  # ascending
+            i = np.arange(end)
             j = np.searchsorted(place, place + np.minimum(last - pos + 2 * K, least - K), side="right") - 1
-            for _ in range(8):  # back to one that ends within `least` words
-                far = (j > i) & (last[j] + K - pos > least)
+            while (far := (j > i) & (last[j] + K - pos > least)).any():  # back to one that ends within `least` words
                 j = np.where(far, j - 1, j)
-        i, j = i[j < end], j[j < end]
         i, j = i[last[j] > last[i]], j[last[j] > last[i]]
         near = (doc[i] == doc[j]) & (np.maximum(last[i], last[j]) + K - pos[i] <= least)
         i, j = i[near], j[near]
@@ -144,18 +160,22 @@ def _joined(batches: Iterator[pa.RecordBatch], least: int, single: bool) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i]), pa.array(pos[i].astype(np.int32)), pa.array(np.maximum(last[i], last[j]).astype(np.int32))], ["h", "doc", "pos", "last"])
 
 
+def hull(least: int) -> int:
+    """Words from the first to the last seed that make a chain worth aligning for passages of `least` words."""
+    return max(2 * K, least // 3)
+
+
 def met(seeds: DataFrame, least: int, n: int) -> DataFrame:
     """(doc, partner, x, y): equal seeds of two documents, frequent ones also through the runs of seeds they are part of."""
     rows, out, single = seeds.withColumn("last", F.col("pos")), None, True
     while True:
         dealt = rows.repartition(n, "h").sortWithinPartitions("h", "doc", "pos", "last")
-        found = written(dealt.mapInArrow(_matches, PAIR), "matches")
+        found = written(dealt.mapInArrow(lambda b, single=single: _matches(b, single), PAIR), "matches")
         pairs = found.where("kind = 0").select("doc", "partner", "x", "y")
         out = pairs if out is None else out.unionByName(pairs)
-        many = found.where("kind = 1")
-        if many.isEmpty():
+        if found.where("kind = 1").isEmpty():
             return out
-        many = many.select("doc", F.col("partner").alias("h"), F.col("x").alias("pos"), F.col("y").alias("last")).repartition(n, "doc").sortWithinPartitions("doc", "pos", "last")
+        many = found.where("kind > 0").select("doc", F.col("partner").alias("h"), F.col("x").alias("pos"), F.col("y").alias("last"), (F.col("kind") == 2).alias("rare")).repartition(n, "doc").sortWithinPartitions("doc", "pos", "last")
         rows, single = many.mapInArrow(lambda b, single=single: _joined(b, least, single), "h long, doc long, pos int, last int"), False
 
 
@@ -242,20 +262,19 @@ class Spans:
 
 def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Rows come by (doc, partner, x, y). All of a document's chains that are long enough on both sides; those lead
-    that do not lie nine tenths within one of more seeds."""
-
-    def settle(doc: int, partner: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
-        found = []
-        fresh = np.concatenate([[True], (np.diff(partner) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)])
-        partner, x, y = partner[fresh], x[fresh], y[fresh]
-        cut = np.flatnonzero(np.concatenate([[True], partner[1:] != partner[:-1]]))
-        ends = np.concatenate([cut[1:], [len(x)]])
-        wide = np.minimum(x[ends - 1] - x[cut], np.maximum.reduceat(y, cut) - np.minimum.reduceat(y, cut)) + K >= least
-        for a, b in zip(cut[wide], ends[wide]):
-            for c in chains(x[a:b], y[a:b]):
-                xs, ys = x[a:b][c], y[a:b][c]
-                if min(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
-                    found.append((doc, int(partner[a]), int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys))
+    that do not lie nine tenths within one of more seeds. The matches of one pair are held at a time, and a document's chains."""
+
+    def pair(doc: int, partner: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+        fresh = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])
+        x, y = x[fresh], y[fresh]
+        if min(x[-1] - x[0], y.max() - y.min()) + K < least:
+            return
+        for c in chains(x, y):
+            xs, ys = x[c], y[c]
+            if min(xs[-1] - xs[0], ys[-1] - ys[0]) + K >= least:
+                yield doc, partner, int(xs[0]), int(xs[-1]) + K, int(ys[0]), int(ys[-1]) + K, xs, ys
+
+    def led(found: list[tuple]) -> list[tuple]:
         spans, rows = Spans(), []
         for r in sorted(found, key=lambda r: (-len(r[6]), r[1:6])):
             leads = not spans.cover(r[2], r[3])
@@ -264,30 +283,27 @@ def _chained(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             rows.append((*r, leads))
         return rows
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], CHAIN)
-
-    parts: list[list[np.ndarray]] = []  # of the open document
+    have, parts, found = None, [], []  # the open pair, its matches, its document's chains
     for batch in chain(batches, iter([None])):
         new = None if batch is None else [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
         if new is not None and not len(new[0]):
             continue
         rows: list[tuple] = []
-        if parts and (new is None or new[0][0] != parts[0][0][0]):
-            whole = [np.concatenate(c) for c in zip(*parts)]
-            rows += settle(int(whole[0][0]), *whole[1:])
-            parts = []
-        if new is not None:
-            cut = np.concatenate([[0], np.flatnonzero(new[0][1:] != new[0][:-1]) + 1, [len(new[0])]])
-            for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                parts.append([c[a:b] for c in new])
-                if k < len(cut) - 2:
-                    whole = [np.concatenate(c) for c in zip(*parts)]
-                    rows += settle(int(whole[0][0]), *whole[1:])
-                    parts = []
+        cut = [0] if new is None else np.concatenate([[0], np.flatnonzero((np.diff(new[0]) != 0) | (np.diff(new[1]) != 0)) + 1, [len(new[0])]]).tolist()
+        for a, b in zip(cut, [*cut[1:], None]):
+            if b is None and new is not None:
+                break
+            at = None if b is None else (int(new[0][a]), int(new[1][a]))
+            if at != have and have is not None:
+                found += pair(*have, *(np.concatenate(c) for c in zip(*parts)))
+                parts = []
+                if at is None or at[0] != have[0]:
+                    rows, found = rows + led(found), []
+            have = at
+            if at is not None:
+                parts.append((new[2][a:b], new[3][a:b]))
         if rows:
-            yield pack(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], CHAIN)
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +333,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for i, d in enumerate(doc):
             if kind[i] == 0:
-                if d != have:  # of repeated ids the first text
+                if d != have:  # of repeated ids the text with the least hash
                     have, words = d, next(W.words(text.slice(i, 1))).astype(np.uint32).view(np.int32)
             elif d == have:
                 rows.append((d, lo[i], hi[i], words[lo[i] : hi[i]]))
@@ -342,9 +358,23 @@ def _extend(same: np.ndarray, penalty: float = 2.0, drop: float = 24.0) -> tuple
     return n, int(same[:n].sum())
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with each prefix of b."""
+    t = np.zeros(len(b) + 1, np.int32)
+    for w in a:
+        t[1:] = np.maximum(t[1:], t[:-1] + (b == w))
+        np.maximum.accumulate(t, out=t)
+    return t
+
+
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a and in b of a longest common subsequence."""
+    """Positions in a and in b of a longest common subsequence; what is too long for a table is divided in two (Hirschberg)."""
     n, m = len(a), len(b)
+    if n > 1 and (n + 1) * (m + 1) > TABLE:
+        half = n // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        (x0, y0), (x1, y1) = common(a[:half], b[:cut]), common(a[half:], b[cut:])
+        return np.concatenate([x0, x1 + half]), np.concatenate([y0, y1 + cut])
     t = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n):
         t[i + 1, 1:] = np.maximum(t[i, 1:], t[i, :-1] + (b == a[i]))
@@ -363,19 +393,10 @@ def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal words of two stretches between seeds: on the diagonal if few differ, else by the longest common
-    subsequence; of stretches too long for its table what follows from either end."""
-    n = min(len(a), len(b))
-    if len(a) == len(b) and (same := np.flatnonzero(a == b)).size >= n - 2:
+    """Equal words of two stretches between seeds: on the diagonal if few differ, else by the longest common subsequence."""
+    if len(a) == len(b) and (same := np.flatnonzero(a == b)).size >= len(a) - 2:
         return same, same
-    if len(a) * len(b) <= TABLE:
-        return common(a, b)
-    on, _ = _extend(a[:n] == b[:n])
-    back, _ = _extend((a[len(a) - n :] == b[len(b) - n :])[::-1])
-    back = min(back, n - on)
-    head = np.flatnonzero(a[:on] == b[:on])
-    tail = np.flatnonzero(a[len(a) - back :] == b[len(b) - back :])
-    return np.concatenate([head, tail + len(a) - back]), np.concatenate([head, tail + len(b) - back])
+    return common(a, b)
 
 
 def path(a: np.ndarray, b: np.ndarray, sx: np.ndarray, sy: np.ndarray, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -529,7 +550,7 @@ def sliced(rows: DataFrame, chained: DataFrame, n: int) -> DataFrame:
     """(doc, lo, hi, ws): the words that the chains ask for, each stretch once."""
     asked = chained.select("doc", F.col("xlo").alias("lo"), F.col("xhi").alias("hi")).unionByName(chained.select(F.col("partner").alias("doc"), F.col("ylo").alias("lo"), F.col("yhi").alias("hi"))).distinct()
     asked = written(asked.select("doc", F.lit(1).alias("kind"), "lo", "hi", F.lit(None).cast("string").alias("text")), "asked")
-    texts = rows.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text")
+    texts = rows.join(bounded(asked.select("doc").distinct()), "doc", "left_semi").select("doc", F.lit(0).alias("kind"), F.hash("text").alias("lo"), F.lit(0).alias("hi"), "text")
     dealt = texts.unionByName(asked).repartition(n, "doc").sortWithinPartitions("doc", "kind", "lo", "hi")
     return written(dealt.mapInArrow(_slices, "doc long, lo int, hi int, ws array<int>"), "slices")
 
@@ -565,28 +586,29 @@ def repeated_passages(docs: DataFrame, least: int = 50, identity: float = 0.8, d
     few more, not all pairs; of a document's verified passages those that lie nine tenths within one
     with more matches are left out. What repeats inside one document alone is not reported.
 
-    Seeds are the minimizers of 8-word runs in windows of 16, so two equal runs of 23 words
-    share a seed; passages with a change every ten words or closer are mostly missed (README). Equal seeds come to one task and are streamed through it. Up to MANY rows
-    of a seed meet in all documents. Of a more frequent seed each row meets the first
-    and the preceding document, and is joined with either of the next two frequent seeds, and such
-    runs with each other, until a run has at most MANY rows or would pass `least` words; so a document with the same frequent seeds in the same order is
-    met wherever they also occur singly. Of runs that stay frequent up to `least` words only
-    the first document is met. Matches are chained per pair of documents, and the
+    Seeds are the minimizers of 5-word runs in windows of 6, so two equal runs of 10 words share a
+    seed, and 99 % of 80-word passages with a change every eight words have a chain of seeds (README).
+    Equal seeds come to one task and are streamed through it. Up to MANY rows of a seed meet in all
+    documents. Of a more frequent seed each row meets the first and the preceding document, and is
+    joined with either of the next two frequent seeds, with rare seeds next to it, and such runs with
+    each other, until a run has at most MANY rows or would pass `least` words; so a document with the
+    same frequent seeds in the same order is met wherever they also occur singly, and one with more
+    than the frequent seeds is met through what follows them. Of runs that stay frequent up to `least`
+    words only the first document is met. Matches are chained per pair of documents, and the
     chains aligned on slices of both texts, asked for in steps of 64 words so that equal
-    requests are made once, and on wider ones where a passage comes near a slice's end. Of the chains that cover the same stretch the one with the most
-    seeds is aligned first; the others are, too, unless a verified passage covers nine tenths of
-    theirs.
+    requests are made once, and on wider ones where a passage comes near a slice's end. Of the chains
+    that cover the same stretch the one with the most seeds is aligned first; the others are, too,
+    unless a verified passage covers nine tenths of theirs.
 
     Rows with a null doc_id or a null or short text have no passages; of rows with equal
-    ids the first text found is aligned. No rows give no rows; other columns are ignored.
+    ids the text with the least hash is aligned. No rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     seeds = written(rows.mapInArrow(_seeds, "h long, doc long, pos int"), "seeds")
     by_doc = met(seeds, least, n).repartition(n, "doc").sortWithinPartitions("doc", "partner", "x", "y")
-    span = max(2 * K, least - 2 * (WINDOW - 1))  # what is left between the outer seeds of a passage of `least` words
-    found = by_doc.mapInArrow(lambda b: _chained(b, span), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>, leads boolean")
+    found = by_doc.mapInArrow(lambda b: _chained(b, hull(least)), "doc long, partner long, x0 int, x1 int, y0 int, y1 int, sx array<int>, sy array<int>, leads boolean")
     found = written(with_margin(found, MARGIN), "chains")
     slices = sliced(rows, found, n)
     # the chains that lead first; of the others those whose stretch has no passage yet

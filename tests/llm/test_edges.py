@@ -305,6 +305,66 @@ def test_passages_at_random_and_any_partitioning(spark):
     assert got[0] == got[1] and {r[0] for r in got[0]} == want and len(want) > 20
 
 
+def test_passage_behind_or_before_a_frequent_stretch(spark):
+    """Of a passage of two documents, 55 words are also in 26 others: the whole of it is found, whatever end is frequent."""
+    import random
+
+    rng, rows, want = random.Random(17), [], set()
+    for trial in range(24):
+        common, own, base = random_words(rng, 55), random_words(rng, (20, 28)[trial % 2]), 100 * trial
+        p = common + own if trial < 12 else own + common
+        rows += [(base + i, random_words(rng, 30) + common + random_words(rng, 30)) for i in range(26)]
+        rows += [(base + i, random_words(rng, 30) + p + random_words(rng, 30)) for i in (40, 41)]
+        want.add((base + 41, base + 40, 30, 30 + len(p)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["partner_id"], r["start"], r["end"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert want <= got
+
+
+def test_recall_of_changed_passages(spark):
+    """80 words with a change every 8 to 20 words: nine tenths are found at each distance, most words of each."""
+    import random
+
+    rng, rows, steps = random.Random(18), [], (8, 10, 12, 15, 20)
+    for k, step in enumerate(steps):
+        for i in range(40):
+            p, off = random_words(rng, 80), rng.randrange(step)
+            q = [w if (j - off) % step else f"other{j}" for j, w in enumerate(p)]
+            rows += [(1000 * k + 2 * i, random_words(rng, 40) + p + random_words(rng, 40)), (1000 * k + 2 * i + 1, random_words(rng, 30) + q + random_words(rng, 50))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).collect()
+    assert all(r["doc_id"] == r["partner_id"] + 1 and r["identity"] >= 0.8 for r in found)
+    for k in range(len(steps)):
+        assert len({r["doc_id"] for r in found if r["doc_id"] // 1000 == k and r["end"] - r["start"] >= 64}) >= 36
+
+
+def test_repeated_ids_of_passages(spark):
+    """Of two texts of one id the same is aligned in every run, in whatever order they come."""
+    import random
+
+    rng = random.Random(19)
+    p = random_words(rng, 60)
+    rows = [(1, p + random_words(rng, 30)), (2, random_words(rng, 30) + p), (2, random_words(rng, 44) + p)]
+    got = []
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in r], "doc_id long, text string").repartition(1)
+        got.append(sorted(map(tuple, substring_dedup.repeated_passages(df).collect())))
+    assert got[0] == got[1] and [(r[0], r[1], r[3] - r[2]) for r in got[0]] == [(2, 1, 60)]
+
+
+def test_common_subsequence_of_long_stretches(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(20)
+    for n, m in ((1, 90), (70, 80), (200, 3), (150, 150), (0, 5)):
+        a, b = rng.integers(0, 9, n), rng.integers(0, 9, m)
+        whole = substring_dedup.common(a, b)
+        with monkeypatch.context() as c:
+            c.setattr(substring_dedup, "TABLE", 64)
+            x, y = substring_dedup.common(a, b)
+        assert len(x) == len(whole[0]) and (a[x] == b[y]).all() and (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+
+
 def test_matches_across_batches():
     """A seed of two batches and more meets the same documents as in one."""
     import pyarrow as pa
