@@ -97,8 +97,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with shard and slot, 24 shards of near equal bytes; own columns of these names are replaced.
 
-    Null and empty texts count 8 bytes. Equal texts share a shard unless they hold more than a
-    fiftieth of one, then they are dealt by doc_id, null first.
+    Null and empty texts count 8 bytes. Equal texts share a shard, unless no shard can hold them all
+    within 1.02 of the mean; then they are dealt by doc_id, null first. Texts of any length go whole; an
+    empty table gives no rows.
     """
     docs = docs.drop("shard", "slot")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
