@@ -238,6 +238,7 @@ def is_late_caption(c: Column) -> Column:
     return strip(c).rlike(r"(?i)^(?:figure|fig\.|table)\s*\d*")
 
 
+# The patterns of page artifacts, here and in the tests below.
 _PIPE_NUMBER = r"\|\s*\d{1,4}\s*$"
 _NUMBER_PIPE_WORD = r"^\d{1,4}\s*\|\s*[A-Za-z]"
 _CHAPTER = r"(?i)^chapter\s+\d+\b"
