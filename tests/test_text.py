@@ -64,3 +64,24 @@ def test_clusters(spark):
     lists = [[10.0, 12.0, 15.0, 40.0, 41.0, 90.0], [], *[[float(rng.randrange(100)) for _ in range(rng.randrange(12))] for _ in range(60)]]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, xs array<double>").select("i", G.clusters(F.col("xs")).alias("k")).collect()
     assert {r["i"]: r["k"] for r in got} == {i: plain(x) for i, x in enumerate(lists)}
+
+
+def test_white_space_is_that_of_unicode(spark):
+    every = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    assert sorted(set(every) - set(value(spark, every, lambda c: F.regexp_replace(c, r"(?U)\s", "")))) == sorted(T.WHITE)
+
+
+@pytest.mark.parametrize("f, most", [(lambda c: T.is_code(c, F.array(F.lit("Serif"))), 1), (T.is_tiny, 1), (T.is_prose_in_code, 5), (lambda c: T.joined(c, c), 0)])
+def test_a_text_is_taken_apart_once(spark, f, most):
+    """Long texts: each test cuts its text in lines and strips it once, not once for each time it names the result."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(f(F.col("t")).alias("v"))
+    told = plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert told.count("split(") <= most + told.count(r"split(lambda x") and "regexp_replace(cast" not in told
+
+
+def test_other_tests_wait_for_the_kind_of_element(spark):
+    """Only code blocks are looked at for prose; with `&` Spark computed the common parts for all rows."""
+    from foliant.operators import sections as S
+
+    told = S.demote_code(spark.createDataFrame([(1, "paragraph", "x")], "doc_id long, elem_type string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (elem_type" in told and "(elem_type" + "#" not in told.split("CASE WHEN")[0]
