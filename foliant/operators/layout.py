@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.operators import tables as R
 
@@ -17,38 +18,39 @@ PAGE = ["doc_id", "page_number"]
 # ------------------------------------------------------------------ table regions
 
 
-def row_bands(words: DataFrame) -> DataFrame:
-    """(doc_id, page_number, band, y0, y1, x0, x1, spans): words whose heights overlap, directly or through others.
+def row_bands(words: DataFrame, gap: float) -> DataFrame:
+    """(doc_id, page_number, band, y0, y1, x0, x1, white): words whose heights overlap, directly or through others.
 
-    This is the projection of the words on the page's height, cut where it is white. spans are
-    the words' (x0, x1) from the left.
+    This is the projection of the words on the page's height, cut where it is white. white are the
+    intervals (a, b) between the words that are at least `gap` wide, from the left: the band's projection
+    on the page's width, where it is white.
     """
     down = Window.partitionBy(*PAGE).orderBy("y0", "y1", "x0", "x1")
     above = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
     rows = words.withColumn("__new", F.coalesce(F.col("y0") >= above, F.lit(True)).cast("int"))
     rows = rows.withColumn("band", F.sum("__new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = F.array_sort(F.collect_list(F.struct("x0", "x1")))
-    return rows.groupBy(*PAGE, "band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), spans.alias("spans"))
+    # how far the words reach that begin before, so that a band of any number of words is passed once
+    across = Window.partitionBy(*PAGE, "band").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__right", F.max("x1").over(across))
+    hole = F.when(F.col("x0") - F.col("__right") >= gap, F.struct(F.col("__right").alias("a"), F.col("x0").alias("b")))
+    return rows.groupBy(*PAGE, "band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(hole)).alias("white"))
 
 
-def white_columns(spans: Column, gap: float) -> Column:
-    """The intervals between a band's words that are at least `gap` wide: its projection on the page's width, where it is white."""
-    start = F.struct(F.lit(None).cast("double").alias("right"), F.array().cast("array<struct<a:double,b:double>>").alias("white"))
+def common_white(a: Column, b: Column, gap: float) -> Column:
+    """What two lists of white intervals have in common, where it is at least `gap` wide; each list's are apart.
 
-    def step(s: Column, w: Column) -> Column:
-        hole = F.struct(s["right"].alias("a"), w["x0"].alias("b"))
-        return F.struct(
-            F.greatest(s["right"], w["x1"]).alias("right"),
-            F.when(w["x0"] - s["right"] >= gap, F.concat(s["white"], F.array(hole))).otherwise(s["white"]).alias("white"),
-        )
+    Both lists' ends are put in one order. After an even number of them none or two intervals are open, and
+    two if the last of them opens one: so no interval meets all of the other list.
+    """
+    end = lambda side, opens: lambda w: F.struct(w[side].alias("at"), F.lit(opens).alias("opens"))
+    ends = F.array_sort(F.concat(*[F.transform(w, end(side, opens)) for w in (a, b) for side, opens in (("a", True), ("b", False))]))
 
-    return F.aggregate(spans, start, step, lambda s: s["white"])
+    def cut(e: Column) -> Column:
+        pairs = F.transform(e, lambda x, k: F.struct(x["at"].alias("a"), F.get(e, k + 1)["at"].alias("b"), (x["opens"] & (k % 2 == 1)).alias("both")))
+        wide = F.filter(pairs, lambda w: w["both"] & (w["b"] - w["a"] >= gap))
+        return F.transform(wide, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b")))
 
-
-def common_white(a: Column, b: Column, gap: float) -> Column:
-    """What two lists of white intervals have in common, where it is at least `gap` wide."""
-    cut = lambda p: F.transform(b, lambda q: F.struct(F.greatest(p["a"], q["a"]).alias("a"), F.least(p["b"], q["b"]).alias("b")))
-    return F.filter(F.flatten(F.transform(a, cut)), lambda w: w["b"] - w["a"] >= gap)
+    return T.let(ends, cut)
 
 
 def detected_tables(words: DataFrame, gap: float = 12.0, least_rows: int = 3) -> DataFrame:
@@ -58,9 +60,8 @@ def detected_tables(words: DataFrame, gap: float = 12.0, least_rows: int = 3) ->
     least `gap`: from the first band on the white columns are cut down to what the next one leaves, and
     the run ends where it leaves none. position counts from 0. Pages without words have no regions.
     """
-    bands = row_bands(words).withColumn("white", white_columns(F.col("spans"), gap)).drop("spans")
     band = F.struct("band", "y0", "y1", "x0", "x1", "white")
-    pages = bands.groupBy(*PAGE).agg(F.array_sort(F.collect_list(band)).alias("bands"))
+    pages = row_bands(words, gap).groupBy(*PAGE).agg(F.array_sort(F.collect_list(band)).alias("bands"))
     region = "struct<first:bigint,last:bigint,n:int,columns:int>"
     white = "array<struct<a:double,b:double>>"
     begin = F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast(white).alias("white"), F.array().cast(f"array<{region}>").alias("out"))
@@ -70,18 +71,21 @@ def detected_tables(words: DataFrame, gap: float = 12.0, least_rows: int = 3) ->
         return F.when(s["n"] >= least_rows, F.concat(s["out"], F.array(one))).otherwise(s["out"])
 
     def step(s: Column, b: Column) -> Column:
-        kept = common_white(s["white"], b["white"], gap)
-        goes_on = (s["n"] > 0) & (F.size(kept) > 0)
-        return F.struct(
-            F.when(goes_on, s["first"]).otherwise(b["band"]).alias("first"),
-            F.when(goes_on, s["n"] + 1).otherwise((F.size(b["white"]) > 0).cast("int")).alias("n"),
-            F.when(goes_on, kept).otherwise(b["white"]).alias("white"),
-            F.when(goes_on, s["out"]).otherwise(closed(s, b["band"] - 1)).alias("out"),
-        )
+        def gone_on(kept: Column) -> Column:
+            goes_on = (s["n"] > 0) & (F.size(kept) > 0)
+            return F.struct(
+                F.when(goes_on, s["first"]).otherwise(b["band"]).alias("first"),
+                F.when(goes_on, s["n"] + 1).otherwise((F.size(b["white"]) > 0).cast("int")).alias("n"),
+                F.when(goes_on, kept).otherwise(b["white"]).alias("white"),
+                F.when(goes_on, s["out"]).otherwise(closed(s, b["band"] - 1)).alias("out"),
+            )
+
+        return T.let(common_white(s["white"], b["white"], gap), gone_on)
 
     found = F.aggregate("bands", begin, step, lambda s: closed(s, F.array_max(F.transform("bands", lambda b: b["band"]))))
-    rows = pages.select(*PAGE, "bands", F.posexplode(found).alias("position", "r"))
-    own = F.filter("bands", lambda b: b["band"].between(F.col("r.first"), F.col("r.last")))
+    boxes = F.transform("bands", lambda b: F.struct(*[b[k].alias(k) for k in ("band", *G.SIDES)]))
+    rows = pages.select(*PAGE, boxes.alias("boxes"), F.posexplode(found).alias("position", "r"))
+    own = F.filter("boxes", lambda b: b["band"].between(F.col("r.first"), F.col("r.last")))
     side = lambda agg, k: agg(F.transform(own, lambda b: b[k])).alias(k)
     box = F.struct(side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
     return rows.select(*PAGE, "position", box.alias("bbox"), F.col("r.n").alias("row_count"), F.col("r.columns").alias("column_count"))

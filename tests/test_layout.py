@@ -153,3 +153,36 @@ def test_figures(spark):
     with f.timed("run"):
         assert few.count() == 5
     assert f.counts() == {"even": {"rows": 50, "total": 2450}, "few": {"rows": 5}} and f.seconds["run"] > 0
+
+
+def test_white_of_a_band_grows_with_its_words(spark):
+    """Common white is found by a sorted pass: as a pair of every two intervals, 4,000 with 4,000 made 16 million."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1).select(*[F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.struct((i * 80.0 + shift).alias("a"), (i * 80.0 + 30.0 + shift).alias("b"))).alias(n) for n, shift in (("a", 0.0), ("b", 10.0))])
+    got = rows.select(L.common_white(F.col("a"), F.col("b"), 12.0).alias("w"))
+    assert "flatten" not in got._jdf.queryExecution().optimizedPlan().toString()
+    w = got.first()["w"]
+    assert [tuple(x) for x in w] == [(i * 80.0 + 10.0, i * 80.0 + 30.0) for i in range(4000)]
+
+
+def test_common_white_is_that_of_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(3), []
+    for _ in range(300):
+        two = []
+        for _ in range(2):
+            at, own = 0.0, []
+            for _ in range(r.randrange(7)):
+                a = at + r.randrange(1, 30)
+                at = a + r.randrange(12, 60)
+                own.append((float(a), float(at)))
+            two.append(own)
+        rows.append(tuple(two))
+    df = spark.createDataFrame(rows, "a array<struct<a:double,b:double>>, b array<struct<a:double,b:double>>")
+    for x in df.select("*", L.common_white(F.col("a"), F.col("b"), 12.0).alias("w")).collect():
+        want = [(max(p.a, q.a), min(p.b, q.b)) for p in x.a for q in x.b if min(p.b, q.b) - max(p.a, q.a) >= 12.0]
+        assert [tuple(w) for w in x.w] == sorted(want)
