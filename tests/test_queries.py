@@ -48,3 +48,13 @@ def test_columns_are_pruned(spark, sf_dir):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Ties of doubles: 41 / 640 is rounded down by SQL, and was rounded up."""
+    import duckdb
+    from foliant.queries import r6
+
+    pairs = [(41, 640), (82, 1280), (323, 640), (333, 640), (1, 128), (3, 640), (1, 3)]
+    got = [x.v for x in spark.createDataFrame(pairs, "k int, d int").selectExpr("k / d as v").select(r6("v").alias("v")).collect()]
+    assert got == [duckdb.sql(f"SELECT round({k}::DOUBLE / {d}, 6)").fetchall()[0][0] for k, d in pairs]
