@@ -137,3 +137,11 @@ def test_stored_code(spark):
     df = spark.createDataFrame([('{"a": [1]}', "json"), ("{broken", "json"), ("BEGIN\nx\nCOMMIT", "sql"), ("f(\nx\n)", "txt")], "t string, e string")
     assert [r[0] for r in df.select(K.stored_code(F.col("t"), F.col("e"))).collect()] == ['{\n  "a": [\n    1\n  ]\n}', "{broken", "BEGIN\n    x\nCOMMIT", "f(\n    x\n)"]
     assert df.select(K.guessed_extension(F.col("t"))).count() == 4
+
+
+def test_origins_run_the_flow_once(spark, sf_dir):
+    """merge_origins reads written tables: its plan held the whole flow three times."""
+    from foliant import queries
+
+    told = queries.merge_origins(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode(split" not in told and "MapInArrow" not in told
