@@ -85,3 +85,27 @@ def test_other_tests_wait_for_the_kind_of_element(spark):
 
     told = S.demote_code(spark.createDataFrame([(1, "paragraph", "x")], "doc_id long, elem_type string, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN (elem_type" in told and "(elem_type" + "#" not in told.split("CASE WHEN")[0]
+
+
+def test_tests_from_the_left_are_those_of_stripped_texts(spark):
+    """A trim from the right visits a whole text; what asks for its beginning alone does without."""
+    texts = ["", " ", "\u3000\t", "a", " a ", "\x85" * 70, "b" * 60 + " \u2003", "b" * 61, " " * 9 + "c" * 60, "d" + " " * 70, "d" + " " * 70 + "e", "é" * 60 + "\xa0", "é" * 40 + "\n", "é" * 41]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(T.has_text(t), T.at_most(t, 60), T.at_most(t, 40), T.strip(t)).collect()
+    assert [tuple(r)[:3] for r in got] == [(r[3] != "", len(r[3]) <= 60, len(r[3]) <= 40) for r in got]
+    assert [r[3] for r in got] == [x.strip(T.WHITE) for x in texts]
+
+
+def test_no_text_meets_on_its_page_where_none_is_asked_for(spark, sf_dir):
+    """Types were found after blocks had met on their page, so each reading shuffled all texts."""
+    from foliant.queries import QUERIES
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    plan = QUERIES["reading_order"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    pages = [n.output().mkString(" ") for n in nodes(plan) if n.nodeName() == "Window" and "collect_list(sizes" in n.toString().split("\n")[0]]
+    assert len(pages) == 2 and not any(x.split("#")[0] in ("text", "fonts", "__h") for p in pages for x in p.split())
