@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliant.operators import elements as E
 from foliant.operators import sinks as K
-from foliant.plans.documents import ingest
+from foliant.plans.documents import stored
 from foliant.sources.blocks import BLOCKS
 
 
@@ -19,8 +19,7 @@ def section_stream(spark: SparkSession, blocks: str, out: str, checkpoint: str,
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = ingest(E.in_order(E.elements(rows)))
-        K.section_texts(K.resources(K.with_images(K.renumbered(done)))).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        K.section_texts(stored(E.in_order(E.elements(rows)))).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     source = spark.readStream.schema(BLOCKS).json(blocks)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
