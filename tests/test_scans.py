@@ -77,3 +77,13 @@ def test_one_document_is_dealt_by_page_ranges(spark, request):
         assert {r["sections_total"] for r in got} == {(pages * 4 + 6) // 7}
         dealt = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
         assert dealt <= 7 * 40  # some ranges of 40 rows to a task, however many pages there are
+
+
+def test_only_sequences_of_several_blocks_are_counted_beforehand(spark):
+    """Where these are told, the others' sums are those of their one block; rows are the same."""
+    data = [(k, i, i % 5, i if i % 4 == 0 else None) for k, n in (("a", 40), ("b", 16), ("c", 1), ("d", 17)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, at long, x long, y long")
+    got = lambda d, several: sorted(map(str, scans.two_level(d, ["k"], F.floor(F.col("at") / 16), ["at"], {"s": F.col("x")}, {"l": F.col("y")}, several=several).collect()))
+    assert got(df, df.where("k in ('a', 'd')")) == got(df, None)
+    short = df.where("k in ('b', 'c')")
+    assert got(short, df.where("false")) == got(short, None)
