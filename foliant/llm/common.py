@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.storage import at_end, new_path, remove, shared_dir, written  # noqa: F401
+from foliant.storage import at_end, discard, new_path, remove, shared_dir, tidied, written  # noqa: F401
 
 #: Rows and bytes with which a side may be broadcast after it has been counted and measured.
 BROADCAST_ROWS = 500_000
@@ -23,7 +23,8 @@ def row_bytes(df: DataFrame) -> Column:
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether df has at most so many rows and bytes; both are summed where the rows are, none is moved."""
-    n, most = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    with tidied(df.sparkSession):
+        n, most = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
     return n <= rows and (most or 0) <= size
 
 

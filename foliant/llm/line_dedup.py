@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound, bounded, components, written
+from foliant.llm.common import bound, bounded, components, discard, written
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -63,7 +63,9 @@ def families(posts: DataFrame) -> DataFrame:
     for _ in range(2):
         jump = centre.select(F.col("node").alias("__n"), F.col("anchor").alias("__a"))
         centre = centre.join(jump, F.col("anchor") == F.col("__n")).select("node", F.col("__a").alias("anchor"))
-    return written(up.join(centre.select("node", F.col("anchor").alias("centre")), "node"), "families")
+    found = written(up.join(centre.select("node", F.col("anchor").alias("centre")), "node"), "families")
+    discard(up)
+    return found
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -140,9 +142,11 @@ def fuzzy_lines(docs: DataFrame, size: int = 8, percent: int = 80, bands: int =
     every = lines_of(docs, doc_id, text).withColumn("node", F.when(has_text(F.col("line")), line_key(F.col("line"))))
     places = written(every.select("doc_id", "line_no", "node"), "places")
     real = every.where("node is not null").select("node", "line")
-    keys = written(band_keys(real, size, bands, rows), "bands").select("node", "occ", F.explode("keys").alias("key"))
-    common = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    posts = written(keys.join(bounded(written(common, "keys")), "key"), "shared")
+    banded = written(band_keys(real, size, bands, rows), "bands")
+    keys = banded.select("node", "occ", F.explode("keys").alias("key"))
+    common = written(keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "keys")
+    posts = written(keys.join(bounded(common), "key"), "shared")
+    discard(banded, common)
     wanted = bounded(posts.select("node").distinct())
     texts = written(real.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidates")
 
@@ -157,18 +161,24 @@ def fuzzy_lines(docs: DataFrame, size: int = 8, percent: int = 80, bands: int =
     to_centre = written(compared(family.select(F.col("centre").alias("a"), F.col("node").alias("b"))), "centres")
     links = to_centre.where(alike).select("a", "b").unionByName(written(compared(family.where("anchor <> centre").select(F.col("anchor").alias("a"), F.col("node").alias("b"))).where(alike).select("a", "b"), "links"))
     labels = components(links).select("node", "component")
+    discard(family)
     facts = to_centre.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.col("nb").alias("n"), "o", "extra").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     facts = written(facts, "facts")
+    discard(labels)
     rest = by_centre(facts, percent).unionByName(between_centres(posts, facts))
     links = links.unionByName(written(compared(rest.distinct()).where(alike).select("a", "b"), "links"))
+    discard(posts, texts, rest)
     known = places.where("node is not null")
     linked = components(links)
+    discard(links)
     often = known.groupBy("node").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("node")
     told = often.join(linked, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
     told = written(told, "told")  # all other lines stand alone
+    discard(linked)
     place = F.struct(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
     best = known.join(bounded(told), "node").groupBy("component").agg(F.min(place).alias("best"))
     best = written(told.join(best, "component").select("node", "best"), "best")
+    discard(told)
     out = known.join(bounded(best), "node", "left")
     same = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.first_doc")) & (F.col("line_no") == F.col("best.first_line")))
     first = lambda own, name: F.when(F.col("best").isNull(), F.col(own)).otherwise(F.col(f"best.{name}")).alias(name)
