@@ -4,6 +4,9 @@ A scene's state is its clock, the elements that are there or idle, and the steps
 that the watermark has not passed. Steps are played in order of time once the watermark is beyond
 them, so they may come in any order within the delay; what comes later than that is late and is not
 played. Elements that are closed and not idle are forgotten, and so is a scene that has ended.
+
+Steps wait in slots of ten minutes, in pieces, and are read and played a slot at a time; elements are held for some
+ten thousands of them. So a task holds a slot of a scene and never all of it, however long it waits.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -21,8 +25,10 @@ from foliant.sources.scenes import event_steps
 PLAYED = "scene_id string, ts timestamp, step_no long, action string, run_s double, wall_s double, start_s double, played long, active_idle long"
 #: A step as it waits in the state, in the order in which steps are played.
 STEP = ("ts_us", "event_id", "action", "target", "wait_s", "known", "spawn_s", "remove_s", "can_idle", "move_s", "can_move")
-WAITING = "ts_us long, event_id long, action string, target string, wait_s double, known boolean, spawn_s double, remove_s double, can_idle boolean, move_s double, can_move boolean"
+WAITING = pa.schema([("ts_us", pa.int64()), ("event_id", pa.int64()), ("action", pa.string()), ("target", pa.string()), ("wait_s", pa.float64()), ("known", pa.bool_()), ("spawn_s", pa.float64()), ("remove_s", pa.float64()), ("can_idle", pa.bool_()), ("move_s", pa.float64()), ("can_move", pa.bool_())])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Microseconds of a slot; steps that are held before they go to their slots; elements whose state is held at once.
+SLOT_US, HELD, TOUCHED = 600_000_000, 50_000, 20_000
 
 
 class Player(StatefulProcessor):
@@ -31,21 +37,26 @@ class Player(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.clock = handle.getValueState("clock", "step_no long, clock double, active long, played_to long")
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.slots = handle.getMapState("slots", "slot long", "pieces int, first_us long")
+        self.pieces = handle.getMapState("pieces", "slot long, piece int", "steps binary")
         self.elements = handle.getMapState("elements", "t string", "there boolean, idle boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None:  # marks; a filter on them would be moved below the watermark, which then would not see them
             return
         _, _, _, played_to = self._clock()
-        new, ends = [], None
+        held, ends = [], None
         for batch in rows:
             batch = batch[batch["ts_us"] > played_to]  # what is not later than what was played is late
-            new += [tuple(None if pd.isna(x) else x for x in r) for r in batch[list(STEP)].itertuples(index=False)]
             if len(batch):
+                held.append(pa.RecordBatch.from_pandas(batch[list(STEP)], WAITING, preserve_index=False))
                 ends = max(ends or 0, int(batch["ends_us"].max()))
-        if new:
-            self.waiting.appendList(new)
+            if sum(len(b) for b in held) >= HELD:
+                self._wait(held)
+                held = []
+        if held:
+            self._wait(held)
+        if ends is not None:
             self.handle.registerTimer(ends // 1000 + 1)
         yield from self._play(key, timerValues.getCurrentWatermarkInMs() * 1000, ends)
 
@@ -58,55 +69,93 @@ class Player(StatefulProcessor):
     def _clock(self) -> tuple[int, float, int, int]:
         return tuple(self.clock.get()) if self.clock.exists() else (0, 0.0, 0, -(1 << 62))
 
+    def _wait(self, batches: list[pa.RecordBatch]) -> None:
+        """Puts steps into their slots, a piece for each."""
+        steps = pa.Table.from_batches(batches).sort_by([("ts_us", "ascending"), ("event_id", "ascending")]).combine_chunks()
+        slots = [ts // SLOT_US for ts in steps["ts_us"].to_pylist()]
+        begins = [i for i, s in enumerate(slots) if i == 0 or s != slots[i - 1]]
+        for at, end in zip(begins, [*begins[1:], len(slots)]):
+            first = steps["ts_us"][at].as_py()
+            n, least = self.slots.getValue((slots[at],)) or (0, first)
+            self.pieces.updateValue((slots[at], n), (packed(steps.slice(at, end - at)),))
+            self.slots.updateValue((slots[at],), (n + 1, min(first, least)))
+
     def _play(self, key: tuple, upto: int, ends: int | None) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= upto), key=lambda r: r[:2])
-        later = [r for r in waiting if r[0] > upto]
-        if later:
-            self.handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
-        if not ready:
-            if not later and ends is None and self.clock.exists():
-                self._forget()
-            return
+        waiting = sorted((s[0], *v) for s, v in self.slots.iterator())
+        ready = [(slot, n) for slot, n, first in waiting if first <= upto]
+        later = [first for _, _, first in waiting if first > upto]
         step_no, clock, active, _ = self._clock()
         touched: dict[str, tuple[bool, bool]] = {}
-        out = []
-        for ts, _, action, t, wait_s, known, spawn_s, remove_s, can_idle, move_s, can_move in ready:
-            step_no, run, played = step_no + 1, 0.0, 0
-            if action == "wait":
-                run = wait_s if active > 0 else 0.0
-            elif known and t is not None:
-                if t not in touched:
-                    touched[t] = tuple(self.elements.getValue((t,))) if self.elements.containsKey((t,)) else (False, False)
-                there, idle = touched[t]
-                was = there and idle
-                if action == "spawn":
-                    run, played, there = spawn_s or 0.0, 1, True
-                elif action == "close":
-                    run, played, there, idle = (remove_s or 0.0 if there else 0.0), int(there), False, False
-                elif action == "move" and there and can_move:
-                    run, played = max(0.0, move_s), 1
-                elif action == "idle" and can_idle:
-                    played, idle = 1, True
-                active += int(there and idle) - int(was)
-                touched[t] = there, idle
-            out.append((key[0], pd.Timestamp(ts, unit="us"), step_no, action, run, wait_s + run if action == "wait" else run, clock, played, active))
-            clock += run
+        for slot, n in ready:
+            steps = pa.concat_tables([unpacked(self.pieces.getValue((slot, i))[0]) for i in range(n)]).sort_by([("ts_us", "ascending"), ("event_id", "ascending")])
+            due = sum(ts <= upto for ts in steps["ts_us"].to_pylist())
+            for i in range(n):
+                self.pieces.removeKey((slot, i))
+            self.slots.removeKey((slot,))
+            if due < len(steps):
+                later.append(steps["ts_us"][due].as_py())
+                self._wait(steps.slice(due).to_batches())
+            out = []
+            columns = [c.to_pylist() for c in steps.slice(0, due).columns]
+            for ts, _, action, t, wait_s, known, spawn_s, remove_s, can_idle, move_s, can_move in zip(*columns):
+                step_no, run, played = step_no + 1, 0.0, 0
+                if action == "wait":
+                    run = wait_s if active > 0 else 0.0
+                elif known and t is not None:
+                    if t not in touched:
+                        if len(touched) >= TOUCHED:
+                            self._keep(touched)
+                            touched = {}
+                        touched[t] = tuple(self.elements.getValue((t,)) or (False, False))
+                    there, idle = touched[t]
+                    was = there and idle
+                    if action == "spawn":
+                        run, played, there = spawn_s or 0.0, 1, True
+                    elif action == "close":
+                        run, played, there, idle = (remove_s or 0.0 if there else 0.0), int(there), False, False
+                    elif action == "move" and there and can_move:
+                        run, played = max(0.0, move_s), 1
+                    elif action == "idle" and can_idle:
+                        played, idle = 1, True
+                    active += int(there and idle) - int(was)
+                    touched[t] = there, idle
+                out.append((key[0], pd.Timestamp(ts, unit="us"), step_no, action, run, wait_s + run if action == "wait" else run, clock, played, active))
+                clock += run
+            yield pd.DataFrame(out, columns=["scene_id", "ts", "step_no", "action", "run_s", "wall_s", "start_s", "played", "active_idle"])
+        if ready:
+            self._keep(touched)
+            self.clock.update((step_no, clock, active, upto))
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
+        elif not ready and ends is None and self.clock.exists():
+            self._forget()
+
+    def _keep(self, touched: dict[str, tuple[bool, bool]]) -> None:
+        """Writes the state of elements; those that are neither there nor idle have none."""
         for t, state in touched.items():
             if any(state):
                 self.elements.updateValue((t,), state)
-            elif self.elements.containsKey((t,)):
+            else:
                 self.elements.removeKey((t,))
-        self.clock.update((step_no, clock, active, upto))
-        self.waiting.put(later) if later else self.waiting.clear()
-        yield pd.DataFrame(out, columns=["scene_id", "ts", "step_no", "action", "run_s", "wall_s", "start_s", "played", "active_idle"])
 
     def _forget(self) -> None:
         self.clock.clear()
-        self.waiting.clear()
+        self.slots.clear()
+        self.pieces.clear()
         self.elements.clear()
 
 
+def packed(steps: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, WAITING) as writer:
+        writer.write_table(steps)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(steps: bytes) -> pa.Table:
+    return pa.ipc.open_stream(steps).read_all()
+
+
 def played_steps(steps: DataFrame, elements: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The streamed twin of operators.scenes.timeline: PLAYED rows of a stream of steps.
 
@@ -127,15 +176,19 @@ def day_steps(events: DataFrame) -> DataFrame:
     return steps.withColumn("ends", F.date_trunc("day", "ts") + F.expr("interval 1 day"))
 
 
-def play_events(spark: SparkSession, events: str, marks: str, elements: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", per_batch: int = 8, **trigger: object) -> StreamingQuery:
+def play_events(spark: SparkSession, events: str, marks: str, elements: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", per_batch: int | None = 8, **trigger: object) -> StreamingQuery:
     """Plays the events of Parquet files under `events` and appends the played steps as Parquet to `out`.
 
     marks is a folder for rows like events that only move the watermark (see ended). A run that is
-    stopped goes on where its checkpoint ends; the file sink takes each batch once.
+    stopped goes on where its checkpoint ends; the file sink takes each batch once. Files that are in no
+    order of time go in one batch (per_batch None), as those of later batches would be late.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # the stores of an executor share one bounded cache, where each had write buffers of its own
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     schema = spark.read.parquet(events).schema
-    read = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    options = {"maxFilesPerTrigger": per_batch} if per_batch else {}
+    read = lambda path: spark.readStream.schema(schema).options(**options).parquet(path)
     rows = played_steps(day_steps(read(events).unionByName(read(marks))), elements, delay)
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
