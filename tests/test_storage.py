@@ -11,7 +11,7 @@ from foliant.operators import sinks as K
 from foliant.operators import tables as R
 from foliant.plans import documents as D
 from foliant.sources import trees
-from foliant.storage import CLEANUP, shared_dir, written
+from foliant.storage import CLEANUP, discard, shared_dir, written
 
 
 def shuffle_files(spark):
@@ -32,6 +32,13 @@ def test_written_leaves_no_shuffle_files(spark):
     assert sorted(found.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
 
 
+def test_only_written_tables_are_discarded(spark, tmp_path):
+    folder, before = str(tmp_path / "foliant-data" / "t.parquet"), tables(spark)
+    spark.range(5).write.parquet(folder)
+    discard(spark.read.parquet(folder).unionByName(written(spark.range(3), "three")))
+    assert tables(spark) == before and spark.read.parquet(folder).count() == 5
+
+
 def test_line_dedup_keeps_only_tables_that_its_rows_come_from(spark):
     base = "the quick brown fox jumps over the lazy dog near the river bank {}"
     docs = spark.createDataFrame([(i, "\n".join([base.format(i % 3), "same line in every one of them", f"{i} alone {i * 7919}"])) for i in range(20)], "doc_id long, text string")
